@@ -23,3 +23,21 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
+
+_QUINTET = "('0x' || substr(h, {j} * 5 + 1, 5))::INT"
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({_QUINTET.format(j=j)} >> {shift}) & 31) + 1, 1)" for j in range(8) for shift in (15, 10, 5, 0)
+)
+
+ORACLES["op2_warc"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+r AS (
+  SELECT page_id, octet_length(encode(payload)) AS payload_bytes, sha1(payload) AS h,
+    row_number() OVER (PARTITION BY payload ORDER BY page_id NULLS LAST) AS k,
+    first_value(page_id) OVER (PARTITION BY payload ORDER BY page_id NULLS LAST) AS f
+  FROM p
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN f END AS refers_to
+FROM r
+"""
