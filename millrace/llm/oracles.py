@@ -41,3 +41,45 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, {_BASE32} AS pay
   CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN f END AS refers_to
 FROM r
 """
+
+_AFTER = "CASE WHEN instr({u}, '://') > 0 THEN substr({u}, instr({u}, '://') + 3) ELSE '' END"
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_HOST = f"coalesce({_LOW.format('regexp_extract(' + _AFTER + ', ' + chr(39) + '^([^/?#]*)' + chr(39) + ', 1)')}, '')"
+_PATH = f"coalesce(regexp_extract({_AFTER}, '^[^/?#]*([^?#]*)', 1), '')"
+_BARE = "regexp_replace({u}, '#[\\s\\S]*$', '')"
+_HEAD = f"regexp_extract({_BARE}, '^([^/?#]*://[^/?#]*)', 1)"
+_NODE = f"CASE WHEN {_HEAD} != '' THEN {_LOW.format(_HEAD)} || substr({_BARE}, length({_HEAD}) + 1) END"
+_RULE = "(SELECT struct_pack(rule := rh || rp, says := says) FROM rules WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) ORDER BY length(rh || rp) DESC LIMIT 1)"
+
+ORACLES["op6_url_filters"] = rf"""
+WITH RECURSIVE rules(rh, rp, says) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+),
+said AS (
+  SELECT url, replace(link, '&amp;', '&') AS link FROM (
+    SELECT url, unnest([
+      regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+      regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS link
+    FROM pages WHERE regexp_matches(html, '(?i)canonical|refresh')
+  ) WHERE link != ''
+),
+full_links AS (
+  SELECT url, CASE
+    WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
+    WHEN starts_with(link, '//') THEN regexp_extract(url, '^([^/?#]*)://', 1) || ':' || link
+    WHEN starts_with(link, '/') THEN regexp_extract(url, '^([^/?#]*://[^/?#]*)', 1) || link
+    WHEN regexp_extract(url, '^([^/?#]*://[^/?#]*(?:/[^/?#]*)*/)', 1) != '' THEN regexp_extract(url, '^([^/?#]*://[^/?#]*(?:/[^/?#]*)*/)', 1) || link
+    ELSE regexp_extract(url, '^([^/?#]*://[^/?#]*)', 1) || '/' || link END AS target FROM said
+),
+pairs AS (SELECT DISTINCT {_NODE.format(u="url")} AS a, {_NODE.format(u="target")} AS b FROM full_links),
+edges AS (SELECT a, b FROM pairs WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM pairs WHERE a IS NOT NULL AND b IS NOT NULL),
+reach(n, m) AS (SELECT a, a FROM edges UNION SELECT n, b FROM reach JOIN edges ON m = a),
+named AS (SELECT DISTINCT n, {_HOST.format(u="n")} AS host, {_PATH.format(u="n")} AS path FROM reach),
+own AS (SELECT n, {_RULE}.says AS says FROM named),
+alias AS (SELECT reach.n, bool_or(says = 'allow') AS allowed, bool_or(says = 'block') AS blocked FROM reach JOIN own ON reach.m = own.n GROUP BY reach.n),
+p AS (SELECT page_id, {_HOST.format(u="url")} AS host, {_PATH.format(u="url")} AS path, {_NODE.format(u="url")} AS name FROM pages),
+r AS (SELECT p.*, {_RULE} AS hit FROM p)
+SELECT page_id, host, path, hit.rule AS rule,
+  coalesce(hit.says, CASE WHEN alias.blocked AND NOT coalesce(alias.allowed, false) THEN 'block' ELSE 'allow' END) AS verdict
+FROM r LEFT JOIN alias ON r.name = alias.n
+"""
