@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, extract, langid, packing, quality_pu, quality_rules, urls, warc
+from millrace.llm import decontaminate, extract, langid, neardup, packing, quality_pu, quality_rules, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.report(table(spark, sf_dir, "pages"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.report(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(table(spark, sf_dir, "documents"))
 
@@ -53,5 +57,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filters": op6_url_filters,
     "op7_quality_rules": op7_quality_rules,
     "op8_html_extraction": op8_html_extraction,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_packing": op10_packing,
 }
