@@ -14,7 +14,8 @@ are the only corpus statistics sent to executors (2 MB each). A cell's load grow
 documents does, so relative frequencies, and with them weights, look alike at every size.
 
 Within a bucket, members are compared with leaders, not with each other: one leader in the first round, twice as many
-in each further one. A member that ends in a leader's component is done; the rest go on until every bucket is empty.
+in each further one. A member that ends in a leader's component is done; the rest go on until a bucket holds one
+component or no member. Later bands compare only what earlier ones have not joined.
 No round gathers a bucket: leaders are minima, and members meet them in a join that adaptive execution splits.
 Components are computed by star steps. Only text numbers, similarities and the shingles of texts in shared buckets
 are shuffled; every intermediate table is written to the shared folder.
@@ -41,6 +42,8 @@ from millrace.session import written
 SIZE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
+#: Bands that are compared together, from and to.
+BATCHES = ((0, 0), (1, 3), (4, 9), (10, 19))
 BITS = 18
 UNIT = 1 << 30
 SLICE = 1 << 12
@@ -289,45 +292,53 @@ def verified(pairs: DataFrame, found: DataFrame, idf, least: float) -> DataFrame
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def _labelled(rows: DataFrame, parts: DataFrame, number: str, name: str) -> DataFrame:
-    """rows with the component of a text number; a text without links is its own."""
-    named = parts.select(F.col("node").alias(number), F.col("component").alias("found__"))
-    return rows.join(named, number, "left").withColumn(name, F.coalesce("found__", number)).drop("found__")
+def _labelled(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """rows with the component of their text number; a text without links is its own."""
+    named = parts.select(F.col("node").alias("number"), F.col("component").alias("found__"))
+    return rows.join(named, "number", "left").withColumn("component", F.coalesce("found__", "number")).drop("found__")
 
 
 def link(docs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Verified links between text numbers, and the component of each text that has one."""
+    """Verified links between text numbers, and the component of each text that has one.
+
+    Bands are taken a few at a time: what earlier bands have joined is not compared again, so a large group of near
+    copies costs its members a few comparisons each and not one for every band.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(idf)
-    rows = texts.select("number", F.posexplode("bands").alias("band", "key")).select("key", (F.col("band") % 2).alias("side"), "number")
+    rows = texts.select("number", F.posexplode("bands").alias("band", "key"))
     many = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    left = written(rows.join(many, "key", "left_semi"))
-    found = written(vectors(docs, left.select("number").distinct()))
-    tried, links, parts = None, None, None
-    fan = 1
-    while not left.isEmpty():
-        # xor with a fixed number gives each side of the bands another order, and so other leaders
-        salt = F.when(F.col("side") == 0, F.lit(0x35A5C3F09B1E7D24)).otherwise(F.lit(-0x4B1D9C6E2F70A853))
-        turned = left.withColumn("turned", F.xxhash64("number", "side", F.lit(fan)).bitwiseAND(F.lit(fan - 1))).withColumn("order", F.col("number").bitwiseXOR(salt))
-        leaders = turned.groupBy("key", "turned", "side").agg(F.min("order").alias("least")).select("key", F.col("least").bitwiseXOR(salt).alias("leader"))
-        leaders = written(leaders)
-        pairs = left.join(leaders, "key").where("number != leader").select(F.least("number", "leader").alias("a"), F.greatest("number", "leader").alias("b")).distinct()
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        new = written(verified(pairs, found, shared, least))
-        tried = pairs if tried is None else written(tried.unionByName(pairs))
-        links = new if links is None else written(links.unionByName(new))
-        parts = written(components(links))
-        done = _labelled(leaders, parts, "leader", "component").select("key", "component").distinct()
-        left = written(_labelled(left, parts, "number", "component").join(done, ["key", "component"], "left_anti").select("key", "side", "number"))
-        alone = left.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        left = written(left.join(alone, "key", "left_semi"))
-        fan *= 2
-    if links is None:
-        links = spark.createDataFrame([], "a bigint, b bigint")
-        parts = spark.createDataFrame([], "node bigint, component bigint")
+    rows = written(rows.join(many, "key", "left_semi"))
+    found = written(vectors(docs, rows.select("number").distinct()))
+    links = spark.createDataFrame([], "a bigint, b bigint")
+    parts = spark.createDataFrame([], "node bigint, component bigint")
+    # xor with a fixed number gives every other band another order, and so other leaders
+    salt = F.when(F.col("band") % 2 == 0, F.lit(0x35A5C3F09B1E7D24)).otherwise(F.lit(-0x4B1D9C6E2F70A853))
+    for first, last in BATCHES:
+        left = _open(_labelled(rows.where(F.col("band").between(first, last)), parts))
+        fan = 1
+        while not left.isEmpty():
+            turned = left.withColumn("turned", F.xxhash64("number", "band", F.lit(fan)).bitwiseAND(F.lit(fan - 1))).withColumn("order", F.col("number").bitwiseXOR(salt))
+            leaders = turned.groupBy("key", "band", "turned").agg(F.min("order").alias("least")).select("key", F.col("least").bitwiseXOR(salt).alias("number"))
+            leaders = written(_labelled(leaders, parts).select("key", F.col("number").alias("leader"), F.col("component").alias("leads")))
+            pairs = left.join(leaders, "key").where("component != leads").select(F.least("number", "leader").alias("a"), F.greatest("number", "leader").alias("b")).distinct()
+            new = written(verified(pairs, found, shared, least))
+            links = written(links.unionByName(new))
+            if not new.isEmpty():
+                parts = written(components(new.unionByName(parts.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")))))
+            done = _labelled(leaders.select("key", F.col("leader").alias("number")), parts).select("key", "component").distinct()
+            left = _open(_labelled(left.drop("component"), parts).join(done, ["key", "component"], "left_anti"))
+            fan *= 2
     return links, parts
 
 
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one component."""
+    rows = rows.select("key", "band", "number", "component")
+    mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
+    return written(rows.join(mixed, "key", "left_semi"))
+
+
 def classes(documents: DataFrame, text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """doc_id, print, component, class_id, class_size and n_texts of each document."""
     docs = documents.select("doc_id", F.col(text_col).alias("text"))
@@ -336,7 +347,7 @@ def classes(documents: DataFrame, text_col: str = "text", least: float = SIMILAR
     texts = signed.where("print is not null").groupBy("print", "number").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands"))
     texts = written(texts)
     _, parts = link(docs, texts, idf, least)
-    named = _labelled(texts.select("print", "number", "rep", "n"), parts, "number", "component")
+    named = _labelled(texts.select("print", "number", "rep", "n"), parts)
     sums = named.groupBy("component").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"), F.count("*").alias("n_texts"))
     members = named.select("print", "component").join(sums, "component")
     known = signed.where("print is not null").select("doc_id", "print").join(members, "print")
