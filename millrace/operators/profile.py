@@ -9,15 +9,15 @@ from millrace.functions import text as T
 
 
 def histogram(df: DataFrame, value: str, groups: list[str] | None = None) -> DataFrame:
-    """value and n; the counts combine before the shuffle, so percentiles never sort the rows."""
-    return df.groupBy(*(groups or []), value).agg(F.count("*").alias("n"))
+    """value and freq; the counts combine before the shuffle, so percentiles never sort the rows."""
+    return df.groupBy(*(groups or []), value).agg(F.count("*").alias("freq"))
 
 
 def nearest_rank(hist: DataFrame, value: str, fractions: dict[str, float]) -> DataFrame:
     """Nearest-rank percentiles (rank ceil(p n), 1 at least) of a histogram: one row."""
     w = Window.partitionBy(F.lit(0)).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = hist.agg(F.sum("n").alias("total"))
-    rows = hist.select(value, "n", F.sum("n").over(w).alias("upto")).join(F.broadcast(total), F.lit(True))
+    total = hist.agg(F.sum("freq").alias("total"))
+    rows = hist.select(value, "freq", F.sum("freq").over(w).alias("upto")).join(F.broadcast(total), F.lit(True))
     picks = [F.min(F.when(F.col("upto") >= F.greatest(F.ceil(F.col("total") * p), F.lit(1)), F.col(value))).alias(name) for name, p in fractions.items()]
     return rows.agg(*picks)
 
@@ -25,7 +25,7 @@ def nearest_rank(hist: DataFrame, value: str, fractions: dict[str, float]) -> Da
 def describe(df: DataFrame, value: str) -> DataFrame:
     """count, sum, min, max, mean and nearest-rank p50, p90, p95 and p99, from the histogram."""
     hist = histogram(df.where(F.col(value).isNotNull()), value)
-    base = hist.agg(F.sum("n").alias("count"), F.sum(F.col(value) * F.col("n")).alias("sum"), F.min(value).alias("min"), F.max(value).alias("max"))
+    base = hist.agg(F.sum("freq").alias("count"), F.sum(F.col(value) * F.col("freq")).alias("sum"), F.min(value).alias("min"), F.max(value).alias("max"))
     base = base.withColumn("mean", F.col("sum") / F.col("count"))
     return base.join(nearest_rank(hist, value, {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}), F.lit(True))
 
@@ -33,8 +33,8 @@ def describe(df: DataFrame, value: str) -> DataFrame:
 def ranked(hist: DataFrame, value: str, rank: Column) -> DataFrame:
     """The value at a zero-based rank, an expression over the column total: one row, column value."""
     w = Window.partitionBy(F.lit(0)).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = hist.agg(F.sum("n").alias("total"))
-    rows = hist.select(value, F.sum("n").over(w).alias("upto")).join(F.broadcast(total), F.lit(True))
+    total = hist.agg(F.sum("freq").alias("total"))
+    rows = hist.select(value, F.sum("freq").over(w).alias("upto")).join(F.broadcast(total), F.lit(True))
     return rows.agg(F.min(F.when(F.col("upto") > rank, F.col(value))).alias("value"))
 
 
@@ -54,7 +54,7 @@ def percentile_variants(df: DataFrame, value: str, p: float) -> DataFrame:
     # linear between the two neighbours, and the next observed value
     low = ranked(hist, value, F.floor((n - 1) * p)).withColumnRenamed("value", "low__")
     high = ranked(hist, value, F.ceil((n - 1) * p)).withColumnRenamed("value", "high__")
-    total = hist.agg(F.sum("n").alias("total"))
+    total = hist.agg(F.sum("freq").alias("total"))
     rows = out.join(low, F.lit(True)).join(high, F.lit(True)).join(total, F.lit(True))
     part = (F.col("total") - 1) * p - F.floor((F.col("total") - 1) * p)
     return rows.withColumn("linear", F.col("low__") + (F.col("high__") - F.col("low__")) * part).withColumn("higher", F.col("high__")).drop("low__", "high__", "total")
@@ -63,11 +63,11 @@ def percentile_variants(df: DataFrame, value: str, p: float) -> DataFrame:
 def length_summary(df: DataFrame, length: str, most: int) -> DataFrame:
     """min, p50, p95, max and mean length, share truncated at most, and mean padding up to it."""
     hist = histogram(df, length)
-    n = F.sum("n")
+    n = F.sum("freq")
     base = hist.agg(
-        F.min(length).alias("min"), F.max(length).alias("max"), (F.sum(F.col(length) * F.col("n")) / n).alias("mean"),
-        (F.sum(F.when(F.col(length) > most, F.col("n")).otherwise(0)) / n).alias("truncated"),
-        (F.sum(F.greatest(F.lit(most) - F.col(length), F.lit(0)) * F.col("n")) / n).alias("padding"),
+        F.min(length).alias("min"), F.max(length).alias("max"), (F.sum(F.col(length) * F.col("freq")) / n).alias("mean"),
+        (F.sum(F.when(F.col(length) > most, F.col("freq")).otherwise(0)) / n).alias("truncated"),
+        (F.sum(F.greatest(F.lit(most) - F.col(length), F.lit(0)) * F.col("freq")) / n).alias("padding"),
     )
     return base.join(nearest_rank(hist, length, {"p50": 0.5, "p95": 0.95}), F.lit(True))
 
@@ -87,11 +87,11 @@ def token_accounting(df: DataFrame, tokens: str, length: int, groups: list[str]
 
 def recount(hist: DataFrame, tokens: str, lengths: list[int]) -> DataFrame:
     """The accounting at other sequence lengths from a histogram of token counts alone."""
-    rows = hist.select(tokens, "n", F.explode(F.array(*[F.lit(x) for x in lengths])).alias("sequence_length"))
+    rows = hist.select(tokens, "freq", F.explode(F.array(*[F.lit(x) for x in lengths])).alias("sequence_length"))
     kept = F.least(F.col(tokens), F.col("sequence_length") - 2)
     return rows.groupBy("sequence_length").agg(
-        F.sum((kept + 1) * F.col("n")).alias("loss_tokens"), F.sum(F.when(F.col(tokens) > F.col("sequence_length") - 2, F.col("n")).otherwise(0)).alias("truncated_rows"),
-        F.sum(F.col("n") * F.col("sequence_length")).alias("padded_slots"),
+        F.sum((kept + 1) * F.col("freq")).alias("loss_tokens"), F.sum(F.when(F.col(tokens) > F.col("sequence_length") - 2, F.col("freq")).otherwise(0)).alias("truncated_rows"),
+        F.sum(F.col("freq") * F.col("sequence_length")).alias("padded_slots"),
     )
 
 

@@ -334,7 +334,13 @@ def j08(spark, sf):
 
 @Q("j07_simhash")
 def j07(spark, sf):
-    return t(spark, sf, "documents").select("doc_id", C.simhash(T.char_ngrams(T.alnum_lower(F.col("text")), 5, "none")).alias("simhash"))
+    grams = t(spark, sf, "documents").select("doc_id", T.char_ngrams(T.alnum_lower(F.col("text")), 5, "none").alias("g"))
+    return grams.select("doc_id", C.simhash("g").alias("simhash"))
+
+
+@Q("j06_simhash_vs_benchmark")
+def j06(spark, sf):
+    return C.simhash_pairs(t(spark, sf, "documents"), t(spark, sf, "benchmark"), least=0.5)
 
 
 @Q("j11_split_overlap", """
@@ -429,3 +435,439 @@ def d09(spark, sf):
 @Q("d10_distinct_counts", "SELECT count(DISTINCT text) AS texts, count(DISTINCT source) AS sources, count(DISTINCT lang) AS langs FROM documents")
 def d10(spark, sf):
     return t(spark, sf, "documents").agg(F.count_distinct(H.sha256(F.col("text"))).alias("texts"), F.count_distinct("source").alias("sources"), F.count_distinct("lang").alias("langs"))
+
+
+# 2.7 aggregations
+
+
+@Q("a01_grouped_counters", "SELECT lang, source, count(*) AS n_rows, sum(length(text))::BIGINT AS chars, sum(octet_length(encode(text)))::BIGINT AS bytes FROM documents GROUP BY ALL")
+def a01(spark, sf):
+    return t(spark, sf, "documents").groupBy("lang", "source").agg(F.count("*").alias("n_rows"), F.sum(F.length("text")).alias("chars"), F.sum(F.octet_length("text")).alias("bytes"))
+
+
+@Q("a03_levels", """
+SELECT CASE WHEN GROUPING(lang) = 0 AND GROUPING(source) = 0 THEN 'lang+source' WHEN GROUPING(lang) = 0 THEN 'lang' WHEN GROUPING(source) = 0 THEN 'source' ELSE '' END AS level,
+  lang, source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY GROUPING SETS ((lang, source), (lang), (source), ())""")
+def a03(spark, sf):
+    rows = P.levels(t(spark, sf, "documents"), [["lang", "source"], ["lang"], ["source"], []], [F.count("*").alias("n"), F.sum("n_chars").alias("chars")])
+    return rows.select("level", "lang", "source", "n", "chars")
+
+
+@Q("a04_cross_source_groups", "SELECT sha256(text) AS h, count(DISTINCT source) AS n_values FROM documents GROUP BY text HAVING count(DISTINCT source) > 1")
+def a04(spark, sf):
+    return P.many_valued(t(spark, sf, "documents").select(H.sha256(F.col("text")).alias("h"), "source"), "h", "source")
+
+
+@Q("a05_examples", f"WITH {_PAT}, {_HITS} SELECT reason, source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY reason, source ORDER BY doc_id) AS k FROM (SELECT DISTINCT reason, source, h.doc_id FROM hits h JOIN docs USING (doc_id))) WHERE k <= 2")
+def a05(spark, sf):
+    events = C.ledger(t(spark, sf, "documents"), t(spark, sf, "benchmark"), ["source"])
+    return C.examples(events, ["reason", "source"], "doc_id", 2).select("reason", "source", "doc_id")
+
+
+@Q("a06_describe", """
+SELECT count(*) AS count, sum(n)::BIGINT AS sum, min(n) AS min, max(n) AS max, avg(n) AS mean, quantile_disc(n, 0.5) AS p50, quantile_disc(n, 0.9) AS p90, quantile_disc(n, 0.95) AS p95, quantile_disc(n, 0.99) AS p99
+FROM (SELECT length(text) AS n FROM documents)""")
+def a06(spark, sf):
+    return P.describe(t(spark, sf, "documents").select(F.length("text").cast("long").alias("n")), "n")
+
+
+@Q("a07_percentiles", """
+WITH v AS (SELECT length(text) AS n, row_number() OVER (ORDER BY length(text)) - 1 AS i, count(*) OVER () AS c FROM documents)
+SELECT max(n) FILTER (i = greatest(CAST(ceil(c * 0.95) AS BIGINT) - 1, 0)) AS ceil_rank, max(n) FILTER (i = least(CAST(floor(c * 0.95) AS BIGINT), c - 1)) AS floor_index,
+  max(n) FILTER (i = CAST(round_even((c - 1) * 0.95, 0) AS BIGINT)) AS bankers_index, quantile_cont(n, 0.95) AS linear, max(n) FILTER (i = CAST(ceil((c - 1) * 0.95) AS BIGINT)) AS higher FROM v""")
+def a07(spark, sf):
+    return P.percentile_variants(t(spark, sf, "documents").select(F.length("text").cast("long").alias("n")), "n", 0.95)
+
+
+@Q("a08_length_summary", "SELECT min(n) AS min, max(n) AS max, avg(n) AS mean, avg((n > 766)::INT) AS truncated, avg(greatest(766 - n, 0)) AS padding, quantile_disc(n, 0.5) AS p50, quantile_disc(n, 0.95) AS p95 FROM (SELECT length(text) AS n FROM documents)")
+def a08(spark, sf):
+    return P.length_summary(t(spark, sf, "documents").select(F.length("text").cast("long").alias("n")), "n", LEN)
+
+
+@Q("a09_token_accounting", """
+SELECT lang, count(*) AS n_rows, sum(n)::BIGINT AS raw_tokens, sum(least(n, 766))::BIGINT AS kept_tokens, sum(least(n, 766) + 1)::BIGINT AS loss_tokens, sum(least(n, 766) + 2)::BIGINT AS nonpad_tokens,
+  count(*) * 768 AS padded_slots, sum((n > 766)::INT)::BIGINT AS truncated_rows, sum(n - least(n, 766))::BIGINT AS discarded_tokens FROM (SELECT lang, length(text) AS n FROM documents) GROUP BY lang""")
+def a09(spark, sf):
+    return P.token_accounting(t(spark, sf, "documents").select("lang", F.length("text").cast("long").alias("n")), "n", LEN + 2, ["lang"])
+
+
+@Q("a10_recount", """
+SELECT L AS sequence_length, sum(least(n, L - 2) + 1)::BIGINT AS loss_tokens, sum((n > L - 2)::INT)::BIGINT AS truncated_rows, (count(*) * L)::BIGINT AS padded_slots
+FROM (SELECT length(text) AS n FROM documents), (SELECT unnest([256, 512, 768, 1024]) AS L) GROUP BY L""")
+def a10(spark, sf):
+    hist = P.histogram(t(spark, sf, "documents").select(F.length("text").cast("long").alias("tokens")), "tokens")
+    return P.recount(hist, "tokens", [256, 512, 768, 1024])
+
+
+@Q("a11_top_tokens", "SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents) GROUP BY token ORDER BY n DESC, token LIMIT 30")
+def a11(spark, sf):
+    return P.top_tokens(t(spark, sf, "documents"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), 30)
+
+
+@Q("a12_scripts", rf"""
+SELECT lang, sum(c)::BIGINT AS cjk_chars, sum(l)::BIGINT AS latin_chars, sum(d)::BIGINT AS digit_chars, sum(n - c - l - d)::BIGINT AS other_chars, sum((c > 0)::INT)::BIGINT AS rows_with_cjk, sum((l > 0)::INT)::BIGINT AS rows_with_latin, sum((c > 0 AND l > 0)::INT)::BIGINT AS rows_with_both
+FROM (SELECT lang, length(x) AS n, length(regexp_replace(x, '[^\x{{3400}}-\x{{4DBF}}\x{{4E00}}-\x{{9FFF}}\x{{F900}}-\x{{FAFF}}]', '', 'g')) AS c, length(regexp_replace(x, '[^a-z]', '', 'g')) AS l, length(regexp_replace(x, '[^\p{{Nd}}]', '', 'g')) AS d
+  FROM (SELECT lang, {N1.format("text")} AS x FROM documents)) GROUP BY lang""")
+def a12(spark, sf):
+    return P.scripts(t(spark, sf, "documents"), "text", ["lang"])
+
+
+@Q("a15_capacity", """
+WITH w(bucket, weight) AS (VALUES ('en', 0.5), ('de', 0.3), ('fr', 0.15), ('zz', 0.05)), h AS (SELECT lang AS bucket, sum(n_chars)::BIGINT AS a FROM documents GROUP BY lang),
+x AS (SELECT bucket, CAST(round_even(1000000 * weight, 0) AS BIGINT) AS target, coalesce(a, 0) AS available FROM w LEFT JOIN h USING (bucket))
+SELECT bucket, target, available, available / target AS ratio, greatest(0, target - available) AS shortfall FROM x""")
+def a15(spark, sf):
+    weights = spark.createDataFrame([("en", 0.5), ("de", 0.3), ("fr", 0.15), ("zz", 0.05)], "bucket string, weight double")
+    return P.capacity(t(spark, sf, "documents").select(F.col("lang").alias("bucket"), F.col("n_chars").alias("tokens")), weights, 1_000_000)
+
+
+@Q("a16_rates", "SELECT lang, count(*) AS n, avg(quality) AS good, avg(toxic) AS toxic FROM labels JOIN documents USING (doc_id) GROUP BY lang")
+def a16(spark, sf):
+    rows = t(spark, sf, "labels").join(t(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    return M.rates(rows, ["lang"], {"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1})
+
+
+@Q("a17_ratio_of_sums", "SELECT lang, sum(quality) / greatest(1, sum(quality + toxic)) AS share FROM labels JOIN documents USING (doc_id) GROUP BY lang")
+def a17(spark, sf):
+    rows = t(spark, sf, "labels").join(t(spark, sf, "documents").select("doc_id", "lang"), "doc_id").withColumn("both", F.col("quality") + F.col("toxic"))
+    return M.ratio_of_sums(rows, ["lang"], "quality", "both", "share")
+
+
+@Q("a18_weighted_nll", "SELECT event_type, round(sum(value * user_id) / sum(user_id), 6) AS nll, sum(user_id)::BIGINT AS tokens FROM events GROUP BY event_type")
+def a18(spark, sf):
+    return M.weighted_nll(t(spark, sf, "events"), ["event_type"], "value", "user_id").select("event_type", F.round("nll", 6).alias("nll"), "tokens")
+
+
+@Q("a19_macro", "SELECT source, avg(coalesce(CASE WHEN lang = 'en' THEN m END, m / 2)) AS macro, count(*) AS tasks FROM (SELECT source, lang, avg(quality) AS m FROM labels JOIN documents USING (doc_id) GROUP BY ALL) GROUP BY source")
+def a19(spark, sf):
+    rows = t(spark, sf, "labels").join(t(spark, sf, "documents").select("doc_id", "lang", "source"), "doc_id").groupBy("source", "lang").agg(F.avg("quality").alias("m"))
+    return M.macro(rows.withColumn("acc_norm", F.when(F.col("lang") == "en", F.col("m"))).withColumn("acc", F.col("m") / 2), ["source"], "acc_norm", "acc")
+
+
+@Q("a20_paired_bootstrap")
+def a20(spark, sf):
+    rows = t(spark, sf, "labels").join(t(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    return M.paired_bootstrap(rows.select("lang", F.col("quality").alias("left"), F.col("toxic").alias("right")), "lang")
+
+
+@Q("a21_cluster_bootstrap")
+def a21(spark, sf):
+    rows = t(spark, sf, "labels").join(t(spark, sf, "documents").select("doc_id", "lang", "source"), "doc_id").withColumn("one", F.lit(1))
+    return M.cluster_bootstrap(rows, "lang", "source", "quality", "one")
+
+
+@Q("a22_stratified_bootstrap")
+def a22(spark, sf):
+    rows = t(spark, sf, "labels").join(t(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    return M.stratified_bootstrap(rows.select("lang", F.col("quality").alias("left"), F.col("toxic").alias("right")), "lang")
+
+
+@Q("a23_pearson", "SELECT event_type, round(corr(value, user_id), 9) AS r, count(*) AS n FROM events GROUP BY event_type")
+def a23(spark, sf):
+    return M.pearson(t(spark, sf, "events"), "value", "user_id", ["event_type"]).select("event_type", F.round("r", 9).alias("r"), "n")
+
+
+@Q("a24_conditional_means", "SELECT event_type, round(avg(value) FILTER (user_id > 25), 9) AS high, round(avg(value) FILTER (user_id <= 25), 9) AS low FROM events GROUP BY event_type")
+def a24(spark, sf):
+    rows = M.conditional_means(t(spark, sf, "events"), "value", {"high": F.col("user_id") > 25, "low": F.col("user_id") <= 25}, ["event_type"])
+    return rows.select("event_type", F.round("high", 9).alias("high"), F.round("low", 9).alias("low"))
+
+
+@Q("a25_collapse", "SELECT source, max(n) / sum(n) AS top_share, max(n) / sum(n) > 0.6 AS collapsed FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) GROUP BY source")
+def a25(spark, sf):
+    return M.collapse(t(spark, sf, "documents"), ["source"], "lang", 0.6)
+
+
+@Q("a26_throughput", "SELECT event_type, round(avg(value), 9) AS mean, round(stddev_samp(value), 9) AS stdev, round(avg(value) FILTER (k <= 100), 9) AS last_mean FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS k FROM events) GROUP BY event_type")
+def a26(spark, sf):
+    rows = M.throughput(t(spark, sf, "events"), "event_type", "event_id", "value")
+    return rows.select("event_type", *[F.round(c, 9).alias(c) for c in ("mean", "stdev", "last_mean")])
+
+
+@Q("a26_rolling_mean", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 99 PRECEDING), 9) AS rolling_mean FROM events")
+def a26b(spark, sf):
+    return M.rolling_mean(t(spark, sf, "events"), "user_id", ["ts", "event_id"], "value", 100).select("event_id", F.round("rolling_mean", 9).alias("rolling_mean"))
+
+
+@Q("a27_median_ratios", """
+WITH m AS (SELECT user_id % 5 AS scenario, median(value) FILTER (event_type = 'view') AS median_view, median(value) FILTER (event_type = 'click') AS median_click FROM events GROUP BY 1)
+SELECT scenario, median_view, median_click, median_view / median_click AS ratio_click FROM m""")
+def a27(spark, sf):
+    return M.median_ratios(t(spark, sf, "events").withColumn("scenario", F.col("user_id") % 5), "scenario", "event_type", "value", ["view", "click"])
+
+
+@Q("a28_generation_stats", "SELECT lang, count(*) AS n, count(*) FILTER (length(text) > 0) AS nonempty, avg(length(text)) AS mean_chars, count(DISTINCT doc_id) = count(*) AS ids_unique FROM documents GROUP BY lang")
+def a28(spark, sf):
+    rows = t(spark, sf, "documents").groupBy("lang")
+    return rows.agg(F.count("*").alias("n"), F.sum((F.length("text") > 0).cast("long")).alias("nonempty"), F.avg(F.length("text")).alias("mean_chars"), (F.count_distinct("doc_id") == F.count("*")).alias("ids_unique"))
+
+
+@Q("a29_gates", """
+WITH r AS (SELECT count(*) AS n, count(DISTINCT doc_id) AS d, count(*) FILTER (text IS NULL) AS missing FROM documents)
+SELECT unnest(['rows', 'unique_ids', 'no_missing', 'all']) AS gate, unnest([n > 0, n = d, missing = 0, n > 0 AND n = d AND missing = 0]) AS passed FROM r""")
+def a29(spark, sf):
+    row = t(spark, sf, "documents").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d"), F.sum(F.col("text").isNull().cast("long")).alias("missing"))
+    return M.gates(row, {"rows": F.col("n") > 0, "unique_ids": F.col("n") == F.col("d"), "no_missing": F.col("missing") == 0})
+
+
+@Q("a30_balance", "SELECT count(*) AS n_values, (5 - count(*))::BIGINT AS missing, max(n) - min(n) AS gap, max(n) - min(n) <= 100 AND count(*) = 5 AS balanced FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)")
+def a30(spark, sf):
+    return M.balance(t(spark, sf, "events"), "event_type", ["view", "click", "signup", "error", "purchase"], 100)
+
+
+@Q("a32_training_halves", """
+WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT user_id, arg_max(value, event_id) AS last, max(value) AS max, round(avg(value) FILTER (k <= n // 2), 9) AS first_half, round(avg(value) FILTER (k > n // 2), 9) AS second_half FROM e GROUP BY user_id""")
+def a32(spark, sf):
+    return M.halves(t(spark, sf, "events"), "user_id", "event_id", "value").withColumn("first_half", F.round("first_half", 9)).withColumn("second_half", F.round("second_half", 9))
+
+
+@Q("a33_fingerprint", "SELECT sha256(string_agg(x, chr(10) ORDER BY x)) AS fingerprint FROM (SELECT n_nationkey || chr(1) || n_name AS x FROM nation)")
+def a33(spark, sf):
+    return P.fingerprint(t(spark, sf, "nation"), ["n_nationkey", "n_name"])
+
+
+# 2.8 order, quotas, splits
+
+
+@Q("w02_exact_quota", """
+WITH r AS (SELECT doc_id, n, sum(n) OVER (ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - n AS start FROM (SELECT doc_id, length(text) AS n, sha256('q:' || doc_id) AS h FROM documents))
+SELECT doc_id, CAST(least(n, 400000 - start) AS BIGINT) AS taken FROM r WHERE start < 400000 AND n > 0""")
+def w02(spark, sf):
+    rows = t(spark, sf, "documents").select("doc_id", F.length("text").cast("long").alias("n"), H.sha256(F.concat(F.lit("q:"), F.col("doc_id").cast("string"))).alias("h"))
+    return W.quota_prefix(rows, ["h", "doc_id"], "n", 400_000).select("doc_id", "taken")
+
+
+@Q("w03_filtered_quota", f"""
+WITH {_PAT}, {_HITS}, ok AS (SELECT doc_id, length(text) AS n, sha256('q:' || doc_id) AS h FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hits)),
+r AS (SELECT doc_id, n, sum(n) OVER (ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - n AS start FROM ok)
+SELECT doc_id, CAST(least(n, 300000 - start) AS BIGINT) AS taken FROM r WHERE start < 300000 AND n > 0""")
+def w03(spark, sf):
+    docs = t(spark, sf, "documents")
+    bad = C.ledger(docs, t(spark, sf, "benchmark"), []).select("doc_id").distinct()
+    rows = docs.join(bad, "doc_id", "left_anti").select("doc_id", F.length("text").cast("long").alias("n"), H.sha256(F.concat(F.lit("q:"), F.col("doc_id").cast("string"))).alias("h"))
+    return W.quota_prefix(rows, ["h", "doc_id"], "n", 300_000).select("doc_id", "taken")
+
+
+@Q("w04_bucket_quota", """
+SELECT doc_id FROM (SELECT doc_id, coalesce(sum(n_chars) OVER (PARTITION BY lang ORDER BY sha256('b:' || doc_id) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, lang FROM documents)
+WHERE before < CASE WHEN lang = 'en' THEN 100000 ELSE 20000 END""")
+def w04(spark, sf):
+    rows = t(spark, sf, "documents").withColumn("h", H.sha256(F.concat(F.lit("b:"), F.col("doc_id").cast("string"))))
+    return W.grouped_quota(rows, ["lang"], ["h"], "n_chars", F.when(F.col("lang") == "en", 100_000).otherwise(20_000)).select("doc_id")
+
+
+_SHARES = "s AS (SELECT lang AS name, count(*) AS weight FROM documents GROUP BY lang)"
+
+
+@Q("w05_largest_remainder", f"""
+WITH {_SHARES}, r AS (SELECT name, 1000003.0::DOUBLE * (weight / sum(weight) OVER ()) AS raw FROM s), f AS (SELECT name, raw - floor(raw) AS frac, floor(raw)::BIGINT AS fl FROM r)
+SELECT name, fl + (row_number() OVER (ORDER BY frac DESC, name DESC) <= 1000003 - sum(fl) OVER ())::BIGINT AS quota FROM f""")
+def w05(spark, sf):
+    weights = t(spark, sf, "documents").groupBy(F.col("lang").alias("name")).agg(F.count("*").alias("weight"))
+    return W.allocate(weights, 1_000_003).select("name", "quota")
+
+
+@Q("w06_last_takes_rest", """
+WITH w(name, position, weight) AS (VALUES ('a', 1, 0.333), ('b', 2, 0.333), ('c', 3, 0.334)), q AS (SELECT *, floor(1001 * weight)::BIGINT AS f FROM w)
+SELECT name, CASE WHEN position = 3 THEN 1001 - (SELECT sum(f) FROM q WHERE position < 3)::BIGINT ELSE f END AS quota FROM q""")
+def w06(spark, sf):
+    return W.last_takes_rest(spark.createDataFrame([("a", 1, 0.333), ("b", 2, 0.333), ("c", 3, 0.334)], "name string, position int, weight double"), 1001).select("name", "quota")
+
+
+@Q("w07_bottom_k", "SELECT lang, doc_id, score FROM (SELECT lang, doc_id, substr(sha256('k:' || doc_id), 1, 16) AS score, row_number() OVER (PARTITION BY lang ORDER BY substr(sha256('k:' || doc_id), 1, 16)) AS k FROM documents) WHERE k <= 10")
+def w07(spark, sf):
+    score = F.substring(H.sha256(F.concat(F.lit("k:"), F.col("doc_id").cast("string"))), 1, 16)
+    return W.bottom_k(t(spark, sf, "documents"), ["lang"], score, 10).select("lang", "doc_id", "score")
+
+
+@Q("w09_hash_order_split", """
+SELECT doc_id, CASE WHEN k <= 50 THEN 'validation' WHEN k <= 100 THEN 'test' ELSE 'train' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY sha256('42:' || doc_id)) AS k FROM documents)""")
+def w09(spark, sf):
+    order = H.sha256(F.concat(F.lit("42:"), F.col("doc_id").cast("string")))
+    return W.hash_order_split(t(spark, sf, "documents").select("doc_id"), order, [("validation", 50), ("test", 50)], "train").select("doc_id", "split")
+
+
+@Q("w09_prompt_split", "SELECT doc_id, CASE WHEN b < 200 THEN 'validation' WHEN b < 400 THEN 'test' ELSE 'train' END AS split FROM (SELECT doc_id, ('0x' || substr(sha256(text), 1, 8))::BIGINT % 10000 AS b FROM documents)")
+def w09b(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", H.prompt_split(H.sha256(F.col("text"))).alias("split"))
+
+
+@Q("w11_candidate_window", """
+SELECT doc_id FROM (SELECT doc_id, source, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents) WHERE before < 11500""")
+def w11(spark, sf):
+    return W.grouped_quota(t(spark, sf, "documents"), ["source"], ["doc_id"], "n_chars", F.lit(11_500)).select("doc_id")
+
+
+@Q("w13_token_windows", """
+SELECT doc_id, (e - n) // 2048 AS first_window, (e - 1) // 2048 AS last_window FROM (SELECT doc_id, length(text) AS n, sum(length(text)) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS e FROM documents)""")
+def w13(spark, sf):
+    rows = t(spark, sf, "documents").select("doc_id", F.length("text").cast("long").alias("n"))
+    return W.token_windows(rows, ["doc_id"], "n", 2048).select("doc_id", "first_window", "last_window")
+
+
+@Q("w14_stratified_batches", "SELECT doc_id, CAST((row_number() OVER (PARTITION BY lang ORDER BY sha256('s:' || doc_id)) - 1) // 4 AS INTEGER) AS batch FROM documents")
+def w14(spark, sf):
+    order = H.sha256(F.concat(F.lit("s:"), F.col("doc_id").cast("string")))
+    return W.stratified_batches(t(spark, sf, "documents").select("doc_id", "lang"), "lang", order, 4).select("doc_id", "batch")
+
+
+@Q("w17_keep_earliest", """
+WITH d AS (SELECT doc_id, text, CASE WHEN doc_id % 10 = 0 THEN 0 WHEN doc_id % 10 = 1 THEN 1 ELSE 2 END AS r FROM documents)
+SELECT doc_id FROM (SELECT *, min(r) OVER (PARTITION BY text) AS m FROM d) WHERE r = m""")
+def w17(spark, sf):
+    rank = F.when(F.col("doc_id") % 10 == 0, 0).when(F.col("doc_id") % 10 == 1, 1).otherwise(2)
+    return W.keep_earliest(t(spark, sf, "documents").select("doc_id", H.sha256(F.col("text")).alias("h")), "h", rank).select("doc_id")
+
+
+@Q("w18_top_by_key", "SELECT source, arg_min(doc_id, sha256('t:' || doc_id)) AS doc_id FROM documents GROUP BY source")
+def w18(spark, sf):
+    return t(spark, sf, "documents").groupBy("source").agg(F.min_by("doc_id", H.sha256(F.concat(F.lit("t:"), F.col("doc_id").cast("string")))).alias("doc_id"))
+
+
+@Q("w19_group_advantage", "SELECT event_id, round((value - avg(value) OVER (PARTITION BY user_id)) / (stddev_pop(value) OVER (PARTITION BY user_id) + 1e-4), 6) AS advantage FROM events")
+def w19(spark, sf):
+    return W.group_advantage(t(spark, sf, "events"), "user_id", "value").select("event_id", F.round("advantage", 6).alias("advantage"))
+
+
+# 2.9 scalar functions
+
+
+@Q("x01_normalisers", r"""
+SELECT doc_id, md5(regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g')) AS n1, md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS n2, md5(regexp_replace(lower(text), '[^0-9a-z]', '', 'g')) AS n3 FROM documents""")
+def x01(spark, sf):
+    h = lambda c: F.md5(c.cast("binary"))
+    return t(spark, sf, "documents").select("doc_id", h(T.alnum_lower(F.col("text"))).alias("n1"), h(T.ws_lower(F.col("text"))).alias("n2"), h(T.ascii_alnum(F.col("text"))).alias("n3"))
+
+
+@Q("x02_prompts", "SELECT conv_id, md5(string_agg(text, chr(10) ORDER BY turn)) AS m FROM conversations WHERE role = 'user' GROUP BY conv_id")
+def x02(spark, sf):
+    rows = V.nest(t(spark, sf, "conversations")).select("conv_id", V.prompt(F.col("messages")).alias("p")).where("p != ''")
+    return rows.select("conv_id", F.md5(F.col("p").cast("binary")).alias("m"))
+
+
+@Q("x07_hash_family", "SELECT doc_id, sha256(unhex('0000000000000003') || encode('abc') || unhex(printf('%016x', octet_length(encode(lang)))) || encode(lang)) AS framed, ('0x' || substr(sha256(lang), 1, 8))::BIGINT % 10000 AS b FROM documents")
+def x07(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", H.stable_sha256(F.lit("abc"), F.col("lang")).alias("framed"), H.bucket(H.sha256(F.col("lang")), 10000).alias("b"))
+
+
+@Q("x07_full_digest_mod5", "SELECT doc_id, CAST(list_sum(list_transform(string_split(sha256(CAST(doc_id AS VARCHAR)), ''), lambda c: ('0x' || c)::INT)) % 5 AS INTEGER) AS m FROM documents")
+def x07b(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", H.full_mod5(H.sha256(F.col("doc_id").cast("string"))).cast("int").alias("m"))
+
+
+@Q("x09_counters", r"""
+SELECT doc_id, len(regexp_extract_all(text, '(?m)^[ \t]*(?:[0-9]+[.)]|[-*+])[ \t]+[^\s]')) AS items, len(list_filter(regexp_split_to_array(trim(text), '\n\s*\n+'), lambda s: trim(s) != '')) AS paragraphs,
+  len(list_filter(string_split(regexp_replace(trim(text), '([.!?])(?:\s+|$)', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) != '')) AS sentences FROM documents""")
+def x09(spark, sf):
+    c = F.col("text")
+    return t(spark, sf, "documents").select("doc_id", T.list_items(c).cast("long").alias("items"), T.paragraph_count(c).cast("long").alias("paragraphs"), T.sentence_count(c).cast("long").alias("sentences"))
+
+
+@Q("x10_stopword_language", r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[A-Za-z\x{00C0}-\x{00FF}]+') AS k FROM documents),
+s AS (SELECT doc_id, len(k) AS n, len(list_filter(k, lambda x: x IN ('the','and','of','to','in','is','that','for','with','as','on','are','this','be','by','an','it'))) AS en,
+  len(list_filter(k, lambda x: x IN ('der','die','das','den','dem','des','und','ist','in','zu','mit','für','von','auf','ein','eine'))) AS de FROM w)
+SELECT doc_id, en, de, n FROM s""")
+def x10(spark, sf):
+    scores = T.stopword_scores(F.col("text"))
+    n = F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"[A-Za-z\x{00C0}-\x{00FF}]+"), F.lit(0)))
+    return t(spark, sf, "documents").select("doc_id", scores["english"].cast("long").alias("en"), scores["german"].cast("long").alias("de"), n.cast("long").alias("n"))
+
+
+@Q("x11_domain", r"""
+SELECT domain, count(*) AS n FROM (SELECT CASE WHEN contains(lower(text), 'license') THEN 'legal' WHEN contains(lower(text), 'token') THEN 'code'
+  WHEN length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / greatest(length(regexp_replace(text, '[\s]', '', 'g')), 1) >= 0.55 THEN 'english' END AS domain FROM documents) GROUP BY domain""")
+def x11(spark, sf):
+    kind = T.domain_class(F.col("text"), [("legal", ["license"]), ("code", ["token"])])
+    return t(spark, sf, "documents").groupBy(kind.alias("domain")).agg(F.count("*").alias("n"))
+
+
+@Q("x12_repetition", """
+SELECT conv_id, turn, round(CASE WHEN length(text) >= 4 THEN 1 - len(list_distinct(list_transform(range(1, length(text) - 2), lambda i: substr(text, CAST(i AS BIGINT), 4)))) / (length(text) - 3) ELSE 0 END, 9) AS ratio FROM conversations""")
+def x12(spark, sf):
+    return t(spark, sf, "conversations").select("conv_id", "turn", F.round(T.repetition_ratio(F.col("text")), 9).alias("ratio"))
+
+
+@Q("x13_rep_penalty", r"""
+WITH k AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]') AS w FROM conversations),
+g AS (SELECT conv_id, turn, len(w) - 2 AS c, len(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i : i + 2]))) AS d FROM k)
+SELECT conv_id, turn, round(CASE WHEN c > 0 THEN least(0.5, (c - d) * 1.0 / c) ELSE 0 END, 9) AS penalty FROM g""")
+def x13(spark, sf):
+    return t(spark, sf, "conversations").select("conv_id", "turn", F.round(T.rep_penalty(F.col("text")), 9).alias("penalty"))
+
+
+@Q("x14_tags", r"""
+SELECT event_id, len(regexp_extract_all(s, '<tool_call>')) AS calls, trim(regexp_replace(s, '^\s*<think>[^<]*</think>\s*', '')) AS plain FROM (
+  SELECT event_id, '<think>' || event_type || '</think> answer ' || user_id || ' <tool_call>{"name": "' || event_type || '"}</tool_call>' AS s FROM events WHERE event_type = 'click')""")
+def x14(spark, sf):
+    s = F.concat(F.lit("<think>"), "event_type", F.lit("</think> answer "), F.col("user_id").cast("string"), F.lit(' <tool_call>{"name": "'), "event_type", F.lit('"}</tool_call>'))
+    rows = t(spark, sf, "events").where("event_type = 'click'").select("event_id", s.alias("s"))
+    return rows.select("event_id", T.valid_tool_calls(F.col("s")).cast("long").alias("calls"), T.strip_thinking(F.col("s")).alias("plain"))
+
+
+@Q("x15_choice", "SELECT event_id, CASE user_id % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN NULL ELSE 'D' END AS choice FROM events")
+def x15(spark, sf):
+    said = F.element_at(F.array(*[F.lit(x) for x in ("The answer is A.", "B", "A or B", "(D)")]), (F.col("user_id") % 4 + 1).cast("int"))
+    return t(spark, sf, "events").select("event_id", T.parse_choice(said).alias("choice"))
+
+
+@Q("x21_preference_credit", "SELECT event_id, CASE WHEN value - 5 > 1e-7 THEN 1.0 WHEN value - 5 < -1e-7 THEN 0.0 ELSE 0.5 END::DOUBLE AS credit FROM events")
+def x21(spark, sf):
+    return t(spark, sf, "events").select("event_id", M.preference_credit(F.col("value") - 5).alias("credit"))
+
+
+@Q("x22_percent", "SELECT event_id, CASE WHEN abs(value) <= 1 THEN value * 100 ELSE value END AS percent FROM events")
+def x22(spark, sf):
+    return t(spark, sf, "events").select("event_id", T.as_percent(F.col("value")).alias("percent"))
+
+
+@Q("x25_safe_names", "SELECT page_id, regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g') AS name FROM pages")
+def x25(spark, sf):
+    return t(spark, sf, "pages").select("page_id", T.safe_name(F.col("url")).alias("name"))
+
+
+# 2.10 generators, 2.11 audit
+
+
+@Q("g02_mod10_tasks", """
+WITH p AS (SELECT op, a, b, ((CASE op WHEN 'add' THEN a + b WHEN 'sub' THEN a - b ELSE a * b END) % 10 + 10) % 10 AS answer FROM (SELECT unnest(['add', 'sub', 'mul']) AS op), range(100) x(a), range(100) y(b))
+SELECT op, a, b, CAST(answer AS BIGINT) AS answer FROM (SELECT *, row_number() OVER (PARTITION BY op, answer ORDER BY sha256('g:' || op || ':' || a || ':' || b)) AS k FROM p) WHERE k <= 20""")
+def g02(spark, sf):
+    from millrace.operators.generate import mod10_tasks
+
+    return mod10_tasks(spark, 100, 20, "g:")
+
+
+@Q("o05_corpus_audit", f"""
+WITH {_PAT}, {_HITS}
+SELECT count(*) AS n_rows, count(DISTINCT d.text) AS n_distinct, sum(least(length(d.text), 766) + 1)::BIGINT AS loss_tokens, (SELECT count(DISTINCT doc_id) FROM hits WHERE reason = 'exact') AS exact_docs, (SELECT count(DISTINCT doc_id) FROM hits WHERE reason = 'containment') AS contained_docs FROM documents d""")
+def o05(spark, sf):
+    from millrace.plans.corpus import audit
+
+    return audit(t(spark, sf, "documents"), t(spark, sf, "benchmark"), LEN + 2).select("n_rows", "n_distinct", "loss_tokens", "exact_docs", "contained_docs")
+
+
+@Q("o02_mix")
+def o02(spark, sf):
+    from millrace.plans.corpus import mix
+
+    return mix(t(spark, sf, "documents").withColumn("source", F.col("lang")), {"en": 0.6, "de": 0.2, "fr": 0.2}, 300_000, 30_000, 4).select("doc_id", "split", "source", "taken", "shard")
+
+
+@Q("s_events_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def events_tumbling(spark, sf):
+    from millrace.streaming.windows import tumbling
+
+    return tumbling(t(spark, sf, "events"), "1 hour").select("start", "event_type", "n", F.round("total", 6).alias("total"))
+
+
+@Q("s_star_revenue", """
+SELECT n_name, l_returnflag, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+GROUP BY GROUPING SETS ((n_name, l_returnflag), (n_name), ())""")
+def star(spark, sf):
+    line = t(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("r"))
+    orders = t(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    customer = t(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    rows = line.join(orders, line["l_orderkey"] == orders["o_orderkey"]).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(t(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return P.levels(rows, [["n_name", "l_returnflag"], ["n_name"], []], [F.round(F.sum("r"), 2).alias("revenue"), F.count("*").alias("n")]).select("n_name", "l_returnflag", "revenue", "n")
