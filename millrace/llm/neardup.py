@@ -13,8 +13,8 @@ counts are kept in hashed arrays of 2**18 cells, whatever the corpus's size: the
 are the only corpus statistics sent to executors (2 MB each). A cell's load grows with the corpus as the number of
 documents does, so relative frequencies, and with them weights, look alike at every size.
 
-Within a bucket, members are compared with leaders, not with each other: one leader in the first round, twice as many
-in each further one. A member that ends in a leader's component is done; the rest go on until a bucket holds one
+Within a bucket, members are compared with leaders, not with each other: one leader in the first round, FAN
+times as many in each further one. A member that ends in a leader's component is done; the rest go on until a bucket holds one
 component or no member. Later bands compare only what earlier ones have not joined.
 No round gathers a bucket: leaders are minima, and members meet them in a join that adaptive execution splits.
 Components are computed by star steps. Only text numbers, similarities and the shingles of texts in shared buckets
@@ -43,7 +43,9 @@ SIZE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 #: Bands that are compared together, from and to.
-BATCHES = ((0, 0), (1, 3), (4, 9), (10, 19))
+BATCHES = ((0, 1), (2, 6), (7, 19))
+#: How many times more leaders each further round takes in a bucket: a power of two.
+FAN = 16
 BITS = 18
 UNIT = 1 << 30
 SLICE = 1 << 12
@@ -328,7 +330,7 @@ def link(docs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float = SIMI
                 parts = written(components(new.unionByName(parts.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")))))
             done = _labelled(leaders.select("key", F.col("leader").alias("number")), parts).select("key", "component").distinct()
             left = _open(_labelled(left.drop("component"), parts).join(done, ["key", "component"], "left_anti"))
-            fan *= 2
+            fan *= FAN
     return links, parts
 
 
