@@ -192,3 +192,21 @@ def best_path(nodes: DataFrame, steps: int = 31) -> DataFrame:
             break
         path = path.unionByName(ends)
     return path
+
+
+def preference_rejection(chosen: Column, rejected: Column, most: int) -> Column:
+    """Why a preference pair is not trainable, or null: context, short context, answers, length."""
+    context = without_last(chosen)
+    size = F.length(F.regexp_replace(prompt(chosen), r"(?U)\W", ""))
+    longest = F.greatest(F.length(render(chosen)), F.length(render(rejected)))
+    return (
+        F.when(context != without_last(rejected), "context_differs").when(F.element_at(chosen, -1)["content"] == F.element_at(rejected, -1)["content"], "same_answer")
+        .when(size < 12, "short_prompt").when(longest > most, "too_long")
+    )
+
+
+def prompt_response_labels(prompt_ids: Column, reply_ids: Column, eos: int, most: int, ignore: int = -100) -> tuple[Column, Column]:
+    """Ids and labels of a prompt and its reply with an end; both are cut at most, and the prompt is not supervised."""
+    ids = F.slice(F.concat(prompt_ids, reply_ids, F.array(F.lit(eos))), 1, most)
+    labels = F.concat(F.transform(prompt_ids, lambda x: F.lit(ignore)), reply_ids, F.array(F.lit(eos)))
+    return ids, F.slice(labels, 1, most)

@@ -871,3 +871,184 @@ def star(spark, sf):
     customer = t(spark, sf, "customer").select("c_custkey", "c_nationkey")
     rows = line.join(orders, line["l_orderkey"] == orders["o_orderkey"]).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(t(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return P.levels(rows, [["n_name", "l_returnflag"], ["n_name"], []], [F.round(F.sum("r"), 2).alias("revenue"), F.count("*").alias("n")]).select("n_name", "l_returnflag", "revenue", "n")
+
+
+# more of 2.3, 2.4, 2.5, 2.6 and 2.9
+
+_PROMPTS = r"p AS (SELECT conv_id AS key, trim(regexp_replace(lower(string_agg(text, chr(10) ORDER BY turn)), '\s+', ' ', 'g')) AS prompt FROM conversations WHERE role = 'user' GROUP BY conv_id)"
+
+
+def _prompts(spark, sf):
+    rows = V.nest(t(spark, sf, "conversations")).select(F.col("conv_id").alias("key"), T.ws_lower(V.prompt(F.col("messages"))).alias("prompt"))
+    return rows.where("prompt != ''")
+
+
+def _items(spark, sf):
+    """Benchmark items and, as a test of the joins, the first words of some prompts."""
+    items = t(spark, sf, "benchmark").select("item_id", T.ws_lower(F.col("text")).alias("prompt"))
+    some = _prompts(spark, sf).where("key % 3 = 0").select((F.col("key") + 10_000).alias("item_id"), F.when(F.col("key") % 2 == 0, F.col("prompt")).otherwise(F.substring("prompt", 1, 60)).alias("prompt"))
+    return items.unionByName(some)
+
+
+_ITEMS = r"""i AS (SELECT item_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS prompt FROM benchmark
+  UNION ALL SELECT key + 10000, CASE WHEN key % 2 = 0 THEN prompt ELSE substr(prompt, 1, 60) END FROM p WHERE key % 3 = 0)"""
+
+
+@Q("j01_prompt_overlap", f"WITH {_PROMPTS}, {_ITEMS} SELECT key, item_id FROM p JOIN i USING (prompt)")
+def j01(spark, sf):
+    return C.prompt_overlaps(_prompts(spark, sf), _items(spark, sf))
+
+
+@Q("j04_prompt_containment", f"""
+WITH {_PROMPTS}, {_ITEMS} SELECT key, item_id FROM p JOIN i ON p.prompt != i.prompt AND least(length(p.prompt), length(i.prompt)) >= 20 AND (contains(p.prompt, i.prompt) OR contains(i.prompt, p.prompt))""")
+def j04(spark, sf):
+    return C.prompt_containment(_prompts(spark, sf), _items(spark, sf))
+
+
+@Q("j10_eval_guard")
+def j10(spark, sf):
+    return C.guard(_prompts(spark, sf), _items(spark, sf))
+
+
+@Q("j19_seen_prompts", f"WITH {_PROMPTS} SELECT key FROM p WHERE key >= 50 AND prompt NOT IN (SELECT prompt FROM p WHERE key < 50)")
+def j19(spark, sf):
+    rows = _prompts(spark, sf)
+    return C.reject_seen_prompts(rows.where("key >= 50"), rows.where("key < 50")).select("key")
+
+
+@Q("d06_near_components", f"""
+WITH RECURSIVE s AS (SELECT doc_id AS id, list_sort(list_transform({_GRAMS}, lambda g: md5(g))) AS g FROM (SELECT doc_id, {N1.format("text")} AS n FROM documents) WHERE length(n) >= 5),
+e AS (SELECT id, unnest(g[1:32]) AS h FROM s), c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM e x JOIN e y ON x.h = y.h AND x.id < y.id),
+k AS (SELECT a, b FROM c JOIN s x ON x.id = a JOIN s y ON y.id = b WHERE len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))) >= 0.85),
+u AS (SELECT a, b FROM k UNION SELECT b, a FROM k), r(n, m) AS (SELECT a, a FROM u UNION SELECT n, b FROM r JOIN u ON m = a)
+SELECT n AS node, min(m) AS component FROM r GROUP BY n""")
+def d06(spark, sf):
+    from millrace.operators.components import components
+
+    return components(C.self_near_pairs(t(spark, sf, "documents")).select("a", "b"))
+
+
+@Q("p19_shifted_targets", "SELECT vec_id, n - 1 AS targets, n - 1 - least(n - 1, 2) AS supervised FROM (SELECT vec_id, vec_id % 9 + 2 AS n FROM embeddings)")
+def p19(spark, sf):
+    rows = t(spark, sf, "embeddings").select("vec_id", F.sequence(F.lit(1).cast("long"), F.col("vec_id") % 9 + 2).alias("ids"))
+    _, y, mask = V.shifted(F.col("ids"), F.transform("ids", lambda x: (x > 3).cast("int")))
+    return rows.select("vec_id", F.size(y).cast("long").alias("targets"), F.aggregate(mask, F.lit(0), lambda a, x: a + x).cast("long").alias("supervised"))
+
+
+@Q("p21_prompt_response", """
+SELECT conv_id, least(length(u) + length(a) + 1, 512) AS n, greatest(least(length(u) + length(a) + 1, 512) - length(u), 0) AS supervised
+FROM (SELECT conv_id, max(text) FILTER (turn = 0) AS u, max(text) FILTER (turn = 1) AS a FROM conversations GROUP BY conv_id HAVING count(*) = 2)""")
+def p21(spark, sf):
+    rows = t(spark, sf, "conversations").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("u"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("a"), F.count("*").alias("k")).where("k = 2")
+    ids, labels = V.prompt_response_labels(V.code_points(F.col("u")), V.code_points(F.col("a")), 2, 512)
+    return rows.select("conv_id", F.size(ids).cast("long").alias("n"), F.size(F.filter(labels, lambda x: x != -100)).cast("long").alias("supervised"))
+
+
+@Q("f07_preference_rejections", r"""
+WITH c AS (SELECT conv_id, list(text ORDER BY turn) AS x, list(role ORDER BY turn) AS r FROM conversations GROUP BY conv_id),
+k AS (SELECT conv_id, x, r, x[len(x)] AS a, CASE WHEN conv_id % 2 = 0 THEN x[len(x)] ELSE x[len(x)] || '!' END AS b,
+  array_to_string(list_transform(list_filter(list_zip(r, x), lambda z: z[1] = 'user'), lambda z: z[2]), chr(10)) AS p, list_sum(list_transform(list_zip(r, x), lambda z: length(z[1]) + length(z[2]) + 24)) AS size FROM c)
+SELECT conv_id, CASE WHEN a = b THEN 'same_answer' WHEN length(regexp_replace(CASE WHEN r[len(r)] = 'user' THEN p ELSE p END, '[^\p{L}\p{M}\p{N}_]', '', 'g')) < 12 THEN 'short_prompt' WHEN size + 1 > 3000 THEN 'too_long' END AS why FROM k""")
+def f07(spark, sf):
+    rows = V.nest(t(spark, sf, "conversations"))
+    last = F.element_at("messages", -1)
+    other = F.concat(V.without_last(F.col("messages")), F.array(F.struct(last["role"].alias("role"), F.when(F.col("conv_id") % 2 == 0, last["content"]).otherwise(F.concat(last["content"], F.lit("!"))).alias("content"))))
+    return rows.select("conv_id", V.preference_rejection(F.col("messages"), other, 3000).alias("why"))
+
+
+@Q("f09_pair_acceptance", """
+SELECT reason, count(*) AS n FROM (SELECT CASE WHEN length(text) > 3000 THEN 'too_long' WHEN len(w) > 30 AND len(list_distinct(w)) / len(w) < 0.2 THEN 'repetition' END AS reason
+  FROM (SELECT text, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\v]+'), lambda x: x != '') AS w FROM documents)) GROUP BY reason""".replace("\\\\", "\\"))
+def f09(spark, sf):
+    from millrace.operators.filters import first_failure, severe_repetition
+
+    checks = {"too_long": F.length("text") > 3000, "repetition": severe_repetition(F.col("text"))}
+    return first_failure(t(spark, sf, "documents"), checks).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@Q("f05_strict_verdicts")
+def f05(spark, sf):
+    from millrace.functions.verify import verify
+
+    rows = t(spark, sf, "conversations").where("role = 'assistant'")
+    asked = rows.select("conv_id", "turn", "text", F.lit("Write at least 3 sentences and no more than 200 words.").alias("prompt"), F.array(F.lit("length constraints:number of sentences"), F.lit("punctuation:use no comma")).alias("c"))
+    return asked.select("conv_id", "turn", verify("prompt", "text", "c").alias("v")).select("conv_id", "turn", "v.passed", F.concat_ws(",", "v.failed").alias("failed"))
+
+
+@Q("x16_truths", "SELECT event_id, contains('total ' || user_id || ' of ' || event_type, event_type) AS typed, user_id = 7 AS numbered FROM events")
+def x16(spark, sf):
+    from millrace.functions.verify import truths_in
+
+    answer = F.concat(F.lit("total "), F.col("user_id").cast("string"), F.lit(" of "), "event_type")
+    found = t(spark, sf, "events").select("event_id", truths_in(answer, F.array(F.col("event_type"), F.lit("7.0"))).alias("f"))
+    return found.select("event_id", F.exists("f", lambda x: x != "7.0").alias("typed"), F.array_contains("f", "7.0").alias("numbered"))
+
+
+@Q("x18_arithmetic", "SELECT event_id, CAST(user_id * 3 - event_id AS DOUBLE) / 4 AS value FROM events")
+def x18(spark, sf):
+    from millrace.functions.verify import arithmetic
+
+    e = F.concat(F.lit("("), F.col("user_id").cast("string"), F.lit(" * 3 - "), F.col("event_id").cast("string"), F.lit(") / 4"))
+    return t(spark, sf, "events").select("event_id", arithmetic(e).alias("value"))
+
+
+@Q("x20_response_reward")
+def x20(spark, sf):
+    from millrace.functions.verify import response_reward
+
+    return t(spark, sf, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.round(response_reward(F.col("text"), F.lit(0.0)), 9).alias("reward"))
+
+
+@Q("x23_expected_answers", "SELECT op, a, b, CASE op WHEN 'add' THEN a + b WHEN 'sub' THEN a - b ELSE a * b END AS answer FROM (SELECT unnest(['add', 'sub', 'mul']) AS op), range(30) x(a), range(30) y(b)")
+def x23(spark, sf):
+    from millrace.operators.generate import expected, pool
+
+    return pool(spark, 30).withColumn("answer", expected(F.col("op"), F.col("a"), F.col("b")))
+
+
+@Q("g01_choice_tasks")
+def g01(spark, sf):
+    from millrace.operators.generate import choice_tasks
+
+    return choice_tasks(spark, 40, 200, "g01:").withColumn("options", F.concat_ws("|", F.transform("options", lambda x: x.cast("string"))))
+
+
+@Q("g03_extract_tasks")
+def g03(spark, sf):
+    from millrace.operators.generate import extract_tasks
+
+    return extract_tasks(spark, 200, "g03:", ["Digit {place} of {digits}?", "In {digits}, which digit stands at place {place}?"])
+
+
+@Q("g04_format_tasks")
+def g04(spark, sf):
+    from millrace.operators.generate import format_tasks
+
+    return format_tasks(spark, 200, "g04:")
+
+
+@Q("p08_translation_pairs", """
+WITH d AS (SELECT lang, min(doc_id) AS l, max(doc_id) AS r FROM documents GROUP BY lang) SELECT lang, 'To B: ' || l AS user, CAST(r AS VARCHAR) AS assistant FROM d WHERE l != r UNION ALL SELECT lang, 'To A: ' || r, CAST(l AS VARCHAR) FROM d WHERE l != r""")
+def p08b(spark, sf):
+    from millrace.operators.reshape import translation_pairs
+
+    rows = t(spark, sf, "documents").groupBy("lang").agg(F.min("doc_id").cast("string").alias("l"), F.max("doc_id").cast("string").alias("r"))
+    return translation_pairs(rows, "l", "r", {"forth": "To B: ", "back": "To A: "}).select("lang", "user", "assistant")
+
+
+@Q("p04_instruction_pairs", "SELECT item_id, 2 AS n, length('Read this.') + 1 + length(trim(text)) AS chars FROM benchmark")
+def p04(spark, sf):
+    from millrace.operators.reshape import instruction_pairs
+
+    rows = t(spark, sf, "benchmark").select("item_id", F.lit("Read this.").alias("i"), F.col("text").alias("x"), F.lit("Done.").alias("a"))
+    return instruction_pairs(rows, "i", "x", "a").select("item_id", F.size("messages").alias("n"), F.length(F.col("messages")[0]["content"]).cast("long").alias("chars"))
+
+
+@Q("s_sessions", """
+WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
+def sessions(spark, sf):
+    from millrace.streaming.windows import sessions as made
+
+    return made(t(spark, sf, "events"), "2 hours")
