@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from millrace.llm import components, oracles, queries, urls
+from millrace.llm import oracles, queries, urls
+from millrace.operators import components
 from tests.oracle import norm, oracle_rows, rows_of, same
 
 
