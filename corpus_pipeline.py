@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, langid, neardup, packing, pii
+from millrace.llm.common import set_aside
 from millrace.session import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -20,8 +21,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the models accept; those without letters or far from every language go."""
-    found = langid.identify(docs, langid.train(docs))
-    return found.where("not rejected").select(*[f"`{c}`" for c in docs.columns])
+    rows, back = set_aside(docs, "lang_pred", "score", "cross_entropy", "rejected")
+    return langid.identify(rows, langid.train(docs)).where("not rejected").select(*back.values())
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

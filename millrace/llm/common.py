@@ -19,6 +19,13 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in taken])
 
 
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, Column]]:
+    """df with columns of these names (in any case) renamed, and for each column of df the expression that gives it back."""
+    taken = {n.lower() for n in names}
+    now = [f"aside{i}__" if c.lower() in taken else c for i, c in enumerate(df.columns)]
+    return df.toDF(*now), {c: F.col(f"`{n}`").alias(c) for c, n in zip(df.columns, now, strict=True)}
+
+
 def fold(col: Column, modulus: int) -> Column:
     """crc32 of the decimal text of an id, modulo: the folds that the contracts name. Null ids are in fold 0."""
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % modulus, F.lit(0))

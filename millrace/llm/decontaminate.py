@@ -10,7 +10,8 @@ more than one block. No stage shuffles documents.
 
 Defined results: null or empty text has no words and is clean; items without words are ignored; repeated
 items and repeated documents count each by themselves; items with a null id hit words but are not listed;
-an empty benchmark leaves all documents clean; columns whose names clash with the added ones are replaced.
+an empty benchmark leaves all documents clean; columns whose names clash with the added ones are
+replaced by mark and report and kept by decontaminate.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Words, mapped, without
+from millrace.llm.common import Words, mapped, set_aside, without
 
 #: The fixed definition of a word.
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -147,10 +148,10 @@ def _again(docs: DataFrame, keep: list[str], run, text_col: str) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "documents", text_col: str = "text", **how) -> DataFrame:
     """docs without contamination; action "documents" drops contaminated rows, "spans" cuts the hit words and what stands between them."""
+    docs, back = set_aside(docs, "n_words", "n_hit", "hit_items", "hit_words")
     marked = mark(docs, benchmark, text_col, **how)
-    columns = [f"`{c}`" for c in docs.columns]
     if action == "documents":
-        return marked.where("n_hit = 0").select(*columns)
+        return marked.where("n_hit = 0").select(*back.values())
     if action != "spans":
         raise ValueError(f"unknown action {action!r}")
 
@@ -160,7 +161,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "document
         return {"clean__": pa.array([_cut(t, h) for t, h in zip(texts, hits, strict=True)], pa.string())}
 
     clean = mapped(marked, "clean__ string", cut, text_col)
-    return clean.select(*[F.col("clean__").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    return clean.select(*(back | {text_col: F.col("clean__").alias(text_col)}).values())
 
 
 def _cut(text: str | None, hits: list[int]) -> str | None:

@@ -13,7 +13,8 @@ patterns are written with possessive and lazy classes, so that no run of charact
 recursion. The graph holds distinct (pattern, instance) pairs; its sums are aggregated map-side.
 
 Defined results: null text is empty; overlapping spans of different kinds all count (redaction merges them); null
-ids and repeated rows pass through; an empty table gives no rows; clashing columns are replaced.
+ids and repeated rows pass through; an empty table gives no rows; clashing columns are
+replaced by detect and kept by redact.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import without
+from millrace.llm.common import set_aside, without
 from millrace.session import written
 
 #: Fixed order of the kinds.
@@ -200,6 +201,7 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text") -> D
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span replaced by its kind's name in brackets; overlapping spans become the first one's."""
+    docs, back = set_aside(docs, "base_spans", "spans")
     found = detect(docs, text_col)
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     text = F.col(text_col)
@@ -211,4 +213,4 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     masked = F.aggregate(by_place, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
     new = F.when(F.size("spans") > 0, masked).otherwise(text)
-    return found.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    return found.select(*(back | {text_col: new.alias(text_col)}).values())

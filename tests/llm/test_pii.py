@@ -73,6 +73,7 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert rows[40] == "email:21:30" and rows[41] == "email:16:25" and rows[42] == rows[43] == ""
     clean = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
     assert clean[0] == "Please contact me at [EMAIL] today." and clean[41] == "Other line with [EMAIL] again" and clean[42] == texts[42]
+    assert pii.redact(docs).where("spans = 'old'").count() == len(texts)
 
 
 def test_redaction_merges_overlaps_and_keeps_nulls(spark):
