@@ -13,10 +13,10 @@ counts are kept in hashed arrays of 2**18 cells, whatever the corpus's size: the
 are the only corpus statistics sent to executors (2 MB each). A cell's load grows with the corpus as the number of
 documents does, so relative frequencies, and with them weights, look alike at every size.
 
-Within a bucket, members are compared with leaders, not with each other: one leader in the first round, FAN
-times as many in each further one. A member that ends in a leader's component is done; the rest go on until a bucket holds one
-component or no member. Later bands compare only what earlier ones have not joined.
-No round gathers a bucket: leaders are minima, and members meet them in a join that adaptive execution splits.
+Within a bucket, members are first compared with one leader, the text that shares buckets with the most others: in a
+group of copies that is the original or what is nearest to it. A bucket that still holds several components is compared
+in blocks of about BLOCK texts, pairs of blocks being groups of bounded size; a group puts out only links that join
+components, never all pairs. Later bands compare only what earlier ones have not joined.
 Components are computed by star steps. Only text numbers, similarities and the shingles of texts in shared buckets
 are shuffled; every intermediate table is written to the shared folder.
 
@@ -44,8 +44,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 #: Bands that are compared together, from and to.
 BATCHES = ((0, 1), (2, 6), (7, 19))
-#: How many times more leaders each further round takes in a bucket: a power of two.
-FAN = 16
+#: Texts in a block of a bucket.
+BLOCK = 256
 BITS = 18
 UNIT = 1 << 30
 SLICE = 1 << 12
@@ -300,8 +300,76 @@ def _labelled(rows: DataFrame, parts: DataFrame) -> DataFrame:
     return rows.join(named, "number", "left").withColumn("component", F.coalesce("found__", "number")).drop("found__")
 
 
+def joined(rows: DataFrame, found: DataFrame, idf, least: float) -> DataFrame:
+    """Links (a, b) that join the components of each bucket's rows (key, number, component) as all its similar pairs would.
+
+    A bucket is cut into blocks of BLOCK texts; each pair of blocks is one group, compared inside its task. Only links
+    that join two components of the group come out, so the output is linear in the rows.
+    """
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("number"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("key", "number", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "number", "component", "block")
+    dealt = dealt.join(found, "number").select("key", "low", "high", "block", "number", "component", "hashes", "counts")
+    dealt = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "number")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, at = [], None
+        for batch in batches:
+            for row in batch.to_pylist():
+                key = (row["key"], row["low"], row["high"])
+                if key != at and group:
+                    yield _links(group, idf.value, least)
+                    group = []
+                at = key
+                group.append(row)
+        if group:
+            yield _links(group, idf.value, least)
+
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
+def _links(group: list[dict], idf: np.ndarray, least: float) -> pa.RecordBatch:
+    """A spanning set of the links between texts of one or two blocks."""
+    vectors = [_weights(r["hashes"], r["counts"], idf) for r in group]
+    total = np.array([w.sum() for _, w in vectors])
+    row = np.repeat(np.arange(len(group)), [len(h) for h, _ in vectors])
+    ids, col, n = np.unique(np.concatenate([h for h, _ in vectors]), return_inverse=True, return_counts=True)
+    root = np.sqrt(np.concatenate([w for _, w in vectors]))
+    keep = n[col] > 1
+    row, root = row[keep], root[keep]
+    col = (np.cumsum(n > 1) - 1)[col[keep]]
+    shared = np.zeros((len(group), len(group)))
+    for lo in range(0, int((n > 1).sum()), 4096):
+        inside = (col >= lo) & (col < lo + 4096)
+        part = np.zeros((len(group), 4096), np.float32)
+        part[row[inside], col[inside] - lo] = root[inside]
+        shared += part @ part.T
+    # the sum of geometric means is at least that of minima, so no similar pair is missed
+    bound = shared / (total[:, None] + total[None, :] - shared)
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    a, b = [], []
+    one = group[0]["low"] == group[0]["high"]
+    for i, j in zip(*np.nonzero(np.triu(bound >= least - 1e-4, 1)), strict=True):
+        x, y = group[i], group[j]
+        if x["number"] == y["number"] or (not one and x["block"] == y["block"]):
+            continue
+        p, q = find(x["component"]), find(y["component"])
+        if p != q and similarity(vectors[i], vectors[j]) >= least:
+            parent[p] = q
+            a.append(min(x["number"], y["number"]))
+            b.append(max(x["number"], y["number"]))
+    return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def link(docs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Verified links between text numbers, and the component of each text that has one.
+    """Verified links between text numbers that join each component, and the component of each text that has one.
 
     Bands are taken a few at a time: what earlier bands have joined is not compared again, so a large group of near
     copies costs its members a few comparisons each and not one for every band.
@@ -309,34 +377,40 @@ def link(docs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float = SIMI
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(idf)
     rows = texts.select("number", F.posexplode("bands").alias("band", "key"))
-    many = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    rows = written(rows.join(many, "key", "left_semi"))
+    many = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    rows = written(rows.join(many, "key"))
+    # a text that shares its buckets with the most others is nearest to all of them: the original among its copies
+    central = rows.groupBy("number").agg(F.shiftleft(F.least(F.sum("n"), F.lit(1 << 30)), 32).bitwiseOR(F.xxhash64("number").bitwiseAND(F.lit((1 << 32) - 1))).alias("order"))
+    rows = written(rows.drop("n").join(central, "number"))
     found = written(vectors(docs, rows.select("number").distinct()))
     links = spark.createDataFrame([], "a bigint, b bigint")
     parts = spark.createDataFrame([], "node bigint, component bigint")
-    # xor with a fixed number gives every other band another order, and so other leaders
-    salt = F.when(F.col("band") % 2 == 0, F.lit(0x35A5C3F09B1E7D24)).otherwise(F.lit(-0x4B1D9C6E2F70A853))
     for first, last in BATCHES:
         left = _open(_labelled(rows.where(F.col("band").between(first, last)), parts))
-        fan = 1
-        while not left.isEmpty():
-            turned = left.withColumn("turned", F.xxhash64("number", "band", F.lit(fan)).bitwiseAND(F.lit(fan - 1))).withColumn("order", F.col("number").bitwiseXOR(salt))
-            leaders = turned.groupBy("key", "band", "turned").agg(F.min("order").alias("least")).select("key", F.col("least").bitwiseXOR(salt).alias("number"))
-            leaders = written(_labelled(leaders, parts).select("key", F.col("number").alias("leader"), F.col("component").alias("leads")))
-            pairs = left.join(leaders, "key").where("component != leads").select(F.least("number", "leader").alias("a"), F.greatest("number", "leader").alias("b")).distinct()
-            new = written(verified(pairs, found, shared, least))
-            links = written(links.unionByName(new))
-            if not new.isEmpty():
-                parts = written(components(new.unionByName(parts.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")))))
-            done = _labelled(leaders.select("key", F.col("leader").alias("number")), parts).select("key", "component").distinct()
-            left = _open(_labelled(left.drop("component"), parts).join(done, ["key", "component"], "left_anti"))
-            fan *= FAN
+        if left.isEmpty():
+            continue
+        leaders = left.groupBy("key").agg(F.max_by("number", "order").alias("number"))
+        leaders = written(_labelled(leaders, parts).select("key", F.col("number").alias("leader"), F.col("component").alias("leads")))
+        pairs = left.join(leaders, "key").where("component != leads").select(F.least("number", "leader").alias("a"), F.greatest("number", "leader").alias("b")).distinct()
+        new = written(verified(pairs, found, shared, least))
+        links, parts = _grown(links, parts, new)
+        left = _open(_labelled(left.drop("component"), parts))
+        if not left.isEmpty():
+            links, parts = _grown(links, parts, written(joined(left.select("key", "number", "component"), found, shared, least)))
     return links, parts
 
 
+def _grown(links: DataFrame, parts: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """links and components with new links added."""
+    if new.isEmpty():
+        return links, parts
+    old = parts.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return links.unionByName(new), written(components(new.unionByName(old)))
+
+
 def _open(rows: DataFrame) -> DataFrame:
     """The rows of buckets that hold more than one component."""
-    rows = rows.select("key", "band", "number", "component")
+    rows = rows.select("key", "number", "order", "component")
     mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
     return written(rows.join(mixed, "key", "left_semi"))
 
