@@ -852,7 +852,9 @@ def o05(spark, sf):
 def o02(spark, sf):
     from millrace.plans.corpus import mix
 
-    return mix(t(spark, sf, "documents").withColumn("source", F.col("lang")), {"en": 0.6, "de": 0.2, "fr": 0.2}, 300_000, 30_000, 4).select("doc_id", "split", "source", "taken", "shard")
+    docs = t(spark, sf, "documents").withColumn("source", F.col("lang"))
+    tenth = (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // 10
+    return mix(docs, {"en": 0.6, "de": 0.2, "fr": 0.2}, tenth, tenth // 10, 4).select("doc_id", "split", "source", "taken", "shard")
 
 
 @Q("s_events_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
