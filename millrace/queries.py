@@ -1054,3 +1054,27 @@ def sessions(spark, sf):
     from millrace.streaming.windows import sessions as made
 
     return made(t(spark, sf, "events"), "2 hours")
+
+
+@Q("o06_conversation_build")
+def o06(spark, sf):
+    from millrace.plans import conversations as plan
+
+    quota = F.when(F.col("split") == "train", 40_000).otherwise(4_000)
+    return plan.select(plan.candidates(t(spark, sf, "conversations"), 4000, 0.9), quota).select("conv_id", "split", "first_turn", "last_turn", "chars")
+
+
+@Q("o07_conversation_audit")
+def o07(spark, sf):
+    from millrace.plans import conversations as plan
+
+    return plan.audit(plan.select(plan.candidates(t(spark, sf, "conversations"), 4000), F.lit(10**9)))
+
+
+@Q("o08_conversation_repair")
+def o08(spark, sf):
+    from millrace.plans import conversations as plan
+
+    quota = F.when(F.col("split") == "train", 40_000).otherwise(4_000)
+    pool = plan.candidates(t(spark, sf, "conversations"), 4000)
+    return plan.repair(pool, plan.select(pool, quota), _items(spark, sf), quota).select("conv_id", "split", "chars")
