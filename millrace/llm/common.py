@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text that are handled at once; bounds the temporary arrays (about 60 bytes for each byte).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
@@ -195,7 +195,7 @@ def with_columns(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBa
     return pa.RecordBatch.from_pydict(kept | new)
 
 
-def mapped(df: DataFrame, columns: str, f, text: str = "text") -> DataFrame:
+def mapped(df: DataFrame, columns: str, f, text: str = "text", size: int = CHUNK_BYTES) -> DataFrame:
     """df with more columns (a DDL string) that f makes from runs of rows: f(batch) -> {name: array}."""
     from pyspark.sql.types import StructType
 
@@ -205,7 +205,7 @@ def mapped(df: DataFrame, columns: str, f, text: str = "text") -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, text):
+            for part in chunks(batch, text, size):
                 out = with_columns(part, f(part))
                 yield out.select(schema.names)
 

@@ -36,6 +36,8 @@ QUANTILE, MARGIN, LEAST_DISTANCE = 0.999, 2.0, 8.0
 #: Nats a character above its language's mean below which no text is rejected: few training texts leave the mean too low.
 LEAST_EXCESS = 1.25
 SPACE = 0x20
+#: Bytes of text that are handled at once; each takes some hundred bytes of memory here.
+RUN_BYTES = 256 << 10
 _LETTER: list[np.ndarray] = []
 
 
@@ -144,7 +146,7 @@ class Model:
         """Cross-entropy a character of each text in each language, and the number of its characters."""
         grams = chars.grams()
         sums = np.zeros((len(chars.n), len(self.languages)))
-        step = max(1, (1 << 22) // max(len(self.languages), 1))
+        step = max(1, (1 << 20) // max(len(self.languages), 1))
         for lo in range(0, len(grams), step):
             logp, doc = self.log_probabilities(grams[lo : lo + step]), chars.doc[lo : lo + step]
             for k in range(len(self.languages)):
@@ -237,7 +239,7 @@ def train(documents: DataFrame, max_chars: int = MAX_CHARS) -> Model:
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for run in chunks(batch):
+            for run in chunks(batch, size=RUN_BYTES):
                 langs = np.array(run.column(1).to_pylist(), object)
                 texts = run.column(0).to_pylist()
                 for lang in sorted(set(langs)):
@@ -259,7 +261,7 @@ def calibrate(model: Model, sample: DataFrame) -> Model:
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for run in chunks(batch):
+            for run in chunks(batch, size=RUN_BYTES):
                 chars = Chars(run.column(0).to_pylist())
                 h, n = shared.value.entropies(chars)
                 yield pa.RecordBatch.from_pydict({"lang": run.column(1), "h": pa.array(list(h), pa.list_(pa.float64())), "n": pa.array(n, pa.int64())})
@@ -295,7 +297,7 @@ def identify(documents: DataFrame, model: Model, text_col: str = "text") -> Data
         lang, score, own, rejected = shared.value.judge(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
         return {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64()), "cross_entropy": pa.array(own, pa.float64()), "rejected": pa.array(rejected, pa.bool_())}
 
-    return mapped(documents, "lang_pred string, score double, cross_entropy double, rejected boolean", run, text_col)
+    return mapped(documents, "lang_pred string, score double, cross_entropy double, rejected boolean", run, text_col, RUN_BYTES)
 
 
 def report(documents: DataFrame) -> DataFrame:

@@ -90,7 +90,7 @@ def summed(docs: DataFrame, cells: int, add: Callable[[np.ndarray, pa.RecordBatc
     def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells, np.int64)
         for batch in batches:
-            for run in chunks(batch):
+            for run in chunks(batch, size=RUN_BYTES):
                 add(total, run)
         at = [k for k in range(0, cells, SLICE) if total[k : k + SLICE].any()]
         yield pa.RecordBatch.from_pydict({"slice": pa.array([k // SLICE for k in at], pa.int32()), "sums": pa.array([total[k : k + SLICE].tobytes() for k in at], pa.binary())})
@@ -232,7 +232,7 @@ def vectors(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, size=RUN_BYTES):
                 words = Words(part.column(0))
                 numbers = _numbers(fingerprints(words)).to_pylist()
                 keep = []
