@@ -140,27 +140,22 @@ def _graph(marked: DataFrame) -> DataFrame:
 
 def bootstrap(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Accepted patterns (pattern, kind) and instances (instance, kind)."""
-    graph = _graph(marked)
-    # only patterns with enough seeds of one kind can ever be confident, and only tokens in them can be reached
-    seeded = graph.where("kind >= 0").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= LEAST_SUPPORT)
-    seeded = written(seeded.select("pattern", F.col("kind").alias("as_kind")))
-    edges = written(graph.join(seeded, "pattern"))
-    scores = edges.select("instance", "as_kind", (F.col("kind") == F.col("as_kind")).cast("double").alias("score")).distinct()
-    scores = scores.groupBy("instance", "as_kind").agg(F.max("score").alias("score"))
-    confident = None
+    graph = written(_graph(marked))
+    # scores are at most 1, so a pattern of fewer distinct instances never has the support
+    sizes = graph.groupBy("pattern").agg(F.count("*").alias("size")).where(F.col("size") >= LEAST_SUPPORT)
+    edges = written(graph.join(sizes, "pattern"))
+    seeds = written(graph.where("kind >= 0").select("instance", F.col("kind").alias("as_kind"), F.lit(1.0).alias("score")).distinct())
+    scores, confident = seeds, None
     for _ in range(ROUNDS):
-        held = edges.join(scores, ["instance", "as_kind"])
-        confident = held.groupBy("pattern", "as_kind").agg(F.avg("score").alias("confidence"), F.sum("score").alias("support"))
-        confident = written(confident.where((F.col("support") >= LEAST_SUPPORT) & (F.col("confidence") >= CONFIDENT)).select("pattern", "as_kind", "confidence"))
-        reached = edges.join(confident, ["pattern", "as_kind"])
-        # a product of factors as a sum of logarithms; a seed of the kind stays at 1
-        more = reached.groupBy("instance", "as_kind").agg(
-            F.max(F.col("kind") == F.col("as_kind")).alias("seed"), F.max(F.col("kind") >= 0).alias("any_seed"), F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999)))).alias("miss")
-        )
-        more = more.select("instance", "as_kind", F.when(F.col("seed"), 1.0).when(F.col("any_seed"), 0.0).otherwise(1 - F.exp("miss")).alias("score"))
-        scores = written(more)
+        # instances without a score count in the size as 0
+        held = edges.join(scores, "instance").groupBy("pattern", "as_kind").agg((F.sum("score") / F.max("size")).alias("confidence"), F.sum("score").alias("support"))
+        confident = written(held.where((F.col("support") >= LEAST_SUPPORT) & (F.col("confidence") >= CONFIDENT)).select("pattern", "as_kind", "confidence"))
+        # a product of factors as a sum of logarithms; a seed stays at 1 for its kind and at 0 for others
+        reached = edges.where("kind < 0").join(confident, "pattern").groupBy("instance", "as_kind")
+        found = reached.agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999)))))).alias("score"))
+        scores = written(seeds.unionByName(found.join(seeds, "instance", "left_anti")))
     patterns = confident.where(F.col("confidence") >= ACCEPT).groupBy("pattern").agg(F.min_by("as_kind", -F.col("confidence") * 10 + F.col("as_kind") / 100).alias("kind"))
-    tokens = scores.join(edges.where("kind = -1").select("instance").distinct(), "instance", "left_semi")
+    tokens = scores.join(graph.where("kind = -1").select("instance").distinct(), "instance", "left_semi")
     instances = tokens.where(F.col("score") >= ACCEPT).groupBy("instance").agg(F.min_by("as_kind", -F.col("score") * 10 + F.col("as_kind") / 100).alias("kind"))
     return written(patterns), written(instances)
 

@@ -76,6 +76,26 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert pii.redact(docs).where("spans = 'old'").count() == len(texts)
 
 
+def test_contexts_learned_from_discovered_identifiers_discover_further_ones(spark):
+    texts = [f"Please contact me at user{i}@mail.example.com today." for i in range(60)]
+    texts += [f"Please contact me at zz{i}456 today." for i in range(5)]
+    texts += [f"The badge id zz{i}456 here" for i in range(5)]
+    texts += ["The badge id qq9991 here", "Some other text with ww8881 here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r["spans"] for r in pii.report(docs).collect()}
+    assert rows[60] == "email:21:27" and rows[65] == "email:13:19"
+    assert rows[70] == "email:13:19" and rows[71] == ""
+
+
+def test_scores_of_all_instances_count_in_the_confidence(spark):
+    # four of the second pattern's thirteen instances are seeds: never confident, though each seed also stands in the first
+    texts = [f"Please contact me at user{i}@mail.example.com today." for i in range(40)]
+    texts += [f"The order number user{i}@mail.example.com here" for i in range(4)] + [f"The order number kk{i}777 here" for i in range(9)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r["spans"] for r in pii.report(docs).collect()}
+    assert [rows[k] for k in range(44, 53)] == [""] * 9
+
+
 def test_redaction_merges_overlaps_and_keeps_nulls(spark):
     docs = spark.createDataFrame([(1, "x +4111111111111111 y"), (2, None), (None, "1.2.3.4"), (1, "1.2.3.4")], "doc_id long, text string")
     got = sorted([tuple(r) for r in pii.redact(docs).collect()], key=str)
