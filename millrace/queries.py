@@ -143,6 +143,13 @@ def p08(spark, sf):
     return rows.unpivot("event_id", ["who", "what"], "field", "value")
 
 
+@Q("p08_unpivot_events", "SELECT event_id, field, value FROM (UNPIVOT (SELECT event_id, CAST(user_id AS VARCHAR) AS who, event_type AS what FROM events) ON who, what INTO NAME field VALUE value)")
+def p08_events(spark, sf):
+    """Of all events; p08_unpivot keeps the id subset of its SQL."""
+    rows = t(spark, sf, "events").select("event_id", F.col("user_id").cast("string").alias("who"), F.col("event_type").alias("what"))
+    return rows.unpivot("event_id", ["who", "what"], "field", "value").where("value is not null")
+
+
 @Q("p09_best_path", """
 WITH RECURSIVE n AS (SELECT conv_id * 1000 + turn AS node, CASE WHEN turn > 0 THEN conv_id * 1000 + (turn - 1) // 2 END AS parent, role, length(text) % 5 AS rank FROM conversations WHERE role != 'system' OR turn = 0),
 best AS (SELECT parent, role, node FROM (SELECT *, row_number() OVER (PARTITION BY parent, role ORDER BY rank, node) AS k FROM n WHERE parent IS NOT NULL) WHERE k = 1),
@@ -918,6 +925,16 @@ def j19(spark, sf):
     return C.reject_seen_prompts(rows.where("key >= 50"), rows.where("key < 50")).select("key")
 
 
+@Q("j19_seen_in_earlier_split", f"""
+WITH {_PROMPTS}, s AS (SELECT key, prompt, ('0x' || substr(sha256('split:' || key), 1, 8))::BIGINT % 10 = 0 AS earlier FROM p)
+SELECT key FROM s WHERE NOT earlier AND NOT EXISTS (SELECT 1 FROM s b WHERE b.earlier AND b.prompt = s.prompt)""")
+def j19_split(spark, sf):
+    """Against a tenth by hash, which grows with the table; j19_seen_prompts keeps the id subset of its SQL."""
+    rows = _prompts(spark, sf)
+    earlier = H.bucket(H.sha256(F.concat(F.lit("split:"), F.col("key").cast("string"))), 10) == 0
+    return C.reject_seen_prompts(rows.where(~earlier), rows.where(earlier)).select("key")
+
+
 @Q("d06_near_components", f"""
 WITH RECURSIVE s AS (SELECT doc_id AS id, list_sort(list_transform({_GRAMS}, lambda g: md5(g))) AS g FROM (SELECT doc_id, {N1.format("text")} AS n FROM documents) WHERE length(n) >= 5),
 e AS (SELECT id, unnest(g[1:32]) AS h FROM s), c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM e x JOIN e y ON x.h = y.h AND x.id < y.id),
