@@ -935,6 +935,13 @@ def j19_split(spark, sf):
     return C.reject_seen_prompts(rows.where(~earlier), rows.where(earlier)).select("key")
 
 
+@Q("j07_self_simhash_pairs")
+def j07_pairs(spark, sf):
+    rows = V.nest(t(spark, sf, "conversations")).select(F.col("conv_id").alias("key"), T.folded_words(V.prompt(F.col("messages"))).alias("prompt"))
+    validation = H.bucket(H.sha256(F.concat(F.lit("split:"), F.col("key").cast("string"))), 10) == 0
+    return C.self_simhash_pairs(rows.withColumn("split", F.when(validation, "validation").otherwise("train")), "split")
+
+
 @Q("d06_near_components", f"""
 WITH RECURSIVE s AS (SELECT doc_id AS id, list_sort(list_transform({_GRAMS}, lambda g: md5(g))) AS g FROM (SELECT doc_id, {N1.format("text")} AS n FROM documents) WHERE length(n) >= 5),
 e AS (SELECT id, unnest(g[1:32]) AS h FROM s), c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM e x JOIN e y ON x.h = y.h AND x.id < y.id),

@@ -107,6 +107,40 @@ def test_simhash(spark):
     assert rows[0]["h"] % 2**64 == digests[0] | digests[1]
 
 
+def test_self_simhash_pairs_equal_the_sequential_audit(spark):
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcde ") for _ in range(rng.randint(40, 300))) for _ in range(60)]
+    prompts = base + [b[:k] + "z" + b[k + 1 :] for b in base for k in (0, len(b) // 2)] + [rng.choice(base) for _ in range(30)]
+    rng.shuffle(prompts)
+
+    def audit():
+        seen, out = [], set()
+        for i, p in enumerate(prompts):
+            if len(p) < 50:
+                continue
+            g = {int.from_bytes(hashlib.blake2b(p[k : k + 5].encode(), digest_size=8).digest(), "big") for k in range(len(p) - 4)}
+            h = sum(1 << bit for bit in range(64) if 2 * sum(x >> bit & 1 for x in g) >= len(g))
+            for j, other, sign in seen:
+                if any((h ^ sign) >> 16 * b & 0xFFFF == 0 for b in range(4)) and len(g & other) >= 0.85 * len(g | other):
+                    out.add((j, i))
+            seen.append((i, g, h))
+        return out
+
+    frame = spark.createDataFrame([(i, p, "ab"[i % 2]) for i, p in enumerate(prompts)], "key long, prompt string, split string").repartition(3)
+    got = C.self_simhash_pairs(frame, "split").collect()
+    assert all((r["split_a"], r["split_b"]) == ("ab"[r["a"] % 2], "ab"[r["b"] % 2]) for r in got)
+    first = {p: i for i, p in reversed(list(enumerate(prompts)))}
+    members = {}
+    for i, p in enumerate(prompts):
+        members.setdefault(first[p], []).append(i)
+    copies = {(r["a"], r["b"]) for r in got if prompts[r["a"]] == prompts[r["b"]]}
+    assert copies == {(a, b) for a, m in members.items() for b in m[1:] if len(prompts[a]) >= 50}
+    near = {(r["a"], r["b"]) for r in got} - copies
+    pairs = {tuple(sorted(p)) for a, b in near for p in itertools.product(members[a], members[b])}
+    pairs |= {p for a, m in members.items() if len(prompts[a]) >= 50 for p in itertools.combinations(m, 2)}
+    assert len(got) == len(near) + len(copies) and near and pairs == audit()
+
+
 def test_running_totals_over_ranges(spark):
     rng = random.Random(3)
     data = [(f"{rng.random():.9f}", rng.randint(0, 9)) for _ in range(500)]
