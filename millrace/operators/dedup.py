@@ -33,8 +33,12 @@ def unseen(df: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
 
 def overlap_matrix(splits: dict[str, DataFrame], key: str) -> DataFrame:
     """a, b, n: how many distinct keys each pair of splits shares; one pass over the tagged union."""
-    tagged = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("split"), F.col(key).alias("key")) for name, df in splits.items()])
-    sets = tagged.groupBy("key").agg(F.array_sort(F.collect_set("split")).alias("s"))  # at most one entry a split
+    return overlaps(reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("split"), F.col(key).alias("key")) for name, df in splits.items()]))
+
+
+def overlaps(tagged: DataFrame) -> DataFrame:
+    """a, b, n of all splits found in rows of (split, key); null splits and keys count nowhere."""
+    sets = tagged.where("key is not null").groupBy("key").agg(F.array_sort(F.collect_set("split")).alias("s"))  # at most one entry a split
     pairs = sets.select(F.explode(F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p"))
     return pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
 

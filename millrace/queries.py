@@ -429,8 +429,20 @@ def d05(spark, sf):
 @Q("d07_overlap_matrix", """
 WITH s AS (SELECT DISTINCT lang, source FROM documents) SELECT x.lang AS a, y.lang AS b, count(*) AS n FROM s x JOIN s y ON x.source = y.source AND x.lang < y.lang GROUP BY ALL""")
 def d07(spark, sf):
-    docs = t(spark, sf, "documents")
-    return D.overlap_matrix({x: docs.where(F.col("lang") == x).select("source").distinct() for x in ("de", "en", "es", "fr")}, "source")
+    return D.overlaps(t(spark, sf, "documents").select(F.col("lang").alias("split"), F.col("source").alias("key")))
+
+
+@Q("d07_text_overlaps", f"""
+WITH s AS (SELECT DISTINCT lang, 'raw' AS kind, sha256(text) AS h FROM documents UNION SELECT DISTINCT lang, 'normalised', sha256({N1.format("text")}) FROM documents)
+SELECT x.lang AS a, y.lang AS b, count(*) FILTER (kind = 'raw') AS raw, count(*) FILTER (kind = 'normalised') AS normalised
+FROM s x JOIN s y USING (kind, h) WHERE x.lang < y.lang GROUP BY ALL""")
+def d07_texts(spark, sf):
+    """Whole texts that each pair of splits shares, raw and normalised."""
+    docs, found = t(spark, sf, "documents"), []
+    for kind, body in (("raw", F.col("text")), ("normalised", T.alnum_lower(F.col("text")))):
+        counts = D.overlaps(docs.select(F.col("lang").alias("split"), H.sha256(body).alias("key")))
+        found.append(counts.select("a", "b", *[(F.col("n") if k == kind else F.lit(0)).alias(k) for k in ("raw", "normalised")]))
+    return found[0].unionByName(found[1]).groupBy("a", "b").agg(F.sum("raw").alias("raw"), F.sum("normalised").alias("normalised"))
 
 
 @Q("d09_union_sources", "SELECT source_id, count(*) AS n, count(lang) AS with_lang FROM (SELECT 'docs' AS source_id, lang FROM documents UNION ALL SELECT 'bench', NULL FROM benchmark) GROUP BY 1")

@@ -37,3 +37,14 @@ def test_earlier_split_grows_with_the_table(spark, tmp_path):
     got = QUERIES["j19_seen_in_earlier_split"](spark, str(tmp_path))
     assert len(banned) > 20 and {r["key"] for r in got.collect()} == {k for k in range(1000, 1600) if k not in earlier and k % 200 not in banned}
     same(got, ORACLES["j19_seen_in_earlier_split"], str(tmp_path))
+
+
+def test_overlaps_take_all_splits_and_whole_texts(spark, tmp_path):
+    rows = [("en", "x", "A b"), ("it", "x", "A b"), ("it", "y", "a, b"), ("de", "y", "a, b"), ("fr", "z", "other"), (None, "x", "A b"), ("pt", None, None), ("it", None, None)]
+    spark.createDataFrame(rows, "lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["a"], r["b"]): r["n"] for r in QUERIES["d07_overlap_matrix"](spark, str(tmp_path)).collect()}
+    assert got == {("en", "it"): 1, ("de", "it"): 1}
+    texts = {(r["a"], r["b"]): (r["raw"], r["normalised"]) for r in QUERIES["d07_text_overlaps"](spark, str(tmp_path)).collect()}
+    assert texts == {("en", "it"): (1, 1), ("de", "it"): (1, 1), ("de", "en"): (0, 1)}
+    for name in ("d07_overlap_matrix", "d07_text_overlaps"):
+        same(QUERIES[name](spark, str(tmp_path)), ORACLES[name], str(tmp_path))
