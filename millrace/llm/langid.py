@@ -9,7 +9,8 @@ Rejection is calibrated on training documents that the counts do not see: the cr
 texts has a mean and a variance that falls with their length; a text is rejected if it lies further above the mean
 than nearly all calibration texts do, with a margin. Texts without a letter are rejected as "und".
 
-Training reads a sample of documents of at most about max_chars characters a language, drawn by a hash of doc_id.
+Training counts the n-grams of all training documents but those set aside for calibration: a fifth of a sample of about
+max_chars characters a language, drawn by a hash of doc_id, and none of a language with fewer than LEAST_COUNTED others.
 
 Defined results: null text or a text without letters gives und, score 0 and is rejected; a null lang is never
 learned; with nothing to learn from every text is und; repeated rows count as often as they occur; an empty table
@@ -31,6 +32,10 @@ from millrace.llm.common import chunks, fold, hash_unit, mapped, mix
 ORDER = 4
 MAX_CHARS = 2_000_000
 FOLDS, HELD = 4, 2
+#: Documents that a language needs beside a fifth of them before any is set aside for calibration.
+LEAST_COUNTED = 5
+#: Distinct n-grams that a task holds before it puts out their counts.
+HELD_GRAMS = 1 << 20
 #: The share of calibration documents beyond which a text may be rejected, and the factor on their distance.
 QUANTILE, MARGIN, LEAST_DISTANCE = 0.999, 2.0, 8.0
 #: Nats a character above its language's mean below which no text is rejected: few training texts leave the mean too low.
@@ -230,29 +235,44 @@ def _lower(model: Model, grams: np.ndarray, order: int) -> np.ndarray:
 
 def train(documents: DataFrame, max_chars: int = MAX_CHARS) -> Model:
     docs = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD))
-    sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
+    part = hash_unit(F.concat(F.lit("part:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    sizes = docs.groupBy("lang").agg(F.sum(F.length("text")).alias("n"), F.count_if(part >= 0.2).alias("others")).collect()
     if not sizes:
         return Model([], [], [], 0.0)
-    rate = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, max_chars / max(n, 1)))) for k, n in sorted(sizes.items())])
-    part = hash_unit(F.concat(F.lit("part:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sample = docs.where(hash_unit(F.concat(F.lit("lm:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))) < rate).withColumn("calibrate", part < 0.2).drop("doc_id")
+    rates = {r["lang"]: min(1.0, max_chars / max(r["n"], 1)) if r["others"] >= LEAST_COUNTED else 0.0 for r in sizes}
+    rate = F.coalesce(*[F.when(F.col("lang") == k, F.lit(x)) for k, x in sorted(rates.items())])
+    drawn = hash_unit(F.concat(F.lit("lm:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))) < rate
+    docs = docs.withColumn("calibrate", drawn & (part < 0.2)).drop("doc_id")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, (grams, n) in sorted(held.items()):
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(grams), pa.string()), "gram": pa.array(grams.view(np.int64)), "n": pa.array(n, pa.int64())})
+            held.clear()
+
         for batch in batches:
             for run in chunks(batch, size=RUN_BYTES):
                 langs = np.array(run.column(1).to_pylist(), object)
                 texts = run.column(0).to_pylist()
                 for lang in sorted(set(langs)):
                     grams, n = np.unique(Chars([texts[i] for i in np.flatnonzero(langs == lang)]).grams(), return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(grams), pa.string()), "gram": pa.array(grams.view(np.int64)), "n": pa.array(n, pa.int64())})
-
-    counted = sample.where("not calibrate").select("text", "lang").mapInArrow(count, "lang string, gram bigint, n bigint")
+                    if lang in held:
+                        merged, at = np.unique(np.concatenate([held[lang][0], grams]), return_inverse=True)
+                        grams, n = merged, np.bincount(at, np.concatenate([held[lang][1], n]), len(merged)).astype(np.int64)
+                    held[lang] = grams, n
+                if sum(len(grams) for grams, _ in held.values()) > HELD_GRAMS:
+                    yield from out()
+        yield from out()
+
+    counted = docs.where("not calibrate").select("text", "lang").mapInArrow(count, "lang string, gram bigint, n bigint")
     rows = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy("lang", "gram").toArrow()
     if not rows.num_rows:
         return Model([], [], [], 0.0)
     langs, grams, n = np.array(rows.column("lang").to_pylist(), object), rows.column("gram").to_numpy().view(np.uint64), rows.column("n").to_numpy()
     model = kneser_ney({x: (grams[langs == x], n[langs == x]) for x in sorted(set(langs))})
-    return calibrate(model, sample.where("calibrate").select("text", "lang"))
+    return calibrate(model, docs.where("calibrate").select("text", "lang"))
 
 
 def calibrate(model: Model, sample: DataFrame) -> Model:

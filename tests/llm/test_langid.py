@@ -3,6 +3,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from millrace.llm import langid
 
@@ -66,3 +67,18 @@ def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "abc", None), (2, None, "en")], "doc_id long, text string, lang string")
     assert {r["lang_pred"] for r in langid.report(docs).collect()} == {"und"}
     assert langid.report(docs.limit(0)).count() == 0
+
+
+def test_all_training_rows_count_and_small_languages_are_learned(spark):
+    texts = {"aa": [f"abra cadabra {'ab' * (i % 5)} word{chr(97 + i % 26)}" for i in range(400)], "bb": ["xyzzy plugh quux " * 3]}
+    rows = [(i, t, lang) for lang, ts in texts.items() for i, t in enumerate(ts)]
+    for only in range(40):  # whichever of the ids is the language's one document
+        docs = [(i, t, lang) for i, t, lang in rows if lang == "aa"] + [(only, texts["bb"][0], "bb")]
+        frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+        if zlib.crc32(str(only).encode()) % 4 != 2 and frame.where((langid.hash_unit(F.concat(F.lit("part:"), F.col("doc_id").cast("string"))) < 0.2) & (F.col("lang") == "bb")).count():
+            break
+    model = langid.train(frame, max_chars=500)
+    assert model.languages == ["aa", "bb"] and model.judge(["xyzzy quux"])[0] == ["bb"]
+    trained = [t for i, t in enumerate(texts["aa"]) if zlib.crc32(str(i).encode()) % 4 != 2]
+    seen = model.tables[-1][0].find(np.unique(langid.Chars(trained).grams()))
+    assert (seen >= 0).mean() > 0.95
