@@ -1,6 +1,6 @@
 """URL filters: longest matching rule, and block decisions that spread over redirects and canonical links.
 
-A page's url and the targets of its canonical link and of its refresh redirect are one resource under several names.
+A page's url and the targets of its canonical links and of its refresh redirects are one resource under several names.
 Names are the nodes of a graph (without fragment, scheme and host in lower case) and these links its edges; a
 connected component is a set of aliases. A name that a rule fits keeps the rule's verdict. The others take the
 component's: allow if any name in it is explicitly allowed, else block if any is blocked, else allow.
@@ -28,7 +28,8 @@ RULES = [
     ("net", "/fr/", "block"),
 ]
 
-CANONICAL = r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
+#: canonical may be any token of rel.
+CANONICAL = r"""(?i)<link\b[^>]*\brel\s*=\s*(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'|["']?canonical\b)[^>]*>"""
 HREF = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
 REFRESH = r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
 TARGET = r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)"""
@@ -85,11 +86,8 @@ def resolved(link: Column, base: Column) -> Column:
 def links(pages: DataFrame) -> DataFrame:
     """Edges (a, b) between the names of one resource."""
     said = pages.where(F.col("html").rlike("(?i)canonical|refresh") & node(F.col("url")).isNotNull())
-    target = F.array(
-        F.regexp_extract(F.regexp_extract("html", CANONICAL, 0), HREF, 1),
-        F.regexp_extract(F.regexp_extract("html", REFRESH, 0), TARGET, 1),
-    )
-    rows = said.select("url", F.explode(target).alias("link")).where("link != ''")
+    found = lambda tag, link: F.transform(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda t: F.regexp_extract(t, link, 1))
+    rows = said.select("url", F.explode(F.concat(found(CANONICAL, HREF), found(REFRESH, TARGET))).alias("link")).where("link != ''")
     edges = rows.select(node(F.col("url")).alias("a"), node(resolved(F.col("link"), F.col("url"))).alias("b"))
     return edges.where("b is not null and a != b").distinct()
 

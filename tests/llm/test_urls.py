@@ -39,6 +39,21 @@ def test_aliases_equal_sql(spark, tmp_path):
     assert norm(verdicts[18]) == "allow"
 
 
+def test_all_links_of_a_page_count(spark):
+    blocked = "http://x.net/fr/"
+    heads = {
+        "second": page("http://a.org/1") + page(blocked),
+        "bare": '<link rel="canonical">' + page(blocked),
+        "token": f'<link rel="nofollow canonical" href="{blocked}">',
+        "quoted": f"<link rel='canonical nofollow' href='{blocked}'>",
+        "refresh": page(None, "http://a.org/2") + page(None, blocked),
+        "other": f'<link rel="nofollow canonicals" href="{blocked}">',
+    }
+    for name, head in heads.items():
+        pages = spark.createDataFrame([(1, "http://plain.org/a", head), (2, "http://plain.org/b", "")], "page_id long, url string, html string")
+        assert {r["page_id"]: r["verdict"] for r in urls.judge(pages).collect()} == {1: "allow" if name == "other" else "block", 2: "allow"}, name
+
+
 def test_empty(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
