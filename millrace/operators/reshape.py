@@ -57,7 +57,7 @@ def flat_metrics(df: DataFrame, key: str, json: str) -> DataFrame:
     """key, name, value of every finite number in a JSON object; names join the path by "/", two-element arrays give lower and upper."""
     tree = df.select(key, F.try_parse_json(json).alias("v"))
     level, out = tree.select(key, F.lit("").alias("name"), "v"), None
-    for _ in range(4):  # the depth of metric files
+    while out is None or not level.isEmpty():
         level.createOrReplaceTempView("millrace_metric_level")
         step = level.sparkSession.sql(
             f"select l.`{key}`, concat(l.name, case when l.name = '' then '' else '/' end, coalesce(e.key, case e.pos when 0 then 'lower' else 'upper' end)) as name, e.value as v, schema_of_variant(e.value) as kind "

@@ -220,6 +220,11 @@ def test_flat_metrics(spark):
     assert {(r["name"], r["value"]) for r in reshape.flat_metrics(df, "id", "j").collect()} == {("a/b", 1.0), ("ci/lower", 0.5), ("ci/upper", 2.0)}
 
 
+def test_flat_metrics_at_any_depth(spark):
+    df = spark.createDataFrame([(1, '{"a": {"b": {"c": {"d": {"e": {"f": 6}}, "n": 4}}}}'), (2, '{"k": 1}'), (3, "no"), (4, None)], "id long, j string")
+    assert {tuple(r) for r in reshape.flat_metrics(df, "id", "j").collect()} == {(1, "a/b/c/d/e/f", 6.0), (1, "a/b/c/n", 4.0), (2, "k", 1.0)}
+
+
 def test_percentiles(spark):
     values = [5, 1, 9, 7, 3, 3, 8]
     row = profile.percentile_variants(spark.createDataFrame([(v,) for v in values], "v long"), "v", 0.5).first()
