@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text that are handled at once; bounds the temporary arrays (about 60 bytes for each byte).
+#: Bytes of text that are handled at once. A longer text is a run of its own; its words are found and hashed in segments.
 CHUNK_BYTES = 1 << 20
 
 
@@ -112,27 +112,27 @@ class Words:
         raw, self.offsets = utf8(column)
         self.n_docs = len(self.offsets) - 1
         self.data = lower_ascii()[raw] if lower else raw
-        n = len(raw)
-        inside = word[raw]
-        if not inside.any():
-            self.start = self.end = self.doc = np.zeros(0, np.int64)
-            self.hash = np.zeros(0, np.uint64)
-            self.first = np.zeros(self.n_docs + 1, np.int64)
-            return
-        begins = inside.copy()
-        begins[1:] &= ~inside[:-1]
-        edges = self.offsets[1:-1]
-        edges = edges[edges < n]
-        begins[edges] = inside[edges]
-        ends = inside.copy()
-        ends[:-1] &= ~inside[1:]
-        before = edges[edges > 0] - 1
-        ends[before] = inside[before]
-        self.start = np.flatnonzero(begins)
-        self.end = np.flatnonzero(ends) + 1
+        # segment by segment, so that a very long text takes little more than its bytes and its words
+        starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        edge = self.offsets[1:-1]
+        for lo in range(0, len(raw), _SEGMENT):
+            hi = min(lo + _SEGMENT, len(raw))
+            inside = np.zeros(hi - lo + 2, bool)  # one more on either side
+            inside[1:-1] = word[raw[lo:hi]]
+            inside[0] = lo > 0 and word[raw[lo - 1]]
+            inside[-1] = hi < len(raw) and word[raw[hi]]
+            here = edge[np.searchsorted(edge, lo) : np.searchsorted(edge, hi, "right")] - lo
+            begins, stops = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
+            at = here[here < hi - lo]
+            begins[at] = inside[at + 1]
+            at = here[here > 0] - 1
+            stops[at] = inside[at + 1]
+            starts.append(np.flatnonzero(begins) + lo)
+            ends.append(np.flatnonzero(stops) + lo + 1)
+        self.start, self.end = np.concatenate(starts), np.concatenate(ends)
         self.first = np.searchsorted(self.start, self.offsets)
         self.doc = np.repeat(np.arange(self.n_docs), np.diff(self.first))
-        self.hash = self._hashes()
+        self.hash = self._hashes() if len(self.start) else np.zeros(0, np.uint64)
 
     def _hashes(self) -> np.ndarray:
         """Polynomial hashes by prefix sums, segment by segment; longer words are hashed one at a time."""

@@ -1,41 +1,57 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 Shingles are five consecutive words (lower-cased; a text of fewer words is one shingle). A shingle's weight in a text
-is (1 + ln tf) * idf. Texts that are equal word for word are one class at once. The others are sampled BANDS * ROWS
-times (consistent weighted sampling: each sample falls on the same shingle in two texts with the probability of their
-weighted Jaccard similarity), banded, and candidates are verified by their exact weighted Jaccard similarity. Two
-texts of similarity 0.8 miss each other in all bands once in 38,000 pairs, and more similar ones far more rarely.
-
-Document frequencies count groups of near copies about once: a document counts by one over the number of documents
-that share its three smallest shingle hashes. Else the shingles of a group of thousands of copies would weigh next to
-nothing against each copy's own edits, while a passage in thousands of unrelated documents must weigh little. Both
-counts are kept in hashed arrays of 2**18 cells, whatever the corpus's size: they are summed over all documents and
-are the only corpus statistics sent to executors (2 MB each). A cell's load grows with the corpus as the number of
-documents does, so relative frequencies, and with them weights, look alike at every size.
+is (1 + ln tf) * idf, with
+    idf = 1 + ln(N / max(df, LEAST_SHARE * N, 1)) / ln(1 / LEAST_SHARE),
+from 1 for a shingle of every document to 2 for one of at most LEAST_SHARE of them. It depends on relative
+frequencies only, so the same pair gets the same weights at any size of corpus. The range is narrow on purpose: in a
+group of thousands of copies the common shingles are frequent and each copy's edits are rare, and with a wide range
+copies of 95 % equal words would fall below the threshold.
+
+Document frequencies are exact sums over all documents, keyed by 32-bit shingle hashes: every task adds up its own
+shingles, ranges of hashes are merged by one task each (at most 2**32 / ranges sums in memory), and only shingles in
+more than LEAST_SHARE of the documents come out. By the definition of the idf no others matter, and there are at most
+(mean shingles a document) / LEAST_SHARE of them. Beyond MAX_FREQUENT the share is doubled until they fit. Other
+shingles that share a hash add at most (mean shingles a document) / 2**32 of N to a frequency. A document counts by one
+over the number of documents with its three smallest shingle hashes if these are more than LEAST_SHARE of all: a large
+group of copies then counts about once.
+
+Texts that are equal word for word are one class at once. The others are sampled BANDS * ROWS times (each sample
+falls on the same shingle in two texts with the probability of their weighted Jaccard similarity), banded, and
+candidates are verified by their exact weighted Jaccard similarity. Two texts of similarity 0.8 miss each other in all
+bands once in 38,000 pairs, and more similar ones far more rarely.
 
 Within a bucket, members are first compared with one leader, the text that shares buckets with the most others: in a
-group of copies that is the original or what is nearest to it. A bucket that still holds several components is compared
-in blocks of about BLOCK texts, pairs of blocks being groups of bounded size; a group puts out only links that join
-components, never all pairs. Later bands compare only what earlier ones have not joined.
-Components are computed by star steps. Only text numbers, similarities and the shingles of texts in shared buckets
-are shuffled; every intermediate table is written to the shared folder.
+group of copies that is the original or what is nearest to it. What still holds several components is compared in
+groups of bounded size, each inside its task: texts outside the bucket's largest component, BLOCK at a time, against
+all others, CHUNK at a time. A bucket of more than BLOCK texts is first banded again by further samples, up to LEVELS
+times, which parts texts that share a passage only. Links that join components come out, never all pairs; later bands
+compare only what earlier ones have not joined. Rows of a bucket are dealt by (key, salt), a salt for every SALT rows.
+Components are computed by star steps. Only text numbers and the shingles of texts in shared buckets are shuffled.
 
 Defined results: null and empty texts and texts without words are classes of their own, with class_id their doc_id;
 otherwise class_id is the smallest doc_id of the class (null if all its ids are null); repeated rows are exact copies;
-an empty table gives no rows; clashing columns are replaced.
+a very long text is read in segments and sampled in slices; an empty table gives no rows; clashing columns are replaced
+by classes and report and kept by deduplicated. n_links counts the verified links of a text that hold its class together (a spanning set:
+a class of k different texts has k - 1 of them at least), not all pairs above the threshold.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterable, Iterator
+import math
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
-from millrace.llm.common import Words, chunks, mapped, mix
+from millrace.llm.common import Words, chunks, mix
 from millrace.operators.components import components
 from millrace.session import written
 
@@ -43,14 +59,22 @@ SIZE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 #: Bands that are compared together, from and to.
-BATCHES = ((0, 1), (2, 6), (7, 19))
-#: Texts in a block of a bucket.
-BLOCK = 256
-BITS = 18
-UNIT = 1 << 30
-SLICE = 1 << 12
+BATCHES = ((0, 3), (4, 19))
+#: Texts compared at once, and the others that they are compared with in one group.
+BLOCK, CHUNK = 256, 4096
+#: Rows of a bucket that one salt takes, and how often a large bucket is banded again.
+SALT, LEVELS = 256, 2
+#: The share of documents below which all shingles weigh the same, and how many shingles may lie above it.
+LEAST_SHARE = 1e-3
+MAX_FREQUENT = 1 << 22
+#: Ranges of shingle hashes that are summed by a task each; shingles that a task holds before it puts out sums.
+RANGES = 256
+HELD = 1 << 22
+#: A bucket with more than this share of all rows is met by a broadcast: at most 1 / HOT_SHARE buckets.
+HOT_SHARE = 1e-4
 MARK_BITS = 24
 RUN_BYTES = 512 << 10
+SLICE = 1 << 17
 _TABLE = 1 << 16
 
 
@@ -66,73 +90,164 @@ def shingle_table(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (keys >> np.uint64(32)).astype(np.int64), keys.astype(np.uint32), counts
 
 
-def cell(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint32(32 - BITS)).astype(np.int64)
+def copies_key(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each text's three smallest shingle hashes; 0 for a text without shingles."""
+    out = np.zeros(n, np.int64)
+    if len(doc):
+        starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        key = np.zeros(len(starts), np.uint64)
+        for k in range(3):
+            least = np.minimum.reduceat(mix(h.astype(np.uint64) + np.uint64((k + 1) << 40)), starts)
+            key = mix(key * np.uint64(0xC2B2AE3D27D4EB4F) + least)
+        out[doc[starts]] = (key | np.uint64(1)).view(np.int64)
+    return out
 
 
-def copies_cell(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
-    """The cell of each text's three smallest shingle hashes; -1 for a text without shingles."""
-    out = np.full(n, -1, np.int64)
-    if not len(doc):
-        return out
-    starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-    key = np.zeros(len(starts), np.uint64)
-    for k in range(3):
-        least = np.minimum.reduceat(mix(h.astype(np.uint64) + np.uint64((k + 1) << 40)), starts)
-        key = mix(key * np.uint64(0xC2B2AE3D27D4EB4F) + least)
-    out[doc[starts]] = (key >> np.uint64(64 - BITS)).astype(np.int64)
+def fingerprints(words: Words) -> list[str | None]:
+    """128 bits for each text's words in order; None without words."""
+    out = []
+    for lo, hi in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+        out.append(hashlib.blake2b(words.hash[lo:hi].tobytes(), digest_size=16).hexdigest() if hi > lo else None)
     return out
 
 
-def summed(docs: DataFrame, cells: int, add: Callable[[np.ndarray, pa.RecordBatch], None]) -> np.ndarray:
-    """The sum over all documents of arrays of so many cells: each task sums its own, slices are added up by key."""
+def _numbers(prints: list[str | None]) -> pa.Array:
+    """The first 64 bits of fingerprints, as signed numbers."""
+    return pa.array([None if p is None else int.from_bytes(bytes.fromhex(p[:16]), "big", signed=True) for p in prints], pa.int64())
 
-    def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, np.int64)
-        for batch in batches:
-            for run in chunks(batch, size=RUN_BYTES):
-                add(total, run)
-        at = [k for k in range(0, cells, SLICE) if total[k : k + SLICE].any()]
-        yield pa.RecordBatch.from_pydict({"slice": pa.array([k // SLICE for k in at], pa.int32()), "sums": pa.array([total[k : k + SLICE].tobytes() for k in at], pa.binary())})
 
-    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+def row_hash(text: Column) -> Column:
+    """A native hash of the raw text, by which a row is found again without reading its words."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def prints(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) to doc_id, raw, print, number, copies and n_shingles; nulls and zeros for texts without words."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                more = np.frombuffer(data, np.int64)
-                held[k] = held[k] + more if k in held else more
-        yield pa.RecordBatch.from_pydict({"slice": pa.array(list(held), pa.int32()), "sums": pa.array([v.tobytes() for v in held.values()], pa.binary())})
-
-    kind = "slice int, sums binary"
-    rows = docs.select("text").mapInArrow(part, kind).repartition(-(-cells // SLICE), "slice").mapInArrow(merge, kind).collect()
-    out = np.zeros(cells, np.int64)
-    for row in rows:  # cells / SLICE rows, whatever the corpus
-        out[row["slice"] * SLICE :][: len(row["sums"]) // 8] += np.frombuffer(bytes(row["sums"]), np.int64)
-    return out
+            for part in chunks(batch, size=RUN_BYTES):
+                words = Words(part.column(2))
+                doc, h, _ = shingle_table(words)
+                made = fingerprints(words)
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": part.column(0), "raw": part.column(1), "print": pa.array(made, pa.string()), "number": _numbers(made),
+                    "copies": pa.array(copies_key(doc, h, words.n_docs)), "n_shingles": pa.array(np.bincount(doc, minlength=words.n_docs), pa.int64()),
+                })
 
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", row_hash(F.col("text")).alias("raw"), "text")
+    return rows.mapInArrow(run, f"doc_id {kind}, raw bigint, print string, number bigint, copies bigint, n_shingles bigint")
 
-def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """The idf of each cell of shingle hashes."""
-    sc = docs.sparkSession.sparkContext
 
-    def count(total: np.ndarray, run: pa.RecordBatch) -> None:
-        words = Words(run.column(0))
-        at = copies_cell(*shingle_table(words)[:2], words.n_docs)
-        total += np.bincount(at[at >= 0], minlength=len(total))
+@dataclass
+class Frequencies:
+    """Shingle hashes in more than the least share of documents, sorted, and the idf of each and of all others."""
 
-    copies = sc.broadcast(np.maximum(summed(docs, 1 << BITS, count), 1))
+    hashes: np.ndarray
+    values: np.ndarray
+    rest: float
 
-    def weigh(total: np.ndarray, run: pa.RecordBatch) -> None:
-        words = Words(run.column(0))
-        doc, h, _ = shingle_table(words)
-        at = copies_cell(doc, h, words.n_docs)
-        weight = np.where(at >= 0, UNIT // copies.value[at], 0)
-        total[:-1] += np.bincount(cell(h), weight[doc], len(total) - 1).astype(np.int64)
-        total[-1] += weight.sum()
+    def idf(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), self.rest, np.float32)
+        if len(self.hashes) and len(h):
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            hit = self.hashes[at] == h
+            out[hit] = self.values[at[hit]]
+        return out
+
+
+def idf_of(share: np.ndarray | float, least: float = LEAST_SHARE) -> np.ndarray | float:
+    """The idf of a shingle in a share of the documents."""
+    return 1.0 + np.log(1.0 / np.clip(share, least, 1.0)) / math.log(1.0 / least)
+
+
+def frequencies(docs: DataFrame, signed: DataFrame) -> Frequencies:
+    """Exact document frequencies of all shingles that more than LEAST_SHARE of the documents hold."""
+    spark = docs.sparkSession
+    worded = signed.where("n_shingles > 0")
+    total, shingles = worded.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    groups = worded.groupBy("copies").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") > LEAST_SHARE * total))
+    rows = groups.orderBy("copies").collect()  # at most 1 / LEAST_SHARE
+    keys, sizes = np.array([r["copies"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.float64)
+    n = max(total - sizes.sum() + len(sizes), 1.0)
+    shared = spark.sparkContext.broadcast((keys, 1.0 / sizes))
+
+    def sums(hashes: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        h, w = np.concatenate(hashes), np.concatenate(weights)
+        order = np.argsort(h, kind="stable")
+        h, w = h[order], w[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        return h[first], np.add.reduceat(w, first) if len(h) else w
+
+    def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, parts = shared.value
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            h, w = sums([x[0] for x in held], [x[1] for x in held])
+            held.clear()
+            cuts = np.searchsorted(h, np.arange(RANGES + 1, dtype=np.uint64) * np.uint64((1 << 32) // RANGES))
+            rows = {"k": [], "ones": [], "others": [], "weights": []}
+            for k in np.flatnonzero(np.diff(cuts)).tolist():
+                hk, wk = h[cuts[k] : cuts[k + 1]], w[cuts[k] : cuts[k + 1]]
+                one = wk == 1.0
+                rows["k"].append(k)
+                rows["ones"].append(hk[one].tobytes())
+                rows["others"].append(hk[~one].tobytes())
+                rows["weights"].append(wk[~one].tobytes())
+            yield pa.RecordBatch.from_pydict({"k": pa.array(rows["k"], pa.int32()), **{c: pa.array(rows[c], pa.binary()) for c in ("ones", "others", "weights")}})
+
+        for batch in batches:
+            for run in chunks(batch, size=RUN_BYTES):
+                words = Words(run.column(0))
+                doc, h, _ = shingle_table(words)
+                weight = np.ones(words.n_docs, np.float32)
+                if len(keys):
+                    key = copies_key(doc, h, words.n_docs)
+                    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                    weight = np.where(keys[at] == key, parts[at], 1.0).astype(np.float32)
+                held.append((h, weight[doc]))
+                if sum(len(x[0]) for x in held) > HELD:
+                    yield from out()
+        if held:
+            yield from out()
 
-    sums = summed(docs, (1 << BITS) + 1, weigh)
-    n = max(int(sums[-1]), 1)
-    return (1.0 + np.log(np.maximum(n / np.maximum(sums[:-1], 1), 1.0))).astype(np.float32)
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, tuple[list, list]] = {}
+
+        def shrink(k: int) -> tuple[np.ndarray, np.ndarray]:
+            h, w = sums(*found[k])
+            found[k] = ([h], [w])
+            return h, w
+
+        grown: dict[int, int] = {}
+        for batch in batches:
+            for k, ones, others, weights in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                hs, ws = found.setdefault(k, ([], []))
+                a, b = np.frombuffer(ones, np.uint32), np.frombuffer(others, np.uint32)
+                hs += [a, b]
+                ws += [np.ones(len(a), np.float32), np.frombuffer(weights, np.float32)]
+                grown[k] = grown.get(k, 0) + len(a) + len(b)
+                if grown[k] > 2 * HELD:
+                    shrink(k)
+                    grown[k] = 0
+        for k in sorted(found):
+            h, w = shrink(k)
+            keep = w > LEAST_SHARE * n
+            yield pa.RecordBatch.from_pydict({"h": pa.array(h[keep].astype(np.int64)), "df": pa.array(w[keep].astype(np.float64))})
+
+    kind = "k int, ones binary, others binary, weights binary"
+    tasks = min(RANGES, max(1, -(-shingles // HELD)))  # of small corpora one task takes several ranges
+    summed = docs.select("text").mapInArrow(part, kind).repartition(tasks, "k").mapInArrow(merge, "h bigint, df double")
+    summed = written(summed)
+    least = LEAST_SHARE
+    while summed.where(F.col("df") > least * n).count() > MAX_FREQUENT:
+        least *= 2
+    found = summed.where(F.col("df") > least * n).toArrow()  # at most MAX_FREQUENT
+    h, df = found.column("h").to_numpy().astype(np.uint32), found.column("df").to_numpy()
+    order = np.argsort(h)
+    return Frequencies(h[order], idf_of(df[order] / n, least).astype(np.float32), float(idf_of(max(least, 1.0 / n), least)))
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,69 +263,72 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _GAMMA, _LOG_GAMMA, _UNIFORM = _tables()
 
 
-def sample_bands(doc: np.ndarray, h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the texts that have shingles, and their band keys (texts x BANDS).
+def sample_bands(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, level: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the texts that have shingles, and their band keys (texts x BANDS); each level has samples of its own.
 
     For shingle s of weight w, with r, c of Gamma(2, 1) and beta uniform by the hash of (s, sample):
     t = floor(ln w / r + beta), ln a = ln c - r (t - beta + 1); the sample is the s and t of the least ln a, which
-    that value itself tells apart.
+    that value itself tells apart. Shingles are taken in slices, which bounds the temporary arrays.
     """
     starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
     if not len(starts):
         return starts, np.zeros((0, BANDS), np.int64)
-    log_w = np.log(weight).astype(np.float32)
-    wide = mix(h.astype(np.uint64) + np.uint64(0x5BF0))
-    keys = np.empty((len(starts), BANDS), np.int64)
+    count = BANDS * ROWS
+    cuts = np.unique(np.concatenate([starts, np.arange(0, len(doc), SLICE)]))
+    least = np.empty((count, len(cuts)), np.float32)
     low = np.uint64(0xFFFF)
-    for band in range(BANDS):
-        key = np.full(len(starts), band + 1, np.uint64)
-        for row in range(ROWS):
-            odd = np.uint64(int(mix(np.array([band * ROWS + row + 1], np.uint64))[0]) | 1)
-            x = wide * odd
+    odds = mix(np.arange(level * count + 1, (level + 1) * count + 1, dtype=np.uint64)) | np.uint64(1)
+    at = 0
+    for lo in range(0, len(doc), SLICE):
+        hi = min(lo + SLICE, len(doc))
+        to = int(np.searchsorted(cuts, hi))
+        inside = cuts[at:to] - lo
+        log_w = np.log(weight[lo:hi]).astype(np.float32)
+        wide = mix(h[lo:hi].astype(np.uint64) + np.uint64(0x5BF0))
+        for k in range(count):
+            x = wide * odds[k]
             x ^= x >> np.uint64(29)
             x *= np.uint64(0xBF58476D1CE4E5B9)
             r = _GAMMA[x >> np.uint64(48)]
             beta = _UNIFORM[(x >> np.uint64(32)) & low]
             t = np.floor(log_w / r + beta)
             value = _LOG_GAMMA[(x >> np.uint64(16)) & low] - r * (t - beta + np.float32(1))
-            least = np.minimum.reduceat(value, starts)
-            key = mix(key * np.uint64(0xD6E8FEB86659FD93) + least.view(np.uint32))
+            least[k, at:to] = np.minimum.reduceat(value, inside)
+        at = to
+    if len(cuts) > len(starts):
+        least = np.minimum.reduceat(least, np.searchsorted(cuts, starts), axis=1)
+    keys = np.empty((len(starts), BANDS), np.int64)
+    for band in range(BANDS):
+        key = np.full(len(starts), band + 1, np.uint64)
+        for row in range(ROWS):
+            key = mix(key * np.uint64(0xD6E8FEB86659FD93) + np.ascontiguousarray(least[band * ROWS + row]).view(np.uint32))
         keys[:, band] = key.view(np.int64)
     return doc[starts], keys
 
 
-def fingerprints(words: Words) -> list[str | None]:
-    """128 bits for each text's words in order; None without words."""
-    out = []
-    for lo, hi in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
-        out.append(hashlib.blake2b(words.hash[lo:hi].tobytes(), digest_size=16).hexdigest() if hi > lo else None)
-    return out
-
-
-def _numbers(prints: list[str | None]) -> pa.Array:
-    """The first 64 bits of fingerprints, as signed numbers."""
-    return pa.array([None if p is None else int.from_bytes(bytes.fromhex(p[:16]), "big", signed=True) for p in prints], pa.int64())
-
-
-def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """docs (doc_id, text) to doc_id, print, number and bands; nulls for texts without words."""
-    shared = docs.sparkSession.sparkContext.broadcast(idf)
+def signatures(docs: DataFrame, shared) -> DataFrame:
+    """number and bands of the texts that have words; a task signs equal texts once."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for part in chunks(batch, size=RUN_BYTES):
-                words = Words(part.column(1))
+                words = Words(part.column(0))
+                numbers = _numbers(fingerprints(words)).to_pylist()
+                fresh = np.zeros(words.n_docs, bool)
+                for i, number in enumerate(numbers):
+                    if number is not None and number not in seen:
+                        seen.add(number)
+                        fresh[i] = True
+                if len(seen) > 1 << 20:
+                    seen.clear()
                 doc, h, tf = shingle_table(words)
-                weight = (1 + np.log(tf)) * shared.value[cell(h)]
-                at, keys = sample_bands(doc, h, weight)
-                bands: list = [None] * words.n_docs
-                for i, row in zip(at.tolist(), keys, strict=True):
-                    bands[i] = row
-                prints = fingerprints(words)
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "print": pa.array(prints, pa.string()), "number": _numbers(prints), "bands": pa.array(bands, pa.list_(pa.int64()))})
+                keep = fresh[doc]
+                doc, h, tf = doc[keep], h[keep], tf[keep]
+                at, keys = sample_bands(doc, h, (1 + np.log(tf)) * shared.value.idf(h))
+                yield pa.RecordBatch.from_pydict({"number": pa.array([numbers[i] for i in at.tolist()], pa.int64()), "bands": pa.array(list(keys), pa.list_(pa.int64()))})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, print string, number bigint, bands array<bigint>")
+    return docs.select("text").mapInArrow(run, "number bigint, bands array<bigint>")
 
 
 def _marks(numbers: DataFrame) -> np.ndarray:
@@ -255,9 +373,9 @@ def vectors(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "number bigint, hashes binary, counts binary").dropDuplicates(["number"])
 
 
-def _weights(hashes: bytes, counts: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _weights(hashes: bytes, counts: bytes, weights: Frequencies) -> tuple[np.ndarray, np.ndarray]:
     h = np.frombuffer(hashes, np.uint32)
-    w = idf[cell(h)].astype(np.float64)
+    w = weights.idf(h).astype(np.float64)
     if counts:
         w = w * (1 + np.log(np.frombuffer(counts, "<u2" if len(counts) == 2 * len(h) else "<u4")))
     return h, w
@@ -272,187 +390,271 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(shared / (wa.sum() + wb.sum() - shared))
 
 
-def verified(pairs: DataFrame, found: DataFrame, idf, least: float) -> DataFrame:
-    """The pairs (a, b) of texts whose similarity reaches least."""
-    left = found.select(F.col("number").alias("b"), F.col("hashes").alias("hb"), F.col("counts").alias("cb"))
-    right = found.select(F.col("number").alias("a"), F.col("hashes").alias("ha"), F.col("counts").alias("ca"))
-    rows = pairs.join(left, "b").join(right, "a").select("a", "b", "ha", "ca", "hb", "cb")
+def _leaders_met(rows: DataFrame, found: DataFrame, shared, least: float) -> DataFrame:
+    """The links of each bucket's rows (key, salt, salts, number, order, component) to its leader that reach least."""
+    leaders = rows.groupBy("key").agg(F.max_by(F.struct("number", "component"), "order").alias("l"), F.max("salts").alias("salts"))
+    spread = leaders.select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("l.number").alias("leader"), F.col("l.component").alias("leads"))
+    pairs = rows.join(spread, ["key", "salt"]).where("component != leads").select("number", "leader", "salt").dropDuplicates(["number", "leader"])
+    pairs = written(pairs)
+    # a leader's shingles meet its rows by (leader, salt), so that no task holds all rows of one leader
+    heads = pairs.select("leader", "salt").distinct().join(found.select(F.col("number").alias("leader"), F.col("hashes").alias("hb"), F.col("counts").alias("cb")), "leader")
+    met = pairs.join(found, "number").join(heads, ["leader", "salt"]).select("number", "leader", "hashes", "counts", "hb", "cb")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, tuple] | None = None
         for batch in batches:
-            a, b, ha, ca, hb, cb = (batch.column(k) for k in range(6))
+            number, leader, ha, ca, hb, cb = (batch.column(k) for k in range(6))
             keep = []
             for i in range(batch.num_rows):
-                number = a[i].as_py()
-                if last is None or last[0] != number:
-                    last = (number, _weights(ha[i].as_py(), ca[i].as_py(), idf.value))
-                if similarity(last[1], _weights(hb[i].as_py(), cb[i].as_py(), idf.value)) >= least:
+                lead = leader[i].as_py()
+                if last is None or last[0] != lead:
+                    last = (lead, _weights(hb[i].as_py(), cb[i].as_py(), shared.value))
+                if similarity(last[1], _weights(ha[i].as_py(), ca[i].as_py(), shared.value)) >= least:
                     keep.append(i)
-            yield pa.RecordBatch.from_pydict({"a": a.take(pa.array(keep, pa.int64())), "b": b.take(pa.array(keep, pa.int64()))})
-
-    return rows.mapInArrow(run, "a bigint, b bigint")
-
+            taken = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_pydict({"a": number.take(taken), "b": leader.take(taken)})
 
-def _labelled(rows: DataFrame, parts: DataFrame) -> DataFrame:
-    """rows with the component of their text number; a text without links is its own."""
-    named = parts.select(F.col("node").alias("number"), F.col("component").alias("found__"))
-    return rows.join(named, "number", "left").withColumn("component", F.coalesce("found__", "number")).drop("found__")
+    return met.mapInArrow(run, "a bigint, b bigint")
 
 
-def joined(rows: DataFrame, found: DataFrame, idf, least: float) -> DataFrame:
-    """Links (a, b) that join the components of each bucket's rows (key, number, component) as all its similar pairs would.
+def _compared(rows: DataFrame, found: DataFrame, shared, least: float) -> DataFrame:
+    """Links (a, b) that join the components of each bucket's rows as all its similar pairs would.
 
-    A bucket is cut into blocks of BLOCK texts; each pair of blocks is one group, compared inside its task. Only links
-    that join two components of the group come out, so the output is linear in the rows.
+    The texts outside the bucket's largest component are dealt into blocks, all its texts into chunks; each block meets
+    each chunk in one group, whose memory is bounded and whose output is linear in its texts.
     """
-    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("number"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("key", "number", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "number", "component", "block")
-    dealt = dealt.join(found, "number").select("key", "low", "high", "block", "number", "component", "hashes", "counts")
-    dealt = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "number")
+    per = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    per = per.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    per = per.select("key", "major", F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"), F.ceil(F.col("n") / SALT).cast("int").alias("salts"))
+    dealt = rows.select("key", F.col("salt"), "number", "component").join(per.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts"), ["key", "salt"])
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("number"), F.col("blocks")).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("number", F.lit(1)), F.col("chunks")).cast("int"))
+    all_blocks, all_chunks = F.sequence(F.lit(0), F.col("blocks") - 1), F.sequence(F.lit(0), F.col("chunks") - 1)
+    minor = dealt.where("component != major").select("key", "block", F.explode(all_chunks).alias("chunk"), F.lit(0).alias("side"), "number", "component")
+    others = dealt.select("key", F.explode(all_blocks).alias("block"), "chunk", F.lit(1).alias("side"), "number", "component")
+    met = minor.unionByName(others).join(found, "number").select("key", "block", "chunk", "side", "number", "component", "hashes", "counts")
+    met = met.repartition("key", "block", "chunk").sortWithinPartitions("key", "block", "chunk", "side", "number")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, at = [], None
+        at, group = None, None
         for batch in batches:
-            for row in batch.to_pylist():
-                key = (row["key"], row["low"], row["high"])
-                if key != at and group:
-                    yield _links(group, idf.value, least)
-                    group = []
-                at = key
-                group.append(row)
-        if group:
-            yield _links(group, idf.value, least)
-
-    return dealt.mapInArrow(run, "a bigint, b bigint")
-
-
-def _links(group: list[dict], idf: np.ndarray, least: float) -> pa.RecordBatch:
-    """A spanning set of the links between texts of one or two blocks."""
-    vectors = [_weights(r["hashes"], r["counts"], idf) for r in group]
-    total = np.array([w.sum() for _, w in vectors])
-    row = np.repeat(np.arange(len(group)), [len(h) for h, _ in vectors])
-    ids, col, n = np.unique(np.concatenate([h for h, _ in vectors]), return_inverse=True, return_counts=True)
-    root = np.sqrt(np.concatenate([w for _, w in vectors]))
+            for lo in range(0, batch.num_rows, BLOCK):
+                for row in batch.slice(lo, BLOCK).to_pylist():
+                    key = (row["key"], row["block"], row["chunk"])
+                    if key != at:
+                        if group is not None:
+                            yield group.links()
+                        at, group = key, _Group(shared.value, least)
+                    group.add(row)
+        if group is not None:
+            yield group.links()
+
+    return met.mapInArrow(run, "a bigint, b bigint")
+
+
+class _Group:
+    """A block of texts that meets others BLOCK at a time; links that join components are kept."""
+
+    def __init__(self, weights: Frequencies, least: float):
+        self.weights, self.least = weights, least
+        self.left: list[tuple[int, int, tuple]] = []
+        self.right: list[tuple[int, int, tuple]] = []
+        self.parent: dict[int, int] = {}
+        self.a: list[int] = []
+        self.b: list[int] = []
+
+    def add(self, row: dict) -> None:
+        side = self.right if row["side"] else self.left
+        side.append((row["number"], row["component"], _weights(row["hashes"], row["counts"], self.weights)))
+        if len(self.right) >= BLOCK:
+            self._meet()
+
+    def _find(self, x: int) -> int:
+        while self.parent.setdefault(x, x) != x:
+            x = self.parent[x]
+        return x
+
+    def _meet(self) -> None:
+        if self.left and self.right:
+            for i, j in zip(*np.nonzero(_bound([x[2] for x in self.left], [x[2] for x in self.right]) >= self.least - 1e-4), strict=True):
+                x, y = self.left[i], self.right[j]
+                p, q = self._find(x[1]), self._find(y[1])
+                if p != q and similarity(x[2], y[2]) >= self.least:
+                    self.parent[p] = q
+                    self.a.append(x[0])
+                    self.b.append(y[0])
+        self.right = []
+
+    def links(self) -> pa.RecordBatch:
+        self._meet()
+        return pa.RecordBatch.from_pydict({"a": pa.array(self.a, pa.int64()), "b": pa.array(self.b, pa.int64())})
+
+
+def _bound(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """An upper bound of the similarity of each pair: the sum of geometric means is at least that of minima."""
+    both = left + right
+    total = np.array([w.sum() for _, w in both])
+    row = np.repeat(np.arange(len(both)), [len(h) for h, _ in both])
+    _, col, n = np.unique(np.concatenate([h for h, _ in both]), return_inverse=True, return_counts=True)
+    root = np.sqrt(np.concatenate([w for _, w in both]))
     keep = n[col] > 1
     row, root = row[keep], root[keep]
     col = (np.cumsum(n > 1) - 1)[col[keep]]
-    shared = np.zeros((len(group), len(group)))
-    for lo in range(0, int((n > 1).sum()), 4096):
-        inside = (col >= lo) & (col < lo + 4096)
-        part = np.zeros((len(group), 4096), np.float32)
-        part[row[inside], col[inside] - lo] = root[inside]
-        shared += part @ part.T
-    # the sum of geometric means is at least that of minima, so no similar pair is missed
-    bound = shared / (total[:, None] + total[None, :] - shared)
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            x = parent[x]
-        return x
+    order = np.argsort(col, kind="stable")
+    row, root, col = row[order], root[order], col[order]
+    shared = np.zeros((len(left), len(right)))
+    width = 4096
+    for lo in range(0, int((n > 1).sum()), width):
+        a, b = np.searchsorted(col, [lo, lo + width])
+        part = np.zeros((len(both), width), np.float32)
+        part[row[a:b], col[a:b] - lo] = root[a:b]
+        shared += part[: len(left)] @ part[len(left) :].T
+    return shared / (total[: len(left), None] + total[None, len(left) :] - shared)
+
+
+def _crowded(rows: DataFrame) -> DataFrame:
+    """Rows (key, number, ...) of keys that several rows hold, with salt and salts; hot keys are met by a broadcast."""
+    many = written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    total = many.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > max(HOT_SHARE * total, 4 * SALT)
+    few = many.where(hot).select("key", F.col("n").alias("hot"))
+    if few.isEmpty():
+        met = rows.join(many, "key")
+    else:
+        tagged = rows.join(F.broadcast(few), "key", "left")  # at most 1 / HOT_SHARE rows
+        met = tagged.where("hot is null").drop("hot").join(many.where(~hot), "key").unionByName(tagged.where("hot is not null").withColumnRenamed("hot", "n"))
+    salts = F.ceil(F.col("n") / SALT).cast("int")
+    return met.withColumn("salts", salts).withColumn("salt", F.pmod(F.xxhash64("number", F.lit(2)), F.col("salts")).cast("int"))
+
+
+def _labelled(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """rows with the component of their text number; a text without links is its own."""
+    named = parts.select(F.col("node").alias("number"), F.col("component").alias("found__"))
+    return rows.join(named, "number", "left").withColumn("component", F.coalesce("found__", "number")).drop("found__")
 
-    a, b = [], []
-    one = group[0]["low"] == group[0]["high"]
-    for i, j in zip(*np.nonzero(np.triu(bound >= least - 1e-4, 1)), strict=True):
-        x, y = group[i], group[j]
-        if x["number"] == y["number"] or (not one and x["block"] == y["block"]):
-            continue
-        p, q = find(x["component"]), find(y["component"])
-        if p != q and similarity(vectors[i], vectors[j]) >= least:
-            parent[p] = q
-            a.append(min(x["number"], y["number"]))
-            b.append(max(x["number"], y["number"]))
-    return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
+def _open(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one component, with it."""
+    rows = written(_labelled(rows.drop("component"), parts))
+    mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("salts").alias("salts")).where("low != high")
+    mixed = mixed.select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return written(rows.join(mixed, ["key", "salt"], "left_semi"))
 
-def link(docs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Verified links between text numbers that join each component, and the component of each text that has one.
+
+class _Links:
+    """Verified links between text numbers, and the components that they make."""
+
+    def __init__(self, spark):
+        self.links = spark.createDataFrame([], "a bigint, b bigint")
+        self.parts = spark.createDataFrame([], "node bigint, component bigint")
+
+    def add(self, new: DataFrame) -> None:
+        new = written(new)
+        if not new.isEmpty():
+            old = self.parts.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+            self.links = self.links.unionByName(new)
+            self.parts = written(components(new.unionByName(old)))
+
+
+def _banded_again(rows: DataFrame, found: DataFrame, shared, level: int) -> DataFrame:
+    """The rows of large buckets under keys of the bucket and a band of further samples."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                h, w = _weights(batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), shared.value)
+                _, keys = sample_bands(np.zeros(len(h), np.int64), h, w, level)
+                yield pa.RecordBatch.from_pydict({"number": batch.column(0).slice(i, 1), "bands": pa.array(list(keys), pa.list_(pa.int64()))})
+
+    wanted = rows.select("number").distinct()
+    bands = written(found.join(wanted, "number", "left_semi").select("number", "hashes", "counts").mapInArrow(run, "number bigint, bands array<bigint>"))
+    again = rows.select("key", "number", "order").join(bands, "number").select("key", "number", "order", F.explode("bands").alias("band"))
+    return again.select(F.xxhash64("key", "band").alias("key"), "number", "order")
+
+
+def _settle(rows: DataFrame, state: _Links, found: DataFrame, shared, least: float, level: int) -> None:
+    """Adds the links of all buckets of rows (key, salt, salts, number, order)."""
+    left = _open(rows, state.parts)
+    if left.isEmpty():
+        return
+    state.add(_leaders_met(left, found, shared, least))
+    left = _open(left, state.parts)
+    if left.isEmpty():
+        return
+    large = left.where(F.col("salts") > BLOCK // SALT) if level < LEVELS else left.limit(0)
+    small = left.where(F.col("salts") <= BLOCK // SALT) if level < LEVELS else left
+    if not small.isEmpty():
+        state.add(_compared(small, found, shared, least))
+    if level < LEVELS and not large.isEmpty():
+        _settle(written(_crowded(_banded_again(large, found, shared, level + 1))), state, found, shared, least, level + 1)
+
+
+def link(docs: DataFrame, bands: DataFrame, shared, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) between text numbers that join each component, and the component of each text that has one.
 
     Bands are taken a few at a time: what earlier bands have joined is not compared again, so a large group of near
     copies costs its members a few comparisons each and not one for every band.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(idf)
-    rows = texts.select("number", F.posexplode("bands").alias("band", "key"))
-    many = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = written(rows.join(many, "key"))
+    rows = written(_crowded(bands.select("number", F.posexplode("bands").alias("band", "key"))))
     # a text that shares its buckets with the most others is nearest to all of them: the original among its copies
     central = rows.groupBy("number").agg(F.shiftleft(F.least(F.sum("n"), F.lit(1 << 30)), 32).bitwiseOR(F.xxhash64("number").bitwiseAND(F.lit((1 << 32) - 1))).alias("order"))
     rows = written(rows.drop("n").join(central, "number"))
     found = written(vectors(docs, rows.select("number").distinct()))
-    links = spark.createDataFrame([], "a bigint, b bigint")
-    parts = spark.createDataFrame([], "node bigint, component bigint")
+    state = _Links(docs.sparkSession)
     for first, last in BATCHES:
-        left = _open(_labelled(rows.where(F.col("band").between(first, last)), parts))
-        if left.isEmpty():
-            continue
-        leaders = left.groupBy("key").agg(F.max_by("number", "order").alias("number"))
-        leaders = written(_labelled(leaders, parts).select("key", F.col("number").alias("leader"), F.col("component").alias("leads")))
-        pairs = left.join(leaders, "key").where("component != leads").select(F.least("number", "leader").alias("a"), F.greatest("number", "leader").alias("b")).distinct()
-        new = written(verified(pairs, found, shared, least))
-        links, parts = _grown(links, parts, new)
-        left = _open(_labelled(left.drop("component"), parts))
-        if not left.isEmpty():
-            links, parts = _grown(links, parts, written(joined(left.select("key", "number", "component"), found, shared, least)))
-    return links, parts
-
-
-def _grown(links: DataFrame, parts: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """links and components with new links added."""
-    if new.isEmpty():
-        return links, parts
-    old = parts.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return links.unionByName(new), written(components(new.unionByName(old)))
-
-
-def _open(rows: DataFrame) -> DataFrame:
-    """The rows of buckets that hold more than one component."""
-    rows = rows.select("key", "number", "order", "component")
-    mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    return written(rows.join(mixed, "key", "left_semi"))
+        _settle(rows.where(F.col("band").between(first, last)).drop("band"), state, found, shared, least, 0)
+    return state.links, state.parts
 
 
 def classes(documents: DataFrame, text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """doc_id, print, component, class_id, class_size and n_texts of each document."""
+    """doc_id, raw, print, component, class_id, class_size, n_texts and n_links of each document."""
     docs = documents.select("doc_id", F.col(text_col).alias("text"))
-    idf = inverse_frequencies(docs)
-    signed = written(signatures(docs, idf))
-    texts = signed.where("print is not null").groupBy("print", "number").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands"))
-    texts = written(texts)
-    _, parts = link(docs, texts, idf, least)
-    named = _labelled(texts.select("print", "number", "rep", "n"), parts)
+    signed = written(prints(docs))
+    shared = docs.sparkSession.sparkContext.broadcast(frequencies(docs, signed))
+    bands = written(signatures(docs, shared).groupBy("number").agg(F.first("bands").alias("bands")))
+    links, parts = link(docs, bands, shared, least)
+    texts = signed.where("print is not null").groupBy("print", "number").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("number")).groupBy("number").agg(F.count("*").alias("n_links"))
+    named = written(_labelled(texts, parts).join(degree, "number", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0))))
     sums = named.groupBy("component").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"), F.count("*").alias("n_texts"))
-    members = named.select("print", "component").join(sums, "component")
-    known = signed.where("print is not null").select("doc_id", "print").join(members, "print")
-    blank = signed.where("print is null").select("doc_id", "print", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(1).cast("long").alias("n_texts"))
+    # texts of their own, nearly all, need no join with their class
+    alone = named.where("n = 1 and n_links = 0").select("print", "component", F.col("rep").alias("class_id"), F.col("n").alias("class_size"), F.lit(1).cast("long").alias("n_texts"), "n_links")
+    members = alone.unionByName(named.where("n > 1 or n_links > 0").select("print", "component", "n_links").join(sums, "component").select(*alone.columns))
+    known = signed.where("print is not null").select("doc_id", "raw", "print").join(members, "print")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    blank = signed.where("print is null").select("doc_id", "raw", "print", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("class_id"), one.alias("class_size"), one.alias("n_texts"), none.alias("n_links"))
     return known.select(*blank.columns).unionByName(blank)
 
 
 def report(documents: DataFrame) -> DataFrame:
     found = classes(documents)
-    return found.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("representative"), "class_size", "n_texts")
+    return found.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("representative"), "class_size", "n_texts", "n_links")
 
 
 def deduplicated(documents: DataFrame, text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """documents less all but one of each class; texts without words all stay."""
-    found = classes(documents, text_col, least)
-    worded = found.where("component is not null")
-    # of the texts whose id is the class's, the least: ids may be null or stand with several texts
-    keep = worded.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("component").agg(F.min("print").alias("print"), F.first("doc_id").alias("doc_id"))
-    keep = written(keep.select(_key(F.col("print"), F.col("doc_id")).alias("key__")))
+    """documents less all but one of each class; texts without words all stay.
 
-    def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        return {"print__": pa.array(fingerprints(Words(batch.column(batch.schema.get_field_index(text_col)))), pa.string())}
+    Rows are found again by a native hash of their text. Only rows that carry a mark of a class with several members are
+    shuffled; all others pass as they are read.
+    """
+    found = written(classes(documents, text_col, least).where("component is not null and class_size > 1").select("doc_id", "raw", "print", "component", "class_id"))
+    # of the rows whose id is the class's, the least: ids may be null or stand with several texts
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("component").agg(F.min(F.struct("print", "raw", "doc_id")).alias("k"))
+    keep = keep.select(_key(F.col("k.raw"), F.col("k.doc_id")).alias("key__"), F.lit(True).alias("stays__"))
+    keys = written(found.select(_key(F.col("raw"), F.col("doc_id")).alias("key__")).distinct().join(keep, "key__", "left"))
+    marks = documents.sparkSession.sparkContext.broadcast(_marks(found.select(F.col("raw").alias("number")).distinct()))
+
+    @pandas_udf("boolean")
+    def marked(raw: pd.Series) -> pd.Series:
+        bit = raw.to_numpy() % (1 << MARK_BITS)
+        return pd.Series((marks.value[bit >> 3] >> (bit & 7) & 1).astype(bool))
 
-    rows = mapped(documents, "print__ string", run, text_col).withColumn("key__", _key(F.col("print__"), F.col("doc_id")))
     columns = [f"`{c}`" for c in documents.columns]
-    one = rows.where("key__ is not null").join(keep, "key__", "left_semi").dropDuplicates(["key__"])
-    return one.select(*columns).unionByName(rows.where("key__ is null").select(*columns))
+    rows = documents.withColumn("raw__", row_hash(F.col(text_col))).withColumn("marked__", marked("raw__"))
+    met = rows.where("marked__").withColumn("key__", _key(F.col("raw__"), F.col("doc_id"))).join(keys.withColumn("known__", F.lit(True)), "key__", "left")
+    one = met.where("stays__").dropDuplicates(["key__"])
+    return reduce(DataFrame.unionByName, [x.select(*columns) for x in (rows.where("not marked__"), met.where("known__ is null"), one)])
 
 
-def _key(print_col: Column, doc_id: Column) -> Column:
-    """A text under an id, as one string; null for a text without words."""
-    return F.concat(print_col, F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit("")))
+def _key(raw: Column, doc_id: Column) -> Column:
+    """A text under an id, as one string."""
+    return F.concat(raw.cast("string"), F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit("")))
