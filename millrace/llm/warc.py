@@ -168,11 +168,10 @@ def _manifest_schema() -> pa.Schema:
 
 
 def commit(manifest: DataFrame, folder: str) -> None:
-    """Renames the listed files; may run again after a failure. The marker comes last."""
+    """Renames the listed files; may run again after a failure at any point, or after success. The marker comes last."""
+    from pyarrow.fs import FileType
 
     def rename(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow.fs import FileType
-
         store, root = _store(folder)
         for batch in batches:
             for row in batch.to_pylist():
@@ -182,11 +181,19 @@ def commit(manifest: DataFrame, folder: str) -> None:
 
     files, records = manifest.mapInArrow(rename, "path string").count(), manifest.agg(F.sum("records")).first()[0] or 0
     store, root = _store(folder)
-    store.delete_dir(f"{root}/_temporary")
+    if store.get_file_info(f"{root}/_temporary").type != FileType.NotFound:
+        store.delete_dir(f"{root}/_temporary")
     with store.open_output_stream(f"{root}/_COMMITTED.json") as out:
         out.write(json.dumps({"files": files, "records": records}).encode())
 
 
+def resume(spark: SparkSession, folder: str) -> DataFrame:
+    """Commits an archive whose manifest was written before a failure, and returns the manifest."""
+    manifest = spark.read.parquet(f"{folder}/manifest")
+    commit(manifest, folder)
+    return manifest
+
+
 def parse(stream, chunk: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (lower-case names) and block of every gzip member of a file, one in memory at a time."""
     data, unzip, plain = b"", zlib.decompressobj(31), []

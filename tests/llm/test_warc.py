@@ -3,6 +3,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import os
 
 import pytest
 
@@ -10,6 +11,7 @@ from millrace.llm import oracles, queries, warc
 from millrace.session import shared_dir
 from tests.oracle import same
 
+
 def test_equals_sql(spark, sf):
     same(queries.op2_warc(spark, sf), oracles.ORACLES["op2_warc"], sf)
 
@@ -53,11 +55,19 @@ def test_files_roll_and_repeat(spark):
 
 def test_commit_may_run_again(spark):
     folder = shared_dir(spark)
-    manifest = warc.write(spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string"), folder)
-    store, root = warc._store(folder)
-    store.create_dir(f"{root}/_temporary")
+    pages = spark.range(40).selectExpr("id as page_id", "'u' as url", "repeat(sha2(string(id), 256), 20) as html")
+    manifest = warc.write(pages, folder, roll_bytes=4000, shards=2)
     warc.commit(manifest, folder)
-    assert warc.read(spark, folder).count() == 1
+    root = folder.removeprefix("file://")
+    # a failure before the marker, with some files renamed and some not
+    os.remove(f"{root}/_COMMITTED.json")
+    first = manifest.orderBy("path").first()
+    os.makedirs(f"{root}/_temporary")
+    os.rename(f"{root}/{first['path']}", f"{root}/{first['temporary']}")
+    open(f"{root}/_temporary/left-by-a-lost-task.warc.gz", "wb").close()
+    warc.resume(spark, folder)
+    assert json.load(open(f"{root}/_COMMITTED.json"))["records"] == 40 and not os.path.exists(f"{root}/_temporary")
+    assert warc.read(spark, folder).count() == 40
 
 
 def test_empty_table(spark):
