@@ -1,29 +1,43 @@
 """HTML extraction by minimum-cut labelling.
 
-A page is read into blocks of text with their open elements. A linear classifier over tags, class names, text and
-link density gives each block a log-odds of being content; its positive part is the capacity from the source, its
-negative part that to the sink. Neighbouring blocks, and blocks under one parent, are joined by smoothness edges that
-grow with the depth of their common ancestor. The minimum cut (Dinic's max-flow) separates content from the rest.
-Runs of blocks under one parent whose log-odds have one sign are one node: no minimum cut splits them.
+A page is read into blocks of text, each with its innermost open element; elements point to their parents, so reading
+takes time in proportion to the page. The log-odds of a block being content are the evidence of its elements (tags and
+class names that say what they hold) plus a classifier over the block itself: its tag, length, share of linked text,
+punctuation, words, and the class names of its elements that say nothing by themselves. The classifier is a logistic
+regression fitted to the pages at hand: blocks that their elements place within an article or within a menu, footer,
+form or the like are labelled by that structure, which the regression does not see. Its weights are held near DEFAULT
+by a ridge, so that few labels change little and none nothing. At most max_pages pages, drawn by a hash of their url
+and id, are read for it.
+
+The positive part of a block's log-odds is the capacity from the source, the negative part that to the sink.
+Neighbouring blocks, and blocks under one parent, are joined by smoothness edges that grow with the depth of their
+common ancestor. The minimum cut (Dinic's max-flow) separates content from the rest. Runs of blocks under one parent
+whose log-odds have one sign are one node: no minimum cut splits them.
 
 A block's character references are decoded, its white space becomes single spaces, and content blocks are joined in
 page order by one space. Pages are handled one at a time within a task; memory is bounded by one page.
 
 Defined results: null or empty html gives an empty text; markup that never closes ends with the page; pages without
-any content block give an empty text; repeated rows are extracted alike; further columns pass through, clashing ones
-are replaced.
+any content block give an empty text; repeated rows are extracted alike; pages without labelled blocks of both sorts
+leave the default weights; further columns pass through, clashing ones are replaced.
 """
 
 from __future__ import annotations
 
 import re
 from collections import deque
+from collections.abc import Iterable, Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from millrace.llm.common import mapped
+from millrace.llm.common import chunks, hash_unit, mapped
+from millrace.llm.features import adam, sigmoid
+
+MAX_PAGES = 1000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -49,24 +63,34 @@ _WORDS = re.compile(r"[a-z]+")
 _BAD_NAME = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored sponsor promo promotion banner cookie cookies consent gdpr notice notices notification "
     "alert sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer foot header masthead topbar toolbar comment comments commenting disqus "
-    "reply replies respond discussion share sharing social related recommended recommendations more newsletter subscribe subscription signup login popup modal "
-    "overlay pagination pager widget search skip copyright legal disclaimer tags".split()
+    "reply replies respond discussion share sharing social newsletter subscribe subscription signup login popup modal overlay pagination pager widget skip copyright disclaimer".split()
 )
+#: Names that content may carry too: the text decides against them.
+_DOUBTFUL_NAME = frozenset("related recommended recommendations more search legal tags links list meta info".split())
 _GOOD_NAME = frozenset("article content main post entry story text articlebody maincontent".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 ADJACENT, SHARED = 0.6, 0.25
+#: Buckets of class names that are in no list.
+NAMES_DIM = 64
+#: Weights of the features of a block without any training: constant, paragraph, heading, list item, cell, length, links, punctuation, words; then names.
+DEFAULT = np.array([-1.0, 1.0, 0.5, 0.0, 0.0, 1.0, -3.0, 0.0, 0.0] + [0.0] * NAMES_DIM)
+#: The classifier's say beside the evidence of the elements.
+MOST = 4.0
 
 
 class _Open:
-    __slots__ = ("tag", "names", "score", "depth")
+    """An open element. shown is the nearest element around a block that counts, itself or one above; outer the next above that."""
+
+    __slots__ = ("tag", "score", "good", "names", "shown", "outer", "depth")
 
     def __init__(self, tag: str, attributes: str, above: "_Open | None"):
-        self.tag, self.depth = tag, above.depth + 1 if above else 0
+        self.tag = tag
         names: set[str] = set()
         if attributes:
             for m in NAMES.finditer(attributes):
                 names.update(_WORDS.findall((m[1] or m[2] or m[3] or "").lower()))
         self.score = above.score if above else 0.0
+        self.good = tag in _GOOD_TAG or (above is not None and above.good)
         inside = above is not None and above.score > 0
         if tag in _BAD_TAG:
             # a header within the article holds its title
@@ -77,21 +101,33 @@ class _Open:
             self.score = min(self.score, 0.0) - 9.0
         elif names & _GOOD_NAME and tag not in HEADING:
             self.score += 2.0
+        elif names & _DOUBTFUL_NAME and tag not in ("body", "html", "article", "main"):
+            self.score -= 2.0
         if attributes and HIDDEN.search(attributes):
             self.score = min(self.score, 0.0) - 9.0
+        self.names = above.names if above else 0
+        for name in names - _BAD_NAME - _GOOD_NAME:
+            self.names |= 1 << int.from_bytes(name.encode(), "little") % 1000003 % NAMES_DIM
+        counts = tag in BLOCK or self.score != 0 or tag == "a"
+        self.outer = (above.shown if above else None) if counts else None
+        self.shown = self if counts else above.shown if above else None
+        self.depth = (self.outer.depth + 1 if self.outer else 1) if counts else 0
 
 
 class Blocks:
-    """The text blocks of a page, in order, with the open elements around each."""
+    """The text blocks of a page, in order, with the innermost element that counts around each."""
 
     def __init__(self, html: str):
         self.texts: list[str] = []
         self.linked: list[int] = []
-        self.paths: list[tuple[_Open, ...]] = []
+        self.nodes: list[_Open | None] = []
         self.runs: list[str] = []
         self.link_chars = 0
         self.stack: list[_Open] = []
+        self.places: dict[str, list[int]] = {}  # of each open tag in the stack
+        self.fences: list[int] = []
         self.links = 0
+        self.has_article = False
         self._read(html)
 
     def _flush(self) -> None:
@@ -100,7 +136,8 @@ class Blocks:
             if text:
                 self.texts.append(text)
                 self.linked.append(self.link_chars)
-                self.paths.append(tuple(o for o in self.stack if o.tag in BLOCK or o.score != 0 or o.tag == "a"))
+                self.nodes.append(self.stack[-1].shown if self.stack else None)
+                self.has_article |= bool(self.stack) and self.stack[-1].good
             self.runs, self.link_chars = [], 0
 
     def _text(self, raw: str) -> None:
@@ -111,32 +148,38 @@ class Blocks:
                 self.link_chars += len(run.strip())
 
     def _pop(self, index: int) -> None:
-        self.links -= sum(o.tag == "a" for o in self.stack[index:])
+        for o in self.stack[index:]:
+            self.places[o.tag].pop()
+            self.links -= o.tag == "a"
+        while self.fences and self.fences[-1] >= index:
+            self.fences.pop()
         del self.stack[index:]
 
+    def _place(self, tag: str, fenced: bool) -> int:
+        """Where the innermost open tag of a name stands; -1 without one, or if a fence is in between and counts."""
+        at = self.places.get(tag)
+        if not at or (fenced and self.fences and at[-1] < self.fences[-1]):
+            return -1
+        return at[-1]
+
     def _open(self, tag: str, attributes: str) -> None:
         if tag in BLOCK:
             self._flush()
         for name in CLOSES.get(tag, ()):
-            for i in range(len(self.stack) - 1, -1, -1):
-                if self.stack[i].tag == name:
-                    self._pop(i)
-                    break
-                if self.stack[i].tag in FENCE:
-                    break
+            if (at := self._place(name, True)) >= 0:
+                self._pop(at)
         if tag not in VOID and not attributes.endswith("/"):
+            self.places.setdefault(tag, []).append(len(self.stack))
+            if tag in FENCE:
+                self.fences.append(len(self.stack))
             self.stack.append(_Open(tag, attributes, self.stack[-1] if self.stack else None))
             self.links += tag == "a"
 
     def _close(self, tag: str) -> None:
         if tag in BLOCK:
             self._flush()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i].tag == tag:
-                self._pop(i)
-                return
-            if self.stack[i].tag in FENCE and tag not in BLOCK:
-                return
+        if (at := self._place(tag, tag not in BLOCK)) >= 0:
+            self._pop(at)
 
     def _read(self, html: str) -> None:
         at, find = 0, TOKEN.search
@@ -161,21 +204,64 @@ class Blocks:
         self._text(html[at:])
         self._flush()
 
-    def odds(self) -> list[float]:
-        """The log-odds of each block being content."""
-        out = []
-        articles = any(o.tag in ("article", "main") for p in self.paths for o in p)
-        for text, linked, path in zip(self.texts, self.linked, self.paths, strict=True):
-            context = path[-1].score if path else 0.0
-            tag = path[-1].tag if path else ""
-            density = min(linked / len(text), 1.0)
-            z = context + (1.0 if tag == "p" else 0.5 if tag in HEADING else 0.0)
-            z += min(len(text), 400) / 200.0 - 1.0 - 3.0 * density
-            if articles and context <= 0:
-                z -= 3.0
-            out.append(z)
+    def features(self) -> np.ndarray:
+        """What the classifier sees of each block: nothing of the elements that label it."""
+        out = np.zeros((len(self.texts), len(DEFAULT)))
+        for i, (text, linked, node) in enumerate(zip(self.texts, self.linked, self.nodes, strict=True)):
+            tag, n = node.tag if node else "", len(text)
+            marks = sum(map(text.count, ".,;:!?。，"))
+            out[i, :9] = 1, tag == "p", tag in HEADING, tag == "li", tag in ("td", "th"), min(n, 400) / 200, min(linked / n, 1.0), min(20 * marks / n, 1.0), min(text.count(" ") + 1, 40) / 40
+            names = node.names if node else 0
+            while names:
+                low = names & -names
+                out[i, 8 + low.bit_length()] = 1
+                names ^= low
         return out
 
+    def labels(self) -> list[float]:
+        """1 for blocks that their elements place in an article, 0 for those in menus and the like, -1 for all others."""
+        return [-1.0 if o is None else 1.0 if o.good and o.score > 0 else 0.0 if o.score <= -7 else -1.0 for o in self.nodes]
+
+    def odds(self, weights: np.ndarray = DEFAULT) -> list[float]:
+        """The log-odds of each block being content."""
+        said = np.clip(self.features() @ weights, -MOST, MOST)
+        context = np.array([o.score if o else 0.0 for o in self.nodes])
+        return (context + said - (3.0 * (context <= 0) if self.has_article else 0.0)).tolist()
+
+
+def fit(features: np.ndarray, labels: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+    """Weights of the least logistic loss, both classes weighing the same, near DEFAULT."""
+    if not (labels > 0).any() or not (labels == 0).any():
+        return DEFAULT
+    share = np.where(labels > 0, 0.5 / max((labels > 0).sum(), 1), 0.5 / max((labels == 0).sum(), 1))
+
+    def gradient(step: np.ndarray) -> np.ndarray:
+        return features.T @ (share * (sigmoid(features @ (DEFAULT + step)) - labels)) + ridge * step
+
+    return DEFAULT + adam(gradient, len(DEFAULT), 200)
+
+
+def train(pages: DataFrame, max_pages: int = MAX_PAGES, html_col: str = "html") -> np.ndarray:
+    """The classifier's weights from the labelled blocks of a bounded sample of pages; each page counts its distinct blocks once."""
+    rows = pages.select(F.col(html_col).alias("html"), hash_unit(F.concat_ws(":", *[F.col(c).cast("string") for c in ("page_id", "url") if c in pages.columns], F.md5(F.substring(html_col, 1, 2000)))).alias("u")).where("html is not null")
+    n = rows.count()
+    rows = rows.where(F.col("u") < max_pages / max(n, 1)).select("html")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "html"):
+                kept: dict[tuple, int] = {}
+                for page in part.column(0).to_pylist():
+                    blocks = Blocks(page)
+                    for x, y in {(tuple(x), y) for x, y in zip(blocks.features().round(3).tolist(), blocks.labels(), strict=True) if y >= 0}:
+                        kept[x, y] = kept.get((x, y), 0) + 1
+                yield pa.RecordBatch.from_pydict({"x": pa.array([list(k[0]) for k in kept], pa.list_(pa.float64())), "y": pa.array([k[1] for k in kept], pa.float64()), "n": pa.array(list(kept.values()), pa.int64())})
+
+    found = rows.mapInArrow(run, "x array<double>, y double, n bigint").groupBy("x", "y").agg(F.sum("n").alias("n")).orderBy("x", "y").toPandas()
+    if found.empty:
+        return DEFAULT
+    return fit(np.repeat(np.stack(found["x"].to_numpy()), np.minimum(found["n"], 50), axis=0), np.repeat(found["y"].to_numpy(), np.minimum(found["n"], 50)))
+
 
 def min_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """True for the nodes on the source's side of a minimum cut: the smallest such side."""
@@ -239,13 +325,24 @@ def min_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool
     return [level[i] >= 0 for i in range(n)]
 
 
-def label(blocks: Blocks) -> list[bool]:
+def _shared(a: _Open | None, b: _Open | None) -> tuple[int, int]:
+    """The depth of the nearest element around both, and the greater depth of the two."""
+    deepest = max(a.depth if a else 0, b.depth if b else 0)
+    while a is not b:
+        if b is None or (a is not None and a.depth >= b.depth):
+            a = a.outer
+        else:
+            b = b.outer
+    return a.depth if a else 0, deepest
+
+
+def label(blocks: Blocks, weights: np.ndarray = DEFAULT) -> list[bool]:
     """Which blocks are content."""
-    odds = blocks.odds()
-    parent = [p[:-1] if p and p[-1].tag in ("p", "li", *HEADING) else p for p in blocks.paths]
+    odds = blocks.odds(weights)
+    parent = [o.outer if o and o.tag in ("p", "li", *HEADING) else o for o in blocks.nodes]
     group, sums, first = [], [], []
     for i, z in enumerate(odds):
-        if i and parent[i] == parent[i - 1] and (z > 0) == (odds[i - 1] > 0):
+        if i and parent[i] is parent[i - 1] and (z > 0) == (odds[i - 1] > 0):
             sums[-1] += z
         else:
             sums.append(z)
@@ -253,13 +350,10 @@ def label(blocks: Blocks) -> list[bool]:
         group.append(len(sums) - 1)
     edges, last = [], {}
     for g, i in enumerate(first):
-        key = id(parent[i][-1]) if parent[i] else 0
+        key = id(parent[i])
         if g:
-            a, b = parent[i], parent[first[g - 1]]
-            common = 0
-            while common < min(len(a), len(b)) and a[common] is b[common]:
-                common += 1
-            edges.append((g - 1, g, ADJACENT * (common + 1) / (max(len(a), len(b)) + 1)))
+            common, deepest = _shared(parent[i], parent[first[g - 1]])
+            edges.append((g - 1, g, ADJACENT * (common + 1) / (deepest + 1)))
         if key in last:
             edges.append((last[key], g, SHARED))
         last[key] = g
@@ -267,23 +361,25 @@ def label(blocks: Blocks) -> list[bool]:
     return [side[g] for g in group]
 
 
-def extract(html: str | None) -> str:
+def extract(html: str | None, weights: np.ndarray = DEFAULT) -> str:
     """The main text of a page."""
     if not html:
         return ""
     blocks = Blocks(html)
-    return " ".join(t for t, keep in zip(blocks.texts, label(blocks), strict=True) if keep) if blocks.texts else ""
+    return " ".join(t for t, keep in zip(blocks.texts, label(blocks, weights), strict=True) if keep) if blocks.texts else ""
 
 
-def main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
+def main_text(pages: DataFrame, weights: np.ndarray = DEFAULT, html_col: str = "html") -> DataFrame:
     """pages with text and n_chars."""
+    shared = pages.sparkSession.sparkContext.broadcast(weights)
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        texts = [extract(h) for h in batch.column(batch.schema.get_field_index(html_col)).to_pylist()]
+        texts = [extract(h, shared.value) for h in batch.column(batch.schema.get_field_index(html_col)).to_pylist()]
         return {"text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())}
 
     return mapped(pages, "text string, n_chars bigint", run, html_col)
 
 
 def report(pages: DataFrame) -> DataFrame:
-    return main_text(pages.select("page_id", "url", "html")).drop("html")
+    rows = pages.select("page_id", "url", "html")
+    return main_text(rows, train(rows)).drop("html")
