@@ -55,6 +55,29 @@ def chunks(batch: pa.RecordBatch, text: str = "text", size: int = CHUNK_BYTES) -
         yield batch.slice(lo)
 
 
+def pieces(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[pa.Array]:
+    """The column; or, for one text of more than size bytes, its pieces of about size bytes, cut behind white space.
+
+    Text without white space is cut between characters. Pieces follow each other without a gap.
+    """
+    raw, offsets = utf8(column)
+    if len(column) != 1 or len(raw) <= size:
+        yield column
+        return
+    lo, space = 0, ~NON_SPACE
+    while lo < len(raw):
+        hi = min(lo + size, len(raw))
+        if hi < len(raw):
+            at = np.flatnonzero(space[raw[lo:hi]])
+            if len(at):
+                hi = lo + int(at[-1]) + 1
+            else:
+                while raw[hi] & 0xC0 == 0x80:
+                    hi -= 1
+        yield pa.array([raw[lo:hi].tobytes().decode()], pa.string())
+        lo = hi
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and its offsets (rows + 1); a null has no bytes."""
     if isinstance(column, pa.ChunkedArray):

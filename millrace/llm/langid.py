@@ -1,9 +1,12 @@
 """Language identification by interpolated Kneser-Ney character models, one a language.
 
-Letters are lower-cased code points; every run of other characters is one space. The n-grams of all orders are
-stored as sorted arrays of 64-bit hashes, one table for all languages: a row holds the interpolated log probability
-of the last character in each language, and a second table the back-off weight of each context. A text's language
-is the one with the lowest cross-entropy a character. Whole texts are scored.
+Letters are lower-cased code points; every run of other characters is one space. Letters beyond U+FFFF stand for one of
+8,448 codes that no letter has, by their number. The n-grams of all orders are stored as sorted arrays of 64-bit hashes,
+one table for all languages whose rows list the languages that have the n-gram and the interpolated log probability of
+its last character there; a second table lists the back-off weights of contexts likewise. The memory is that of the
+n-grams seen, not their product with the languages. A text's language is the one with the lowest cross-entropy a
+character. Whole texts are scored; one of more than RUN_BYTES bytes is read in pieces cut at white space, each of which
+begins like a text. Of languages that tie, the first in order is given.
 
 Rejection is calibrated on training documents that the counts do not see: the cross-entropy of a language's own
 texts has a mean and a variance that falls with their length; a text is rejected if it lies further above the mean
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import chunks, fold, hash_unit, mapped, mix
+from millrace.llm.common import chunks, fold, hash_unit, mapped, mix, pieces
 
 ORDER = 4
 MAX_CHARS = 2_000_000
@@ -66,7 +69,7 @@ class Chars:
         keep[1:] |= letter[:-1]
         edges = starts[(counts > 0)]
         keep[edges] = letter[edges]  # the spaces before a text stand for its leading other characters
-        kept, doc = np.where(letter, np.minimum(raw, 0xFFFF), SPACE)[keep], doc[keep]
+        kept, doc = np.where(letter, np.where(raw > 0xFFFF, 0xD800 + (raw - 0x10000) % 8448, raw), SPACE)[keep], doc[keep]
         self.letters = np.bincount(doc, kept != SPACE, len(texts)).astype(np.int64)
         n = np.bincount(doc, minlength=len(texts))
         pad = ORDER - 1
@@ -119,56 +122,95 @@ class HashArray:
         return out
 
 
+class Table:
+    """Values of (n-gram, language) pairs, stored by n-gram: those seen only."""
+
+    def __init__(self, languages: list[tuple[np.ndarray, np.ndarray]]):
+        """The n-grams and values of each language."""
+        grams = np.concatenate([g for g, _ in languages]) if languages else np.zeros(0, np.uint64)
+        keys, row = np.unique(grams, return_inverse=True)
+        self.index = HashArray(keys)
+        place = np.empty(len(keys), np.int64)
+        place[self.index.order] = np.arange(len(keys))
+        at = place[row]
+        language = np.repeat(np.arange(len(languages)), [len(g) for g, _ in languages])
+        order = np.argsort(at, kind="stable")
+        self.language = language[order].astype(np.int32)
+        self.value = np.concatenate([v for _, v in languages])[order] if languages else np.zeros(0)
+        self.first = np.searchsorted(at[order], np.arange(len(keys) + 1))
+        del self.index.order
+
+    def dense(self, grams: np.ndarray, languages: int, absent: float) -> np.ndarray:
+        """The values of each n-gram in each language, absent where it has none."""
+        out = np.full((len(grams), languages), absent)
+        row = self.index.find(grams)
+        hit = np.flatnonzero(row >= 0)
+        lo, n = self.first[row[hit]], self.first[row[hit] + 1] - self.first[row[hit]]
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(hit) else np.zeros(0, np.int64)
+        out[np.repeat(hit, n), self.language[at]] = self.value[at]
+        return out
+
+
 @dataclass
 class Model:
     languages: list[str]
-    tables: list  # (HashArray of n-grams, log probabilities), by order from 1
-    contexts: list  # (HashArray of contexts, log back-off weights), by the context's order from 0
+    tables: list[Table]  # log probabilities, by order from 1
+    contexts: list[Table]  # log back-off weights, by the context's order from 0
     unseen: float  # log probability of a character that no language has
     distance: np.ndarray | None = None  # by language: mean, between-text variance, within-text variance
     limit: float = np.inf
     scale: float = 1.0
 
     def log_probabilities(self, grams: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(grams), len(self.languages)))
+        n = len(self.languages)
+        out, todo = np.zeros((len(grams), n)), np.ones((len(grams), n), bool)
         active = np.arange(len(grams))
         for order in range(ORDER, 0, -1):
-            table, values = self.tables[order - 1]
-            row = table.find(tail(grams[active], order))
-            found = row >= 0
-            out[active[found]] += values[row[found]]
-            active = active[~found]
+            tails = tail(grams[active], order)
+            value = self.tables[order - 1].dense(tails, n, np.nan)
+            left = todo[active]
+            hit = left & ~np.isnan(value)
+            out[active] += np.where(hit, value, 0.0)
+            left &= ~hit
+            todo[active] = left
+            some = left.any(axis=1)
+            active, left, tails = active[some], left[some], tails[some]
             if not len(active):
                 return out
-            context, weights = self.contexts[order - 1]
-            row = context.find(tail(grams[active], order) >> np.uint64(16))
-            known = row >= 0
-            out[active[known]] += weights[row[known]]
-        out[active] += self.unseen
+            out[active] += np.where(left, self.contexts[order - 1].dense(tails >> np.uint64(16), n, 0.0), 0.0)
+        out[active] += np.where(todo[active], self.unseen, 0.0)
         return out
 
-    def entropies(self, chars: Chars) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy a character of each text in each language, and the number of its characters."""
-        grams = chars.grams()
-        sums = np.zeros((len(chars.n), len(self.languages)))
-        step = max(1, (1 << 20) // max(len(self.languages), 1))
+    def sums(self, chars: Chars) -> np.ndarray:
+        """Minus the log probability of each text in each language."""
+        grams, doc = chars.grams(), chars.doc
+        total = np.zeros((len(chars.n), len(self.languages)))
+        step = max(1, (1 << 21) // max(len(self.languages), 1))
         for lo in range(0, len(grams), step):
-            logp, doc = self.log_probabilities(grams[lo : lo + step]), chars.doc[lo : lo + step]
+            seen, at = np.unique(grams[lo : lo + step], return_inverse=True)
+            logp = self.log_probabilities(seen)[at]
             for k in range(len(self.languages)):
-                sums[:, k] -= np.bincount(doc, logp[:, k], len(chars.n))
-        return sums / np.maximum(chars.n, 1)[:, None], chars.n
-
-    def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+                total[:, k] -= np.bincount(doc[lo : lo + step], logp[:, k], len(chars.n))
+        return total
+
+    def entropies(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cross-entropy a character of each text in each language, and the number of its characters and letters."""
+        total, n, letter = 0.0, 0, 0
+        for part in pieces(texts, RUN_BYTES):
+            chars = Chars(part.to_pylist())
+            total, n, letter = total + self.sums(chars), n + chars.n, letter + chars.letters
+        return total / np.maximum(n, 1)[:, None], n, letter
+
+    def judge(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, score, cross-entropy and rejection of each text."""
         if not self.languages:
             nil = np.zeros(len(texts))
             return ["und"] * len(texts), nil, nil, np.ones(len(texts), bool)
-        chars = Chars(texts)
-        h, n = self.entropies(chars)
+        h, n, letter = self.entropies(texts)
         best = h.argmin(axis=1)
         own = h[np.arange(len(h)), best]
         gap = np.exp(-np.clip((h - own[:, None]) * np.sqrt(np.maximum(n, 1))[:, None] * self.scale, 0, 60))
-        blank = chars.letters == 0
+        blank = letter == 0
         score = np.where(blank, 0.0, 1.0 / gap.sum(axis=1))
         far = np.zeros(len(h), bool) if self.distance is None else (self._distance(own, n, best) > self.limit) & (own > self.distance[best, 0] + LEAST_EXCESS)
         return ["und" if b else self.languages[k] for k, b in zip(best, blank, strict=True)], score, own, far | blank
@@ -179,58 +221,31 @@ class Model:
 
 
 def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
-    """The model from each language's n-grams of the highest order and their counts."""
+    """The model from each language's n-grams of the highest order, sorted, and their counts."""
     languages = sorted(counts)
-    levels: dict[int, dict[str, tuple[np.ndarray, np.ndarray]]] = {ORDER: counts}
-    for order in range(ORDER - 1, 0, -1):  # a lower order counts the characters that an n-gram follows
-        levels[order] = {}
-        for language in languages:
-            grams, _ = levels[order + 1][language]
-            levels[order][language] = np.unique(tail(grams, order), return_counts=True)
-    vocabulary = np.unique(np.concatenate([levels[1][x][0] for x in languages]))
+    vocabulary = np.unique(np.concatenate([tail(counts[x][0], 1) for x in languages]))
     unseen = -np.log(len(vocabulary) + 1.0)
-    model = Model(languages, [], [], unseen)
-    for order in range(1, ORDER + 1):
-        keys = np.unique(np.concatenate([levels[order][x][0] for x in languages]))
-        table = HashArray(keys)
-        keys = keys[table.order]
-        lower = np.exp(_lower(model, keys, order))  # by the lower orders alone
-        contexts = np.unique(keys >> np.uint64(16))
-        context = HashArray(contexts)
-        contexts = contexts[context.order]
-        row = context.find(keys >> np.uint64(16))
-        values, weights = np.empty((len(keys), len(languages))), np.zeros((len(contexts), len(languages)))
-        for k, language in enumerate(languages):
-            grams, c = levels[order][language]
+    values: list[list] = [[] for _ in range(ORDER)]
+    weights: list[list] = [[] for _ in range(ORDER)]
+    for language in languages:
+        levels = {ORDER: counts[language]}
+        for order in range(ORDER - 1, 0, -1):  # a lower order counts the characters that an n-gram follows
+            levels[order] = np.unique(tail(levels[order + 1][0], order), return_counts=True)
+        below = None
+        for order in range(1, ORDER + 1):
+            grams, c = levels[order]
+            # the tail of an n-gram is an n-gram of the order below
+            lower = np.exp(unseen) if below is None else below[1][np.searchsorted(below[0], tail(grams, order - 1))]
             n1, n2 = (c == 1).sum(), (c == 2).sum()
             discount = min(max(n1 / (n1 + 2.0 * n2), 0.1), 0.95) if n1 else 0.5
-            count = np.zeros(len(keys))
-            count[table.find(grams)] = c
-            total = np.bincount(row, count, len(contexts))
-            kinds = np.bincount(row, count > 0, len(contexts))
-            back = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
-            values[:, k] = np.log(np.maximum(count - discount, 0) / np.maximum(total[row], 1) + back[row] * lower[:, k])
-            weights[:, k] = np.log(back)
-        model.tables.append((table, values))
-        model.contexts.append((context, weights))
-    return model
-
-
-def _lower(model: Model, grams: np.ndarray, order: int) -> np.ndarray:
-    """Log probabilities of the n-grams' last characters by the orders below."""
-    out = np.zeros((len(grams), len(model.languages)))
-    active = np.arange(len(grams))
-    for lower in range(order - 1, 0, -1):
-        table, values = model.tables[lower - 1]
-        row = table.find(tail(grams[active], lower))
-        found = row >= 0
-        out[active[found]] += values[row[found]]
-        active = active[~found]
-        context, weights = model.contexts[lower - 1]
-        row = context.find(tail(grams[active], lower) >> np.uint64(16))
-        out[active[row >= 0]] += weights[row[row >= 0]]
-    out[active] += model.unseen
-    return out
+            contexts, row = np.unique(grams >> np.uint64(16), return_inverse=True)
+            total, kinds = np.bincount(row, c, len(contexts)), np.bincount(row, minlength=len(contexts))
+            back = discount * kinds / total
+            p = (c - discount) / total[row] + back[row] * lower
+            below = grams, p
+            values[order - 1].append((grams, np.log(p)))
+            weights[order - 1].append((contexts, np.log(back)))
+    return Model(languages, [Table(v) for v in values], [Table(w) for w in weights], unseen)
 
 
 def train(documents: DataFrame, max_chars: int = MAX_CHARS) -> Model:
@@ -257,7 +272,7 @@ def train(documents: DataFrame, max_chars: int = MAX_CHARS) -> Model:
                 langs = np.array(run.column(1).to_pylist(), object)
                 texts = run.column(0).to_pylist()
                 for lang in sorted(set(langs)):
-                    grams, n = np.unique(Chars([texts[i] for i in np.flatnonzero(langs == lang)]).grams(), return_counts=True)
+                    grams, n = np.unique(np.concatenate([Chars(p.to_pylist()).grams() for p in pieces(pa.array([texts[i] for i in np.flatnonzero(langs == lang)], pa.string()), RUN_BYTES)]), return_counts=True)
                     if lang in held:
                         merged, at = np.unique(np.concatenate([held[lang][0], grams]), return_inverse=True)
                         grams, n = merged, np.bincount(at, np.concatenate([held[lang][1], n]), len(merged)).astype(np.int64)
@@ -282,8 +297,7 @@ def calibrate(model: Model, sample: DataFrame) -> Model:
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for run in chunks(batch, size=RUN_BYTES):
-                chars = Chars(run.column(0).to_pylist())
-                h, n = shared.value.entropies(chars)
+                h, n, _ = shared.value.entropies(run.column(0))
                 yield pa.RecordBatch.from_pydict({"lang": run.column(1), "h": pa.array(list(h), pa.list_(pa.float64())), "n": pa.array(n, pa.int64())})
 
     rows = sample.mapInArrow(measure, "lang string, h array<double>, n bigint").where(F.col("n") > 0).toPandas()
@@ -314,7 +328,7 @@ def identify(documents: DataFrame, model: Model, text_col: str = "text") -> Data
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        lang, score, own, rejected = shared.value.judge(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
+        lang, score, own, rejected = shared.value.judge(batch.column(batch.schema.get_field_index(text_col)))
         return {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64()), "cross_entropy": pa.array(own, pa.float64()), "rejected": pa.array(rejected, pa.bool_())}
 
     return mapped(documents, "lang_pred string, score double, cross_entropy double, rejected boolean", run, text_col, RUN_BYTES)

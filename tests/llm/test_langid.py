@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from millrace.llm import langid
@@ -35,10 +37,8 @@ def test_probabilities_add_up():
 def test_lower_orders_by_hand():
     """The unigram level counts the characters that each one follows."""
     model = langid.kneser_ney({"a": counts(["ab ab ac"])})
-    table, values = model.tables[0]
-    row = table.find(np.array([ord("a"), ord("b"), ord("c"), ord(" ")], np.uint64))
-    assert (row >= 0).all()
-    p = np.exp(values[row, 0])
+    p = np.exp(model.tables[0].dense(np.array([ord("a"), ord("b"), ord("c"), ord(" ")], np.uint64), 1, np.nan)[:, 0])
+    assert not np.isnan(p).any()
     assert abs(p.sum() + np.exp(model.unseen) * 0 - 1) < 0.25 and p[1] == p[2]
 
 
@@ -78,7 +78,51 @@ def test_all_training_rows_count_and_small_languages_are_learned(spark):
         if zlib.crc32(str(only).encode()) % 4 != 2 and frame.where((langid.hash_unit(F.concat(F.lit("part:"), F.col("doc_id").cast("string"))) < 0.2) & (F.col("lang") == "bb")).count():
             break
     model = langid.train(frame, max_chars=500)
-    assert model.languages == ["aa", "bb"] and model.judge(["xyzzy quux"])[0] == ["bb"]
+    assert model.languages == ["aa", "bb"] and model.judge(pa.array(["xyzzy quux"]))[0] == ["bb"]
     trained = [t for i, t in enumerate(texts["aa"]) if zlib.crc32(str(i).encode()) % 4 != 2]
-    seen = model.tables[-1][0].find(np.unique(langid.Chars(trained).grams()))
+    seen = model.tables[-1].index.find(np.unique(langid.Chars(trained).grams()))
     assert (seen >= 0).mean() > 0.95
+
+
+def reference(counts, gram, order):
+    """log p of the last character by the textbook recursion over dictionaries."""
+    levels = {langid.ORDER: {int(g): int(c) for g, c in zip(*counts, strict=True)}}
+    for k in range(langid.ORDER - 1, 0, -1):
+        levels[k] = Counter(g & ((1 << 16 * k) - 1) for g in levels[k + 1])
+
+    def p(g, k):
+        if k == 0:
+            return None
+        table = levels[k]
+        n1, n2 = sum(c == 1 for c in table.values()), sum(c == 2 for c in table.values())
+        d = min(max(n1 / (n1 + 2.0 * n2), 0.1), 0.95) if n1 else 0.5
+        inside = [c for x, c in table.items() if x >> 16 == g >> 16]
+        lower = p(g & ((1 << 16 * (k - 1)) - 1), k - 1) if k > 1 else 1 / vocabulary
+        if not inside:
+            return lower
+        return max(table.get(g, 0) - d, 0) / sum(inside) + d * len(inside) / sum(inside) * lower
+
+    vocabulary = len(levels[1]) + 1
+    return np.log(p(gram, order))
+
+
+def test_sparse_tables_equal_the_recursion():
+    made = counts(["abracadabra abra cad bra"] * 3)
+    model = langid.kneser_ney({"a": made})
+    for text in ("abra cad", "brrr", "zz top", "cadabra a"):
+        grams = langid.Chars([text]).grams()
+        got = model.log_probabilities(grams)[:, 0]
+        assert np.allclose(got, [reference(made, int(g), langid.ORDER) for g in grams])
+
+
+def test_letters_beyond_the_basic_plane_differ():
+    gothic, deseret = "".join(map(chr, range(0x10330, 0x10340))), "".join(map(chr, range(0x10428, 0x10438)))
+    model = langid.kneser_ney({"got": counts([gothic * 3]), "des": counts([deseret * 3])})
+    assert model.judge(pa.array([gothic, deseret]))[0] == ["got", "des"]
+
+
+def test_very_long_text_is_scored_whole(spark):
+    model = langid.kneser_ney({"a": counts(["abracadabra abra cad"] * 3), "b": counts(["xyzzy plugh xyz"] * 2)})
+    long = "abra cadabra " * 1000 + "xyzzy plugh " * 200_000
+    docs = spark.createDataFrame([(1, long), (2, "abra")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, model).collect()} == {1: "b", 2: "a"}
