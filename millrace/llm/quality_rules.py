@@ -7,8 +7,11 @@ kept if the calibrated probability of the label 1 reaches KEEP.
 The regression is trained on at most max_rows labelled rows, drawn by a hash of doc_id, and calibrated by Platt's
 method on a fifth of them that the fit does not see; scoring runs over whole texts in Arrow batches.
 
+The features are hashed words, word pairs and character trigrams by code point, and a few dense shares. A very long text
+is counted whole and scored in pieces.
+
 Defined results: a null text has no words and fails; null labels and null ids are not trained on, repeated labels
-count as the highest; without labels of both classes the regression keeps every document; a table may be empty;
+count as the highest, and of several texts of one id the first in order is trained on; without labels of both classes the regression keeps every document; a table may be empty;
 columns that clash with the added ones are replaced.
 """
 
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import NON_SPACE, Words, bounded_sample, hash_unit, mapped, utf8
-from millrace.llm.features import DIM, N_DENSE, Texts, adam, collect, platt, sigmoid
+from millrace.llm.features import DIM, N_DENSE, adam, collect, platt, sigmoid
 from millrace.llm.quality_pu import Model
 
 MAX_ROWS = 4000
@@ -35,6 +38,8 @@ ADDED = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint
 
 
 def _sums(mark: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    if len(offsets) == 2:  # a very long text is alone
+        return np.array([np.count_nonzero(mark)])
     sums = np.concatenate([[0], np.cumsum(mark, dtype=np.int64)])
     return sums[offsets[1:]] - sums[offsets[:-1]]
 
@@ -88,7 +93,7 @@ def measure(column: pa.Array, words: Words | None = None) -> dict[str, pa.Array]
 def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, ridge: float = 1e-4) -> Model:
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     marks = bounded_sample(marks, "doc_id", max_rows).withColumn("part", F.floor(hash_unit(F.concat(F.lit("fit:"), F.col("doc_id").cast("string"))) * 5))
-    rows = documents.select("doc_id", "text").join(F.broadcast(marks), "doc_id").dropDuplicates(["doc_id"])
+    rows = documents.select("doc_id", "text").join(F.broadcast(marks), "doc_id").groupBy("doc_id", "quality", "part").agg(F.min("text").alias("text"))
     sample = collect(rows, ["doc_id", "quality", "part"])
     y, fit = (sample.extra["quality"] > 0).astype(float), sample.extra["part"] != 0
     if not sample.n or y[fit].min(initial=1) == y[fit].max(initial=0) or not (~fit).any():
@@ -111,9 +116,9 @@ def judge(documents: DataFrame, model: Model, text_col: str = "text", keep: floa
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         column = batch.column(batch.schema.get_field_index(text_col))
-        texts = Texts(column)
-        out = measure(column, texts.words)
-        p = sigmoid(shared.value.slope * texts.score(shared.value.weights) + shared.value.offset)
+        words = Words(column, NON_SPACE, lower=False)
+        out = measure(column, words)
+        p = shared.value.score(column, words)
         kept = (p >= keep) & ~out["base_failed"].to_numpy(zero_copy_only=False)
         return out | {"probability": pa.array(p, pa.float64()), "kept": pa.array(kept, pa.bool_())}
 

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import features, quality_pu, quality_rules
@@ -101,3 +102,58 @@ def test_platt_is_calibrated():
     y = (rng.random(20_000) < features.sigmoid(1.5 * z - 0.5)).astype(float)
     a, b = features.platt(z, y)
     assert abs(a - 1.5) < 0.1 and abs(b + 0.5) < 0.1
+
+
+def test_the_prior_comes_from_positives_and_unlabelled_rows():
+    rng = np.random.default_rng(2)
+    for share in (0.2, 0.5, 0.8):
+        positive = rng.normal(3, 1, 2000)
+        unlabelled = np.concatenate([rng.normal(3, 1, int(2000 * share)), rng.normal(-3, 1, int(2000 * (1 - share)))])
+        assert abs(quality_pu.best_bin(positive, unlabelled) - share) < 0.07
+    assert quality_pu.best_bin(np.zeros(0), np.zeros(3)) == 0.5
+
+
+def plain_score(text, weights):
+    """The linear score from plain Python counts, by the same hashes."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    w = features.Words(pa.array([text]), features.NON_SPACE, lower=False)
+    hashes = dict(zip(words, w.hash.tolist(), strict=True))
+    one = [weights[hashes[x] >> (64 - features.WORD_BITS)] for x in words]
+    pair = []
+    for a, b in zip(words, words[1:]):
+        h = features.mix(np.array([hashes[a]], np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(hashes[b]))
+        pair.append(weights[features.PAIRS + int(h[0] >> np.uint64(64 - features.PAIR_BITS))])
+    gram = []
+    for i in range(len(text) - 2):
+        a, b, c = map(ord, text[i : i + 3])
+        gram.append(weights[features.GRAMS + ((a | b << 21 | c << 42) * 0x9E3779B97F4A7C15 % 2**64 >> (64 - features.GRAM_BITS))])
+    size = max(len(text.encode()), 1)
+    dense = [
+        sum("A" <= x <= "Z" for x in text) / size, sum(x in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" for x in text) / size, sum("0" <= x <= "9" for x in text) / size,
+        sum(a == b for a, b in zip(words, words[1:])) / max(len(words), 1), np.log1p(len(words)) / 10, size * (text != "") / max(len(words), 1) / 20,
+    ]
+    mean = lambda v: sum(v) / max(len(v), 1)
+    return features.SCALE * (mean(one) + mean(pair) + mean(gram)) + float(np.dot(dense, weights[-features.N_DENSE - 1 : -1])) + weights[-1]
+
+
+def test_scores_equal_plain_counts():
+    rng = random.Random(9)
+    weights = np.random.default_rng(3).normal(0, 1, features.DIM)
+    texts = ["".join(rng.choice("aB é😀1 .\n") for _ in range(rng.randint(0, 80))) for _ in range(120)] + ["", "a", "same same same", "ü" * 5]
+    got = features.score(pa.array(texts), weights)
+    assert np.allclose(got, [plain_score(t, weights) for t in texts])
+    cols, values = features.rows(pa.array(texts))
+    assert np.allclose(got, [float(np.dot(weights[c], v)) for c, v in zip(cols, values, strict=True)], atol=1e-3)
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"w{i}" for i in range(800_000))
+    docs = spark.createDataFrame([(1, text, 3), (2, text + "\n" + text, 4)], "doc_id long, text string, score int")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(3, 40)], "doc_id long, quality int, toxic int")
+    more = docs.unionByName(spark.createDataFrame([(i, f"good words here {i}" if i % 2 else f"### {i} $$$", 0) for i in range(3, 40)], docs.schema))
+    rows = {r["doc_id"]: r for r in quality_rules.report(more, labels).collect()}
+    assert rows[1]["n_words"] == 800_000 and rows[1]["n_repeat_words"] == 0 and rows[2]["n_repeat_words"] == 1_600_000
+    scored = {r["doc_id"]: r["score"] for r in quality_pu.report(more, labels).collect()}
+    assert abs(scored[1] - scored[2]) < 0.05
+    kept = quality_pu.score(more, quality_pu.train(more, labels))
+    assert kept.columns == ["doc_id", "text", "score", "predicted"] and dict(kept.dtypes)["score"] == "double"
