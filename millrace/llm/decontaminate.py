@@ -3,14 +3,15 @@
 Normalisation: A-Z is lower-cased; words are runs of ASCII digits and letters and characters beyond ASCII.
 A window is ten consecutive words of an item; an item of fewer words, but not none, is one window.
 
-The benchmark goes to the executors in blocks of at most max_windows windows (a proven bound, about
-200 bytes a window). A benchmark within the bound is one block and one pass; a larger one takes further
-passes over the documents, which carry their hits along, so neither the driver nor a worker ever holds
-more than one block. No stage shuffles documents.
+The benchmark goes to the executors in blocks of at most max_windows windows and max_bytes bytes of window text
+(proven bounds). A benchmark within the bounds is one block and one pass; a larger one takes further passes over the
+documents, written in between, so neither the driver nor a worker ever holds more than one block. A window knows its
+items by number only as long as they are few: a window in more than MAX_IDS items stands for the list of its items by
+its hash, and their ids are joined to the documents it hits afterwards. Documents are not shuffled by a scan.
 
 Defined results: null or empty text has no words and is clean; items without words are ignored; repeated
 items and repeated documents count each by themselves; items with a null id hit words but are not listed;
-an empty benchmark leaves all documents clean; columns whose names clash with the added ones are
+an empty benchmark leaves all documents clean; a very long text is scanned whole, its words found in segments; columns whose names clash with the added ones are
 replaced by mark and report and kept by decontaminate.
 """
 
@@ -26,11 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import Words, mapped, set_aside, without
+from millrace.session import written
 
 #: The fixed definition of a word.
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 WINDOW = 10
 MAX_WINDOWS = 1_000_000
+MAX_BYTES = 128 << 20
+#: Items that a window in a block names itself.
+MAX_IDS = 64
 _UPPER = {c: c + 32 for c in range(0x41, 0x5B)}
 
 ADDED = "n_words bigint, n_hit bigint, hit_items array<string>, hit_words array<bigint>"
@@ -52,6 +57,7 @@ class Block:
         by: dict[int, list] = defaultdict(list)
         for words, ids in windows.items():
             by[len(words)].append((" ".join(words), sorted(ids)))
+        self.many = any(MANY in ids for ids in windows.values())
         self.sets = {}
         for size, entries in by.items():
             _, hashes = Words(pa.array([e[0] for e in entries])).windows(size)
@@ -62,20 +68,47 @@ class Block:
             self.sets[size] = (hashes[order], dict(table))
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int, max_windows: int) -> Iterator[Block]:
-    """Blocks of the benchmark, read partition by partition."""
-    held: dict[tuple[str, ...], set[str]] = defaultdict(set)
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int, max_windows: int, max_bytes: int = MAX_BYTES) -> Iterator[Block]:
+    """Blocks of the benchmark, read partition by partition. Of a window's items the first MAX_IDS are named, then MANY."""
+    held: dict[tuple[str, ...], set[str]] = {}
+    room = max_bytes
     rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null")
     for row in rows.toLocalIterator(prefetchPartitions=False):
         for window in item_windows(row["t"], size):
-            if window not in held and len(held) >= max_windows:
-                yield Block(held)
-                held = defaultdict(set)
-            held[window].update([row["i"]] if row["i"] is not None else [])
+            if window not in held:
+                cost = sum(map(len, window)) + 200
+                if held and (len(held) >= max_windows or room < cost):
+                    yield Block(held)
+                    held, room = {}, max_bytes
+                held[window] = set()
+                room -= cost
+            ids = held[window]
+            if row["i"] is not None and row["i"] not in ids and MANY not in ids:
+                ids.add(row["i"] if len(ids) < MAX_IDS else MANY)
+                room -= len(row["i"]) + 60
     if held:
         yield Block(held)
 
 
+#: Stands for all items of a window that has more than MAX_IDS; no id has this character.
+MANY = "\uffff"
+
+
+def many_items(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """window and item of the windows in more than MAX_IDS items; window is the words, space-joined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = sorted({" ".join(w) for w in item_windows(text, size)})
+                yield pa.RecordBatch.from_pydict({"item": pa.array([item] * len(found), pa.string()), "window": pa.array(found, pa.string())})
+
+    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
+    pairs = rows.mapInArrow(run, "item string, window string").distinct()
+    often = pairs.groupBy("window").agg(F.count("*").alias("n")).where(F.col("n") > MAX_IDS).select("window")
+    return pairs.join(often, "window")
+
+
 def _scan(words: Words, block: Block) -> tuple[np.ndarray, dict[int, set[str]]]:
     """Marks of the words inside an occurrence of a window, and the items found in each text."""
     edge = np.zeros(len(words.start) + 1, np.int64)
@@ -92,20 +125,38 @@ def _scan(words: Words, block: Block) -> tuple[np.ndarray, dict[int, set[str]]]:
                 if text == found:
                     edge[i] += 1
                     edge[i + size] -= 1
-                    items[int(words.doc[i])].update(ids)
+                    items[int(words.doc[i])].update(MANY + text.decode() if x == MANY else x for x in ids)
     return np.cumsum(edge[:-1]) > 0, items
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "item_id", item_text: str = "text",
-         size: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
+         size: int = WINDOW, max_windows: int = MAX_WINDOWS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """docs with n_words, n_hit, hit_items (sorted ids) and hit_words (numbers of the hit words of each text)."""
     sc = docs.sparkSession.sparkContext
     out = without(docs, "n_words", "n_hit", "hit_items", "hit_words")
     out = out.withColumns({"n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"), "hit_items": F.array().cast("array<string>"), "hit_words": F.array().cast("array<bigint>")})
-    found = None
-    for block in blocks(benchmark, id_col, item_text, size, max_windows):
-        found = out = _pass(out, sc.broadcast(block), text_col)
-    return found if found is not None else _pass(out, sc.broadcast(Block({})), text_col)
+    found, many = None, False
+    for block in blocks(benchmark, id_col, item_text, size, max_windows, max_bytes):
+        if found is not None:
+            out = written(out)  # else one task would hold the blocks of all passes
+            last.destroy()
+        last = sc.broadcast(block)
+        found = out = _pass(out, last, text_col)
+        many |= block.many
+    if found is None:
+        return _pass(out, sc.broadcast(Block({})), text_col)
+    return _named(found, many_items(benchmark, id_col, item_text, size)) if many else found
+
+
+def _named(marked: DataFrame, many: DataFrame) -> DataFrame:
+    """marked with the windows in hit_items that stand for all of their items replaced by these."""
+    rows = written(marked.withColumn("row__", F.monotonically_increasing_id()))
+    stands = F.exists("hit_items", lambda x: x.startswith(MANY))
+    spread = rows.where(stands).select("row__", F.explode("hit_items").alias("x"))
+    meant = spread.where(F.col("x").startswith(MANY)).select("row__", F.substring("x", 2, 1 << 30).alias("window")).join(many, "window").select("row__", F.col("item").alias("x"))
+    ids = spread.where(~F.col("x").startswith(MANY)).unionByName(meant).groupBy("row__").agg(F.array_sort(F.collect_set("x")).alias("ids__"))
+    named = rows.where(stands).join(ids, "row__").withColumn("hit_items", F.col("ids__")).drop("row__", "ids__")
+    return rows.where(~stands).drop("row__").unionByName(named)
 
 
 def _pass(docs: DataFrame, block, text_col: str) -> DataFrame:

@@ -38,8 +38,9 @@ def test_equals_sql(spark, sf):
     same(queries.op1_decontamination(spark, sf), oracles.ORACLES["op1_decontamination"], sf)
 
 
-@pytest.mark.parametrize("max_windows", [10**6, 5])
-def test_equals_brute_force(spark, max_windows):
+@pytest.mark.parametrize(("max_windows", "max_ids"), [(10**6, 64), (10**6, 1), (30, 64), (40, 1)])
+def test_equals_brute_force(spark, monkeypatch, max_windows, max_ids):
+    monkeypatch.setattr(decontaminate, "MAX_IDS", max_ids)
     rng = random.Random(7)
     vocabulary = ["a", "B", "é1", "C3", "dd", "Ö"]
     make = lambda n: " ".join(rng.choice(vocabulary) + rng.choice(["", ".", "-", "\n"]) for _ in range(n))
@@ -78,3 +79,11 @@ def test_long_words_and_windows():
     assert h[0] == h[3] != h[6] and h[1] == h[4] == h[9] == h[11]
     at, _ = words.windows(3)
     assert at.tolist() == [0, 3, 6]
+
+
+def test_very_long_text(spark):
+    filler = " ".join(f"w{i % 9973}" for i in range(1_500_000))
+    docs = spark.createDataFrame([(1, filler + " the secret answer of item one is forty two and so on"), (2, filler)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "The secret answer of item one is forty two and so on")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in decontaminate.report(docs, bench).collect()}
+    assert got == {1: (1_500_012, 12, 1), 2: (1_500_000, 0, 0)}
