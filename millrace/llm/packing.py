@@ -11,6 +11,9 @@ token go through the tokenizers library itself, whose added tokens decide there.
 Sequence numbers are unique: the piece's place in its partition below the partition's number. Pieces keep the
 order of their document. No shuffle takes place.
 
+Texts of more than CHUNK_BYTES characters are encoded part by part, cut where the vocabulary's pattern begins a new token in
+any case, to the same ids; a text that may hold an added token is not cut.
+
 Defined results: null and empty texts are the one token 0; null ids and repeated rows are packed like all others,
 and a repeated id's pieces overlap in start; an empty table gives no pieces; further columns are ignored.
 """
@@ -18,6 +21,7 @@ and a repeated id's pieces overlap in start; an empty table gives no pieces; fur
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import chunks
+from millrace.llm.common import CHUNK_BYTES, chunks
 
 LENGTH = 1024
 END = 0
@@ -63,13 +67,34 @@ def encoder(vocabulary: str, ranks: str | None) -> Callable[[list[str]], list[li
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
     added = [t.content for t in exact.get_added_tokens_decoder().values()]
 
+    def ids(text: str) -> list[int] | np.ndarray:
+        if len(text) <= CHUNK_BYTES:
+            return fast.encode_ordinary(text)
+        return np.concatenate([np.array(fast.encode_ordinary(p), np.uint32) for p in parts(text)])
+
     def encode(texts: list[str]) -> list[list[int]]:
-        return [exact.encode(t, add_special_tokens=False).ids if any(a in t for a in added) else fast.encode_ordinary(t) for t in texts]
+        return [exact.encode(t, add_special_tokens=False).ids if any(a in t for a in added) else ids(t) for t in texts]
 
     _ENCODERS[vocabulary, ranks] = encode
     return encode
 
 
+#: Before a single space between a character that is no white space and a letter a new token begins in any case.
+_CUT = re.compile(r"(?<=\S) (?=[^\W\d_])")
+
+
+def parts(text: str, size: int = CHUNK_BYTES) -> Iterator[str]:
+    """A text in parts of about size characters that are encoded one by one to the same ids; whole where no place to cut is found."""
+    at = 0
+    while len(text) - at > size:
+        found = _CUT.search(text, at + size)
+        if not found:
+            break
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:] if at else text
+
+
 def decompose(n: int, most: int = LENGTH) -> list[int]:
     """Powers of two that add up to n, each at most most, from the largest down."""
     whole, rest = divmod(n, most)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
@@ -67,3 +68,17 @@ def test_odd_rows(spark):
     assert packing.pack(docs.limit(0)).count() == 0
     with pytest.raises(ValueError, match="power of two"):
         packing.pack(docs, length=1000)
+
+
+def test_long_texts_are_cut_without_changing_ids():
+    import millrace.llm.packing as packing
+
+    rng = random.Random(4)
+    text = "".join(rng.choice(["the cat", " sat", "  ", " 12", "\n", "é", " l'eau", "...", " \u00a0x"]) for _ in range(4000))
+    assert "".join(packing.parts(text, 50)) == text and len(list(packing.parts(text, 50))) > 100
+    vocabulary = packing.default_vocabulary()
+    encode = packing.encoder(vocabulary, vocabulary.removesuffix(".json") + ".tiktoken")
+    whole = packing.encoder(vocabulary, None)([text])[0]
+    assert [i for p in packing.parts(text, 50) for i in encode([p])[0]] == whole
+    long = text * 80
+    assert len(long) > packing.CHUNK_BYTES and list(encode([long])[0]) == packing.encoder(vocabulary, None)([long])[0]
