@@ -22,11 +22,12 @@ candidates are verified by their exact weighted Jaccard similarity. Two texts of
 bands once in 38,000 pairs, and more similar ones far more rarely.
 
 Within a bucket, members are first compared with one leader, the text that shares buckets with the most others: in a
-group of copies that is the original or what is nearest to it. What still holds several components is compared in
-groups of bounded size, each inside its task: texts outside the bucket's largest component, BLOCK at a time, against
-all others, CHUNK at a time. A bucket of more than BLOCK texts is first banded again by further samples, up to LEVELS
-times, which parts texts that share a passage only. Links that join components come out, never all pairs; later bands
-compare only what earlier ones have not joined. Rows of a bucket are dealt by (key, salt), a salt for every SALT rows.
+group of copies that is the original or what is nearest to it. This is done for all bands before anything else, so a
+large group of near copies is one component by then, at a few comparisons a text. A bucket of more than LARGE texts that
+still holds several components is banded again by further samples, up to LEVELS times, which parts texts that share a
+passage only; the others, and what is left at last, are compared in groups of bounded size, each inside its task: texts
+outside the bucket's largest component, BLOCK at a time, against all others, CHUNK at a time. Links that join components
+come out, never all pairs. Rows of a bucket are dealt by (key, salt), a salt for every SALT rows.
 Components are computed by star steps. Only text numbers and the shingles of texts in shared buckets are shuffled.
 
 Defined results: null and empty texts and texts without words are classes of their own, with class_id their doc_id;
@@ -58,12 +59,14 @@ from millrace.session import written
 SIZE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
-#: Bands that are compared together, from and to.
+#: Bands whose leaders are met together, from and to.
 BATCHES = ((0, 3), (4, 19))
 #: Texts compared at once, and the others that they are compared with in one group.
-BLOCK, CHUNK = 256, 4096
-#: Rows of a bucket that one salt takes, and how often a large bucket is banded again.
-SALT, LEVELS = 256, 2
+BLOCK, CHUNK = 512, 4096
+#: Texts of a bucket that is banded again if it holds several components, and how often.
+LARGE, LEVELS = 4096, 2
+#: Rows of a bucket that one salt takes.
+SALT = 256
 #: The share of documents below which all shingles weigh the same, and how many shingles may lie above it.
 LEAST_SHARE = 1e-3
 MAX_FREQUENT = 1 << 22
@@ -572,20 +575,26 @@ def _banded_again(rows: DataFrame, found: DataFrame, shared, level: int) -> Data
 
 
 def _settle(rows: DataFrame, state: _Links, found: DataFrame, shared, least: float, level: int) -> None:
-    """Adds the links of all buckets of rows (key, salt, salts, number, order)."""
-    left = _open(rows, state.parts)
-    if left.isEmpty():
-        return
-    state.add(_leaders_met(left, found, shared, least))
-    left = _open(left, state.parts)
+    """Adds the links of all buckets of rows (key, salt, salts, n, number, order) whose leaders have been met."""
+    left = _open(rows.where("n > 2"), state.parts)  # a bucket of two is its leader and one other
     if left.isEmpty():
         return
-    large = left.where(F.col("salts") > BLOCK // SALT) if level < LEVELS else left.limit(0)
-    small = left.where(F.col("salts") <= BLOCK // SALT) if level < LEVELS else left
+    large = F.col("n") > (LARGE if level < LEVELS else 1 << 62)
+    small = left.where(~large)
     if not small.isEmpty():
         state.add(_compared(small, found, shared, least))
-    if level < LEVELS and not large.isEmpty():
-        _settle(written(_crowded(_banded_again(large, found, shared, level + 1))), state, found, shared, least, level + 1)
+        left = _open(left.where(large), state.parts)
+    if level < LEVELS and not left.isEmpty():
+        again = written(_crowded(_banded_again(left, found, shared, level + 1)))
+        _lead(again, state, found, shared, least)
+        _settle(again, state, found, shared, least, level + 1)
+
+
+def _lead(rows: DataFrame, state: _Links, found: DataFrame, shared, least: float) -> None:
+    """Adds the links of the buckets' rows to their leaders."""
+    left = _open(rows, state.parts)
+    if not left.isEmpty():
+        state.add(_leaders_met(left, found, shared, least))
 
 
 def link(docs: DataFrame, bands: DataFrame, shared, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -597,11 +606,12 @@ def link(docs: DataFrame, bands: DataFrame, shared, least: float = SIMILARITY) -
     rows = written(_crowded(bands.select("number", F.posexplode("bands").alias("band", "key"))))
     # a text that shares its buckets with the most others is nearest to all of them: the original among its copies
     central = rows.groupBy("number").agg(F.shiftleft(F.least(F.sum("n"), F.lit(1 << 30)), 32).bitwiseOR(F.xxhash64("number").bitwiseAND(F.lit((1 << 32) - 1))).alias("order"))
-    rows = written(rows.drop("n").join(central, "number"))
+    rows = written(rows.join(central, "number"))
     found = written(vectors(docs, rows.select("number").distinct()))
     state = _Links(docs.sparkSession)
     for first, last in BATCHES:
-        _settle(rows.where(F.col("band").between(first, last)).drop("band"), state, found, shared, least, 0)
+        _lead(rows.where(F.col("band").between(first, last)), state, found, shared, least)
+    _settle(rows.drop("band"), state, found, shared, least, 0)
     return state.links, state.parts
 
 

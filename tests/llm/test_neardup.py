@@ -161,7 +161,7 @@ def test_frequencies_count_groups_of_copies_once(spark):
 def test_large_buckets_equal_brute_force(spark, monkeypatch, small):
     """A large group of near copies, and many texts that share a long passage only; with small blocks every path is taken."""
     if small:
-        for name, value in {"BLOCK": 8, "CHUNK": 32, "SALT": 8, "HOT_SHARE": 1e-2}.items():
+        for name, value in {"BLOCK": 8, "CHUNK": 32, "LARGE": 6, "SALT": 8, "HOT_SHARE": 1e-2}.items():
             monkeypatch.setattr(neardup, name, value)
     rng = random.Random(5)
     base = [f"g{i}" for i in range(150)]
