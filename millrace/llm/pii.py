@@ -1,16 +1,22 @@
 """Personal data by fixed patterns, and by bootstrapped contexts that lead to identifiers no pattern knows.
 
 The base patterns find e-mail and IP addresses, payment cards and telephone numbers: leftmost, non-overlapping by
-kind, failing matches dropped. Their spans are the seeds. Each seed and each other identifier-like token (a run of
-ASCII letters, digits and @._%+- with three digits) is an instance; the words around it are its lexical patterns.
+kind, failing matches dropped. Their spans are the seeds. Each seed and each other identifier-like token (a run of six
+or more ASCII letters, digits and @._%+- with three digits, of any length) is an instance; the words around it are its
+lexical patterns: the two words before it, and the words on both sides. A word counts by its part within LEFT
+characters before the instance or RIGHT behind it, so that a longer one stands by its nearest part.
 Instances and patterns form a bipartite graph that is scored in ROUNDS rounds for each kind:
     confidence(pattern) = mean score of its distinct instances, 0 with a support under LEAST_SUPPORT
     score(instance) = 1 for seeds, else 1 - product over its confident patterns of (1 - confidence).
+The support sums the scores of all instances, so a pattern may become confident by discovered ones alone.
 Tokens in a pattern of confidence ACCEPT or more, and tokens whose score reaches it, become spans of that kind.
 
-DataFrame functions only. Offsets come from the lengths of the gaps that splitting by a pattern leaves; the
-patterns are written with possessive and lazy classes, so that no run of characters takes quadratic time or deep
-recursion. The graph holds distinct (pattern, instance) pairs; its sums are aggregated map-side.
+DataFrame functions only. Splitting by a pattern gives the gaps between its matches; offsets are running sums of their
+lengths in a window over the document's matches, and surroundings come from the neighbouring gaps, so no step goes
+through a text once a match. The patterns are written with possessive and lazy classes, so that no run of characters
+takes quadratic time or deep recursion. Tokens are held against base spans in the same window. The graph holds distinct
+(pattern, instance) pairs; its sums are aggregated map-side. Documents without any match are never shuffled; others meet
+their spans in a join, with their text only where it is rewritten.
 
 Defined results: null text is empty; overlapping spans of different kinds all count (redaction merges them); null
 ids and repeated rows pass through; an empty table gives no rows; clashing columns are
@@ -19,7 +25,7 @@ replaced by detect and kept by redact.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import set_aside, without
@@ -36,28 +42,13 @@ CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 PATTERNS = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE), strict=True))
 
-TOKEN = r"(?<![A-Za-z0-9@._%+-])(?=(?:[A-Za-z@._%+-]*+[0-9]){3})[A-Za-z0-9@._%+-]{6,64}(?![A-Za-z0-9@._%+-])"
-LEFT, RIGHT = 48, 24
+TOKEN = r"(?<![A-Za-z0-9@._%+-])(?=(?:[A-Za-z@._%+-]*+[0-9]){3})[A-Za-z0-9@._%+-]{6,}+"
+LEFT, RIGHT = 256, 128
 ROUNDS = 3
 LEAST_SUPPORT = 3.0
 CONFIDENT, ACCEPT = 0.5, 0.9
 
 
-def _placed(text: Column, matches: Column, pattern: str) -> Column:
-    """start, end (code points) and text of each match; matches are those of pattern in text."""
-    gaps = F.zip_with(F.split(text, pattern, -1), matches, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m")))
-    empty = F.array().cast("array<struct<start:int,end:int,m:string>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m")))
-        return F.struct(end.alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
-
-    all_of = F.aggregate(gaps, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.size(matches) > 0, all_of).otherwise(empty)
-
-
 def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
@@ -77,48 +68,70 @@ def _holds(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _kept(kind: str) -> Column:
-    """The matches of a kind that hold."""
-    number = F.lit(KINDS.index(kind)).alias("kind")
-    return F.transform(
-        F.filter(f"s_{kind}__", lambda s: _holds(kind, s["m"])),
-        lambda s: F.struct(number, s["start"].alias("start"), s["end"].alias("end"), s["m"].alias("m")),
-    )
+#: A character without which a text cannot match, to leave most texts alone.
+_NEEDS = {"email": "@", "phone": "+"}
 
 
 def _of_kind(spans: str, kind: str) -> Column:
     return F.filter(spans, lambda s: s["kind"] == KINDS.index(kind))
 
 
-#: A character without which a text cannot match, to leave most texts alone.
-_NEEDS = {"email": "@", "phone": "+"}
-
-
-def base_spans(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with base__ (kind number, start, end and text of the base spans) and tokens__ (other identifier-like tokens)."""
+def hits(docs: DataFrame, text_col: str) -> DataFrame:
+    """docs with hits__: each pattern's matches (kind, or -1 for tokens; number, text) with the lengths and ends of the gaps around."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     none = F.array().cast("array<string>")
-    found = {}
-    for kind, pattern in PATTERNS.items():
+    found, gaps = {}, {}
+    for kind, pattern in (PATTERNS | {"token": TOKEN}).items():
         needs = F.contains(text, F.lit(_NEEDS[kind])) if kind in _NEEDS else text.rlike("[0-9]")
         found[f"m_{kind}__"] = F.when(needs, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
-    found["m_token__"] = F.when(text.rlike("[0-9]"), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).otherwise(none)
-    docs = docs.withColumns(found)
-    docs = docs.withColumns({f"s_{k}__": _placed(text, F.col(f"m_{k}__"), p) for k, p in PATTERNS.items()} | {"s_token__": _placed(text, F.col("m_token__"), TOKEN)})
-    docs = docs.withColumn("base__", F.concat(*[_kept(k) for k in KINDS]))
-    free = F.filter("s_token__", lambda t: ~F.exists("base__", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    docs = docs.withColumn("tokens__", F.transform(free, lambda t: F.struct(F.lit(-1).alias("kind"), t["start"].alias("start"), t["end"].alias("end"), t["m"].alias("m"))))
-    # the surroundings of seeds and tokens
-    around = F.transform(
-        F.concat("base__", "tokens__"),
-        lambda s: F.struct(
-            s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["m"].alias("m"),
-            F.substring(text, F.greatest(s["start"] - LEFT + 1, F.lit(1)), F.least(s["start"], F.lit(LEFT))).alias("left"),
-            F.substring(text, s["end"] + 1, F.lit(RIGHT)).alias("right"),
-        ),
+        gaps[f"g_{kind}__"] = F.when(F.size(f"m_{kind}__") > 0, F.split(text, pattern, -1)).otherwise(none)
+    docs = docs.withColumns(found).withColumns(gaps)
+    each = []
+    for i, kind in enumerate([*KINDS, "token"]):
+        each.append(F.zip_with(f"m_{kind}__", f"g_{kind}__", _hit(F.lit(i if kind in KINDS else -1))))
+    # one more gap than matches: the last one has none
+    return docs.withColumn("hits__", F.concat(*each)).drop(*found, *gaps)
+
+
+def _hit(kind: Column):
+    return lambda m, g: F.struct(
+        kind.alias("kind"), m.alias("m"), F.length(g).alias("gap"), F.octet_length(g).alias("gap_bytes"),
+        F.right(g, F.lit(LEFT)).alias("before"), F.left(g, F.lit(RIGHT)).alias("after"),
     )
-    docs = docs.withColumn("around__", around)
-    return docs.drop("base__", "tokens__", *found, *[c.replace("m_", "s_", 1) for c in found])
+
+
+def _rows(marked: DataFrame) -> DataFrame:
+    """row__, kind, start, end, first, last, m and contexts of each match that holds; of tokens, those that no base span touches."""
+    rows = marked.where(F.size("hits__") > 0).select("row__", F.posexplode("hits__").alias("i", "h")).select("row__", "i", "h.*").repartition("row__")
+    own = Window.partitionBy("row__", "kind").orderBy("i")
+    past = own.rowsBetween(Window.unboundedPreceding, -1)
+    m, nothing = F.coalesce("m", F.lit("")), F.lit("")
+
+    def offset(gap: str, size: Column) -> Column:
+        return F.col(gap) + F.coalesce(F.sum(F.col(gap) + size).over(past), F.lit(0))
+
+    def near(column: str, k: int) -> Column:
+        return F.coalesce(F.lag(column, k).over(own) if k > 0 else F.lead(column, -k).over(own), nothing)
+
+    # two tokens before a match may be the words before it, one behind it the word behind it
+    left = F.concat(near("before", 2), near("m", 2), near("before", 1), near("m", 1), F.col("before"))
+    right = F.concat(near("after", -1), near("m", -1), near("after", -2))
+    rows = rows.select(
+        "row__", "kind", "m", offset("gap", F.length(m)).cast("int").alias("start"), offset("gap_bytes", F.octet_length(m)).cast("int").alias("first"),
+        F.right(left, F.lit(LEFT)).alias("left"), F.left(right, F.lit(RIGHT)).alias("right"),
+    ).where("m is not null")
+    holds = F.lit(True)
+    for i, kind in enumerate(KINDS):
+        holds = F.when(F.col("kind") == i, _holds(kind, F.col("m"))).otherwise(holds)
+    rows = rows.where(holds).withColumn("end", F.col("start") + F.length("m")).withColumn("last", F.col("first") + F.octet_length("m"))
+    by_start = Window.partitionBy("row__").orderBy("start", "end", "kind")
+    seed = F.col("kind") >= 0
+    reach = F.max(F.when(seed, F.col("end"))).over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    back = Window.partitionBy("row__").orderBy(F.desc("start"), F.desc("end"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.min(F.when(seed, F.col("start"))).over(back)
+    rows = rows.withColumn("reach__", reach).withColumn("ahead__", ahead)
+    touched = (F.coalesce("reach__", F.lit(0)) > F.col("start")) | (F.coalesce("ahead__", "end") < F.col("end"))
+    return rows.where(seed | ~touched).select("row__", *SPAN, "m", _contexts(F.col("left"), F.col("right")).alias("contexts"))
 
 
 def _contexts(left: Column, right: Column) -> Column:
@@ -131,16 +144,15 @@ def _contexts(left: Column, right: Column) -> Column:
     return F.array_compact(F.array(F.when(two != "", F.concat(F.lit("2:"), F.regexp_replace(two, r"\s+", " "))), both))
 
 
-def _graph(marked: DataFrame) -> DataFrame:
+def _graph(places: DataFrame) -> DataFrame:
     """Distinct (pattern, instance) pairs; kind is the seed's, or -1."""
-    places = marked.select(F.explode("around__").alias("p")).select("p.kind", "p.m", _contexts(F.col("p.left"), F.col("p.right")).alias("contexts"))
     rows = places.select(F.explode("contexts").alias("pattern"), F.col("m").alias("instance"), "kind")
     return rows.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
 
 
-def bootstrap(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+def bootstrap(places: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Accepted patterns (pattern, kind) and instances (instance, kind)."""
-    graph = written(_graph(marked))
+    graph = written(_graph(places))
     # scores are at most 1, so a pattern of fewer distinct instances never has the support
     sizes = graph.groupBy("pattern").agg(F.count("*").alias("size")).where(F.col("size") >= LEAST_SUPPORT)
     edges = written(graph.join(sizes, "pattern"))
@@ -160,26 +172,39 @@ def bootstrap(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return written(patterns), written(instances)
 
 
+#: The fields of a span: offsets in code points, then in bytes.
+SPAN = ("kind", "start", "end", "first", "last")
+_SPANS = "array<struct<kind:int,start:int,end:int,first:int,last:int>>"
+
+
+def _with_spans(docs: DataFrame, text_col: str, keep_text: bool) -> DataFrame:
+    """docs with base__ and all__, the base spans and all spans of each row, sorted."""
+    marked = hits(docs, text_col)
+    marked = written((marked if keep_text else marked.drop(text_col)).withColumn("row__", F.monotonically_increasing_id()))
+    places = written(_rows(marked.select("row__", "hits__")))
+    patterns, instances = bootstrap(places)
+    spans = places.where("kind >= 0").select("row__", *SPAN, F.lit(True).alias("seed"))
+    if not (patterns.isEmpty() and instances.isEmpty()):
+        fields = [c for c in SPAN if c != "kind"]
+        tokens = places.where("kind < 0")
+        by_pattern = tokens.select("row__", *fields, F.explode("contexts").alias("pattern")).join(patterns, "pattern").select("row__", "kind", *fields)
+        by_instance = tokens.drop("kind").join(instances, F.col("m") == F.col("instance")).select("row__", "kind", *fields)
+        added = by_pattern.unionByName(by_instance).groupBy("row__", *fields).agg(F.min("kind").alias("kind"))
+        spans = spans.unionByName(added.select("row__", *SPAN, F.lit(False).alias("seed")))
+    one = F.struct(*SPAN)
+    # the spans of one row, which its own text bounds
+    per = spans.groupBy("row__").agg(F.array_sort(F.collect_list(F.when(F.col("seed"), one))).alias("base__"), F.array_sort(F.collect_list(one)).alias("all__"))
+    none = F.array().cast(_SPANS)
+    marked = marked.withColumn("hits__", F.size("hits__"))
+    met = marked.where("hits__ > 0").join(per, "row__", "left").withColumns({c: F.coalesce(c, none) for c in ("base__", "all__")})
+    return marked.where("hits__ = 0").withColumns({"base__": none, "all__": none}).drop("row__", "hits__").unionByName(met.drop("row__", "hits__"))
+
+
 def detect(docs: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """docs with base_spans and spans: arrays of (kind, start, end), kinds numbered as in KINDS, sorted."""
-    docs = without(docs, "base_spans", "spans")
-    marked = base_spans(docs, text_col)
-    marked = written((marked if keep_text else marked.drop(text_col)).withColumn("row__", F.monotonically_increasing_id()))
-    patterns, instances = bootstrap(marked)
     bare = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
-    base = F.array_sort(F.transform(F.filter("around__", lambda s: s["kind"] >= 0), bare))
-    out = marked.withColumn("base_spans", base)
-    if patterns.isEmpty() and instances.isEmpty():
-        return out.withColumn("spans", F.col("base_spans")).drop("around__", "row__")
-    places = marked.select("row__", F.explode(F.filter("around__", lambda s: s["kind"] < 0)).alias("p"))
-    places = places.select("row__", "p.start", "p.end", "p.m", _contexts(F.col("p.left"), F.col("p.right")).alias("contexts"))
-    by_pattern = places.select("row__", "start", "end", F.explode("contexts").alias("pattern")).join(patterns, "pattern").select("row__", "kind", "start", "end")
-    by_instance = places.join(instances, F.col("m") == F.col("instance")).select("row__", "kind", "start", "end")
-    added = by_pattern.unionByName(by_instance).groupBy("row__", "start", "end").agg(F.min("kind").alias("kind"))
-    added = added.groupBy("row__").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added__"))
-    out = out.join(added, "row__", "left")
-    none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
-    return out.withColumn("spans", F.array_sort(F.concat("base_spans", F.coalesce("added__", none)))).drop("around__", "row__", "added__")
+    found = _with_spans(without(docs, "base_spans", "spans"), text_col, keep_text)
+    return found.withColumns({"base_spans": F.transform("base__", bare), "spans": F.transform("all__", bare)}).drop("base__", "all__")
 
 
 def digest(spans: Column) -> Column:
@@ -196,16 +221,30 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text") -> D
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span replaced by its kind's name in brackets; overlapping spans become the first one's."""
-    docs, back = set_aside(docs, "base_spans", "spans")
-    found = detect(docs, text_col)
+    docs, back = set_aside(docs, "base__", "all__", "row__", "hits__")
+    found = _with_spans(docs, text_col, True)
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    text = F.col(text_col)
-    by_place = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-
-    def step(acc: Column, s: Column) -> Column:
-        new = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(names, s["kind"] + 1))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
-
-    masked = F.aggregate(by_place, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    new = F.when(F.size("spans") > 0, masked).otherwise(text)
+    kind = "array<struct<first:int,last:int,kind:int>>"
+    by_place = F.array_sort(F.transform("all__", lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), s["kind"].alias("kind"))))
+
+    def merge(acc: Column, s: Column) -> Column:
+        """Spans that overlap the one before them widen it; a fold over blocks would copy less, but spans are few beside the text."""
+        top = F.element_at(acc, -1)
+        wider = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(top["first"].alias("first"), F.greatest(top["last"], s["last"]).alias("last"), top["kind"].alias("kind"))))
+        return F.when(F.size(acc) == 0, F.array(s)).when(s["first"] < top["last"], wider).otherwise(F.concat(acc, F.array(s))).cast(kind)
+
+    # nearly all rows have no overlaps, and need no fold
+    apart = lambda a: F.forall(F.zip_with(F.slice(a, 1, F.size(a) - 1), F.slice(a, 2, F.size(a) - 1), lambda x, y: x["last"] <= y["first"]), lambda ok: ok)
+    found = found.withColumn("all__", by_place)
+    found = found.withColumn("all__", F.when(F.size("all__") < 2, F.col("all__")).when(apart(F.col("all__")), F.col("all__")).otherwise(F.aggregate("all__", F.array().cast(kind), merge)))
+
+    def rewritten(x: Column) -> Column:
+        data, spans = x["data"], x["spans"]
+        ends = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["last"]))
+        piece = lambda s, end: F.when(s.isNotNull(), F.concat(F.substring(data, end + 1, s["first"] - end).cast("string"), F.element_at(names, s["kind"] + 1))).otherwise(F.substring(data, end + 1, F.octet_length(data) - end).cast("string"))
+        return F.array_join(F.zip_with(spans, ends, piece), "")
+
+    # inside a lambda the text's bytes are made once
+    masked = F.transform(F.array(F.struct(F.col(text_col).cast("binary").alias("data"), F.col("all__").alias("spans"))), rewritten)[0]
+    new = F.when(F.size("all__") > 0, masked).otherwise(F.col(text_col))
     return found.select(*(back | {text_col: new.alias(text_col)}).values())

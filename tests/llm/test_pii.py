@@ -101,3 +101,24 @@ def test_redaction_merges_overlaps_and_keeps_nulls(spark):
     got = sorted([tuple(r) for r in pii.redact(docs).collect()], key=str)
     assert got == sorted([(1, "x +[CARD] y"), (2, None), (None, "[IP]"), (1, "[IP]")], key=str)
     assert pii.redact(docs.limit(0)).count() == 0
+
+
+def test_long_words_and_tokens_count(spark):
+    """Tokens of any length are instances, and a context word of any length is one."""
+    word = "x" * 300
+    texts = [f"Please {word} at user{i}@mail.example.com today." for i in range(40)]
+    key = "k9" * 60
+    texts += [f"Please {word} at {key} today.", f"and {key} again", "id ab1234 cd5678 ef9012 end"]
+    rows = {r["doc_id"]: r["spans"] for r in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert rows[40] == f"email:311:{311 + len(key)}" and rows[41] == f"email:4:{4 + len(key)}" and rows[42] == ""
+
+
+def test_many_matches_in_one_text(spark):
+    n = 20_000
+    text = "mail a1@b.c \u00e9 id zz12345 and +1 (555) 123-4567 from 1.2.3.4, " * n
+    docs = spark.createDataFrame([(1, text, "x"), (2, "1.2.3.4", "y")], "doc_id long, text string, reach__ string")
+    rows = {r["doc_id"]: r for r in pii.report(docs).collect()}
+    assert (rows[1]["n_email"], rows[1]["n_phone"], rows[1]["n_ip"]) == (n, n, n)
+    assert rows[1]["base_sha256"] == hashlib.sha256(said(brute(text)).encode()).hexdigest()
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs).where("reach__ is not null").collect()}
+    assert clean == {1: "mail [EMAIL] \u00e9 id zz12345 and [PHONE] from [IP], " * n, 2: "[IP]"}
