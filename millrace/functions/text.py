@@ -37,8 +37,9 @@ def alnum_lower_exact(texts: pd.Series) -> pd.Series:
 
 
 def alnum_lower(text: Column) -> Column:
-    """Lower case, letters and numbers only; equal to alnum_lower_exact for text in normal form NFKC."""
-    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "")
+    """NFKC, lower case, letters and numbers only. Text of characters that NFKC leaves alone stays native; other text is normalised in Arrow batches."""
+    plain = ~text.rlike(r"[^\x00-\x7F\x{BF}-\x{FF}]")  # ASCII and the letters of Latin-1
+    return F.regexp_replace(F.lower(F.coalesce(F.when(plain, text), nfkc(F.when(~plain, text)))), r"[^\p{L}\p{N}]", "")
 
 
 def ascii_alnum(text: Column) -> Column:

@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 
 def exact_first(df: DataFrame, digest: Column, order: str) -> DataFrame:
-    """The row of least order for each digest: an aggregation that combines before the shuffle, then a join on its result."""
+    """One row of least order for each digest; null is a digest like others, and of rows that tie any one stays.
+
+    An aggregation that combines before the shuffle finds the least order, so only its rows meet the final choice.
+    """
     rows = df.withColumn("digest__", digest)
     keep = rows.groupBy("digest__").agg(F.min(order).alias("least__"))
-    return rows.join(keep, (rows["digest__"] == keep["digest__"]) & (rows[order] == keep["least__"]), "left_semi").drop("digest__")
+    first = rows.join(keep, rows["digest__"].eqNullSafe(keep["digest__"]) & rows[order].eqNullSafe(keep["least__"]), "left_semi")
+    return first.dropDuplicates(["digest__"]).drop("digest__")
 
 
 def duplicate_counts(df: DataFrame, digest: Column) -> DataFrame:

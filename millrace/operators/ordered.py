@@ -33,10 +33,32 @@ def quota_prefix(df: DataFrame, order: list[str], tokens: str, quota: int) -> Da
     return rows.where(start < quota).withColumn("taken", F.least(F.col(tokens), F.lit(quota) - start)).drop("global_rank", "running_total").where("taken > 0")
 
 
+def running_in_groups(df: DataFrame, groups: list[str], order: list[str], value: Column | None = None, total: str = "running_total", rank: str = "group_rank") -> DataFrame:
+    """df with the rank from 1 and the running total of value inside each group, null groups included.
+
+    One range partition by (groups, order) and the sums of earlier ranges of the same group (a row for each range and
+    group in it): a group of any size is spread over as many ranges as it fills.
+    """
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    rows = df.withColumn("v__", (F.coalesce(value, F.lit(0)) if value is not None else F.lit(1)).cast("decimal(38,0)"))
+    rows = written(rows.repartitionByRange(n, *groups, *order).withColumn("range__", F.spark_partition_id()))
+    sums = rows.groupBy(*groups, "range__").agg(F.sum("v__").alias("sum__"), F.count("*").alias("count__"))
+    before = Window.partitionBy(*groups).orderBy("range__").rowsBetween(Window.unboundedPreceding, -1)
+    keys = [F.col(g).alias(f"g{i}__") for i, g in enumerate(groups)]
+    sums = sums.select(*keys, F.col("range__").alias("at__"), F.coalesce(F.sum("sum__").over(before), F.lit(0)).alias("base__"), F.coalesce(F.sum("count__").over(before), F.lit(0)).alias("seen__"))
+    same = rows["range__"] == F.col("at__")
+    for i, g in enumerate(groups):
+        same = same & rows[g].eqNullSafe(F.col(f"g{i}__"))
+    inside = Window.partitionBy(*groups, "range__").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = rows.join(sums, same)
+    out = out.withColumn(total, (F.sum("v__").over(inside) + F.col("base__")).cast("long")).withColumn(rank, (F.count("*").over(inside) + F.col("seen__")).cast("long"))
+    return out.drop("range__", "v__", "base__", "seen__", "at__", *[f"g{i}__" for i in range(len(groups))])
+
+
 def grouped_quota(df: DataFrame, groups: list[str], order: list[str], tokens: str, quota: Column) -> DataFrame:
     """Rows of each group in order until its tokens reach the quota; the last one may overshoot."""
-    w = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("before__", F.coalesce(F.sum(tokens).over(w), F.lit(0))).where(F.col("before__") < quota).drop("before__")
+    rows = running_in_groups(df, groups, order, F.col(tokens))
+    return rows.where(F.col("running_total") - F.coalesce(F.col(tokens), F.lit(0)) < quota).drop("running_total", "group_rank")
 
 
 def round_robin(df: DataFrame, order: list[str], shards: int) -> DataFrame:
@@ -111,6 +133,16 @@ def token_windows(df: DataFrame, order: list[str], tokens: str, budget: int) ->
 
 def stratified_batches(df: DataFrame, stratum: str, order: Column, per_stratum: int) -> DataFrame:
     """df with batch: each batch takes per_stratum rows of every stratum in hash order."""
-    w = Window.partitionBy(stratum).orderBy("order__")
-    rows = df.withColumn("order__", order).withColumn("k__", F.row_number().over(w))
-    return rows.withColumn("batch", F.floor((F.col("k__") - 1) / per_stratum).cast("int")).drop("order__", "k__")
+    rows = running_in_groups(df.withColumn("order__", order), [stratum], ["order__"])
+    return rows.withColumn("batch", F.floor((F.col("group_rank") - 1) / per_stratum).cast("int")).drop("order__", "running_total", "group_rank")
+
+
+def reservoir(df: DataFrame, k: int, identity: Column, seed: str) -> DataFrame:
+    """A uniform sample of k rows without replacement, the same in every run: those of least seeded hash of their identity.
+
+    Every task keeps its own k least, so at most k rows a task meet.
+    """
+    from millrace.functions.hashing import sha256
+
+    draw = sha256(F.concat(F.lit(f"{seed}:"), identity.cast("string")))
+    return df.withColumn("draw__", draw).orderBy("draw__").limit(k).drop("draw__")

@@ -131,6 +131,16 @@ def capacity(layer: DataFrame, weights: DataFrame, total: int, bucket: str = "bu
 
 
 def fingerprint(df: DataFrame, fields: list[str]) -> DataFrame:
-    """SHA-256 over the sorted rows of a short list of files."""
+    """SHA-256 over the rows in order, a line each, of a list of files.
+
+    One digest over all lines is sequential by definition: the sorted rows stream through the driver, a range at a time,
+    and neither a task nor the driver ever holds all of them.
+    """
+    import hashlib
+
     row = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in fields])
-    return df.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(row)), "\n").cast("binary"), 256).alias("fingerprint"))
+    state, first = hashlib.sha256(), True
+    for batch in df.select(row.alias("r")).orderBy("r").toLocalIterator(prefetchPartitions=False):
+        state.update(("" if first else "\n").encode() + batch["r"].encode())
+        first = False
+    return df.sparkSession.createDataFrame([(state.hexdigest(),)], "fingerprint string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
+import os
 import random
 
 import pytest
@@ -18,6 +19,7 @@ from millrace.operators import dedup as D
 from millrace.operators import filters, generate, metrics, profile, reshape
 from millrace.operators import ordered as W
 from millrace.plans import corpus
+from millrace.session import discard, shared_dir, written
 from millrace.sources import readers
 
 
@@ -284,3 +286,84 @@ def test_stream_windows(spark, tmp_path):
     query = tumbling(stream, "1 hour").writeStream.format("memory").queryName("hours").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert {tuple(r) for r in spark.table("hours").collect()} == {tuple(r) for r in tumbling(events, "1 hour").collect()}
+
+
+def test_exact_first_keeps_one_row_of_ties_and_nulls(spark):
+    rows = [(1, "a"), (1, "a"), (2, "a"), (3, None), (4, None), (None, "b"), (None, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted([tuple(r) for r in D.exact_first(df, H.sha256(F.col("text")), "doc_id").collect()], key=str)
+    assert got == [(1, "a"), (3, None), (None, "b")]
+
+
+def test_alnum_lower_equals_python(spark):
+    texts = ["ＡＢＣ１２３", "ﬁne ①", "Ünï-cödé", "plain Text 9", "e\u0301", None, "", "½ m²", "ǅ"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.alnum_lower(F.col("t")).alias("a"), T.alnum_lower_exact(F.col("t")).alias("b")).collect()
+    assert [r["a"] for r in rows] == [r["b"] for r in rows] and rows[0]["a"] == "abc123"
+
+
+def test_self_near_pairs_equal_brute_force(spark):
+    rng = random.Random(6)
+    words = [f"{rng.choice('abcdefgh')}{k}" for k in range(80)]
+    texts = []
+    for _ in range(30):
+        base = [rng.choice(words) for _ in range(60)]
+        for _ in range(rng.choice([1, 2, 4])):
+            copy = list(base)
+            for _ in range(rng.choice([0, 1, 2, 6])):
+                copy[rng.randrange(60)] = rng.choice(words)
+            texts.append(" ".join(copy))
+    texts += [texts[0].upper(), texts[0] + "!", None, "", "abc"]
+    norm = ["".join(c for c in (t or "").lower() if c.isalnum()) for t in texts]
+    sets = [{n[i : i + 5] for i in range(len(n) - 4)} for n in norm]
+    low = lambda s: {int.from_bytes(hashlib.md5(g.encode()).digest()[:8], "big") >> 1 for g in s}
+    first, want = {}, {}
+    for i, n in enumerate(norm):
+        if sets[i]:
+            if n in first:
+                want[first[n], i] = 1.0
+            first.setdefault(n, i)
+    ids = sorted(first.values())
+    for x, a in enumerate(ids):
+        for b in ids[x + 1 :]:
+            j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            if j >= 0.85 and set(sorted(low(sets[a]))[:32]) & set(sorted(low(sets[b]))[:32]):
+                want[a, b] = j
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["a"], r["b"]): r["jaccard"] for r in C.self_near_pairs(docs, salt=3).collect()}
+    assert got.keys() == want.keys() and len(want) > 15 and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_running_in_groups(spark):
+    rows = [(g, i, i % 5) for g in ("a", "b", None) for i in range(1, 200)]
+    got = W.running_in_groups(spark.createDataFrame(rows, "g string, i long, v long"), ["g"], ["i"], F.col("v")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["group_rank"] == r["i"] and r["running_total"] == sum(k % 5 for k in range(1, r["i"] + 1))
+
+
+def test_reservoir_is_uniform_and_stable(spark):
+    df = spark.range(1000).withColumnRenamed("id", "k")
+    a = sorted(r[0] for r in W.reservoir(df, 100, F.col("k"), "s").collect())
+    b = sorted(r[0] for r in W.reservoir(df.repartition(7), 100, F.col("k"), "s").collect())
+    assert a == b and len(set(a)) == 100 and 350 < sum(a) / 100 < 650 and W.reservoir(df.limit(0), 5, F.col("k"), "s").count() == 0
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default=None: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getConf():
+                return Cluster.conf
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Cluster)
+
+
+def test_discard_deletes_what_was_written(spark):
+    path = written(spark.range(3)).inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path) and discard(spark) > 0 and not os.path.exists(path)
