@@ -137,15 +137,8 @@ def p03(spark, sf):
     return V.nest(t(spark, sf, "conversations")).select("conv_id", V.rejection(V.canonical(F.col("messages"))).alias("why"))
 
 
-@Q("p08_unpivot", "SELECT event_id, field, value FROM (UNPIVOT (SELECT event_id, CAST(user_id AS VARCHAR) AS who, event_type AS what FROM events WHERE event_id < 5000) ON who, what INTO NAME field VALUE value)")
+@Q("p08_unpivot", "SELECT event_id, field, value FROM (UNPIVOT (SELECT event_id, CAST(user_id AS VARCHAR) AS who, event_type AS what FROM events) ON who, what INTO NAME field VALUE value)")
 def p08(spark, sf):
-    rows = t(spark, sf, "events").where("event_id < 5000").select("event_id", F.col("user_id").cast("string").alias("who"), F.col("event_type").alias("what"))
-    return rows.unpivot("event_id", ["who", "what"], "field", "value")
-
-
-@Q("p08_unpivot_events", "SELECT event_id, field, value FROM (UNPIVOT (SELECT event_id, CAST(user_id AS VARCHAR) AS who, event_type AS what FROM events) ON who, what INTO NAME field VALUE value)")
-def p08_events(spark, sf):
-    """Of all events; p08_unpivot keeps the id subset of its SQL."""
     rows = t(spark, sf, "events").select("event_id", F.col("user_id").cast("string").alias("who"), F.col("event_type").alias("what"))
     return rows.unpivot("event_id", ["who", "what"], "field", "value").where("value is not null")
 
@@ -330,11 +323,18 @@ def j05(spark, sf):
     return C.near_matches(t(spark, sf, "documents"), t(spark, sf, "benchmark"), least=0.5)
 
 
-@Q("j08_self_near", f"""
-WITH s AS (SELECT doc_id AS id, list_sort(list_transform({_GRAMS}, lambda g: md5(g))) AS g FROM (SELECT doc_id, {N1.format("text")} AS n FROM documents) WHERE length(n) >= 5),
-e AS (SELECT id, unnest(g[1:32]) AS h FROM s), c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM e x JOIN e y ON x.h = y.h AND x.id < y.id)
-SELECT a, b, j AS jaccard FROM (SELECT a, b, len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))) AS j FROM c JOIN s x ON x.id = a JOIN s y ON y.id = b
-  WHERE len(x.g) >= 0.85 * len(y.g) AND len(y.g) >= 0.85 * len(x.g)) WHERE j >= 0.85""")
+_NEAR = f"""
+t AS MATERIALIZED (SELECT doc_id, {N1.format("text")} AS n FROM documents),
+f AS MATERIALIZED (SELECT min(doc_id) AS id, n FROM t WHERE length(n) >= 5 GROUP BY n),
+s AS MATERIALIZED (SELECT id, list_sort(list_distinct(list_transform({_GRAMS}, lambda g: CAST((('0x' || substr(md5(g), 1, 16))::UBIGINT >> 1) AS BIGINT)))) AS g FROM f),
+z AS MATERIALIZED (SELECT id, len(g) AS k, unnest(g[1:32]) AS h FROM s),
+c AS MATERIALIZED (SELECT DISTINCT x.id AS a, y.id AS b, x.k + y.k AS k FROM z x JOIN z y ON x.h = y.h AND x.id < y.id AND x.k >= 0.85 * y.k AND y.k >= 0.85 * x.k),
+i AS (SELECT a, b, k, len(list_intersect(x.g, y.g)) AS shared FROM c JOIN s x ON x.id = a JOIN s y ON y.id = b),
+near AS MATERIALIZED (SELECT a, b, shared / (k - shared) AS jaccard FROM i WHERE shared / (k - shared) >= 0.85
+  UNION ALL SELECT f.id, t.doc_id, 1.0 FROM t JOIN f ON t.n = f.n WHERE t.doc_id != f.id)"""
+
+
+@Q("j08_self_near", f"WITH {_NEAR} SELECT a, b, jaccard FROM near")
 def j08(spark, sf):
     return C.self_near_pairs(t(spark, sf, "documents"))
 
@@ -931,17 +931,11 @@ def j10(spark, sf):
     return C.guard(_prompts(spark, sf), _items(spark, sf))
 
 
-@Q("j19_seen_prompts", f"WITH {_PROMPTS} SELECT key FROM p WHERE key >= 50 AND prompt NOT IN (SELECT prompt FROM p WHERE key < 50)")
-def j19(spark, sf):
-    rows = _prompts(spark, sf)
-    return C.reject_seen_prompts(rows.where("key >= 50"), rows.where("key < 50")).select("key")
-
-
-@Q("j19_seen_in_earlier_split", f"""
+@Q("j19_seen_prompts", f"""
 WITH {_PROMPTS}, s AS (SELECT key, prompt, ('0x' || substr(sha256('split:' || key), 1, 8))::BIGINT % 10 = 0 AS earlier FROM p)
 SELECT key FROM s WHERE NOT earlier AND NOT EXISTS (SELECT 1 FROM s b WHERE b.earlier AND b.prompt = s.prompt)""")
-def j19_split(spark, sf):
-    """Against a tenth by hash, which grows with the table; j19_seen_prompts keeps the id subset of its SQL."""
+def j19(spark, sf):
+    """Against a tenth by hash, which grows with the table."""
     rows = _prompts(spark, sf)
     earlier = H.bucket(H.sha256(F.concat(F.lit("split:"), F.col("key").cast("string"))), 10) == 0
     return C.reject_seen_prompts(rows.where(~earlier), rows.where(earlier)).select("key")
@@ -955,10 +949,7 @@ def j07_pairs(spark, sf):
 
 
 @Q("d06_near_components", f"""
-WITH RECURSIVE s AS (SELECT doc_id AS id, list_sort(list_transform({_GRAMS}, lambda g: md5(g))) AS g FROM (SELECT doc_id, {N1.format("text")} AS n FROM documents) WHERE length(n) >= 5),
-e AS (SELECT id, unnest(g[1:32]) AS h FROM s), c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM e x JOIN e y ON x.h = y.h AND x.id < y.id),
-k AS (SELECT a, b FROM c JOIN s x ON x.id = a JOIN s y ON y.id = b WHERE len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))) >= 0.85),
-u AS (SELECT a, b FROM k UNION SELECT b, a FROM k), r(n, m) AS (SELECT a, a FROM u UNION SELECT n, b FROM r JOIN u ON m = a)
+WITH RECURSIVE {_NEAR.strip()}, u AS (SELECT a, b FROM near UNION SELECT b, a FROM near), r(n, m) AS (SELECT a, a FROM u UNION SELECT n, b FROM r JOIN u ON m = a)
 SELECT n AS node, min(m) AS component FROM r GROUP BY n""")
 def d06(spark, sf):
     from millrace.operators.components import components
@@ -1104,7 +1095,7 @@ def o06(spark, sf):
 def o07(spark, sf):
     from millrace.plans import conversations as plan
 
-    return plan.audit(plan.select(plan.candidates(t(spark, sf, "conversations"), 4000), F.lit(10**9)))
+    return plan.audit(plan.select(plan.candidates(t(spark, sf, "conversations"), 4000), F.lit(2**62)))
 
 
 @Q("o08_conversation_repair")

@@ -24,9 +24,9 @@ def test_runs(spark, sf, name):
 def test_unpivot_reads_all_events(spark, tmp_path):
     rows = [(i, i % 7 if i % 5 else None, "click" if i % 3 else None) for i in range(4990, 5030)]
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
-    got = QUERIES["p08_unpivot_events"](spark, str(tmp_path))
+    got = QUERIES["p08_unpivot"](spark, str(tmp_path))
     assert got.count() == sum((u is not None) + (e is not None) for _, u, e in rows)
-    same(got, ORACLES["p08_unpivot_events"], str(tmp_path))
+    same(got, ORACLES["p08_unpivot"], str(tmp_path))
 
 
 def test_earlier_split_grows_with_the_table(spark, tmp_path):
@@ -34,9 +34,9 @@ def test_earlier_split_grows_with_the_table(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     earlier = {k for k in range(1000, 1600) if int(hashlib.sha256(f"split:{k}".encode()).hexdigest()[:8], 16) % 10 == 0}
     banned = {k % 200 for k in earlier}
-    got = QUERIES["j19_seen_in_earlier_split"](spark, str(tmp_path))
+    got = QUERIES["j19_seen_prompts"](spark, str(tmp_path))
     assert len(banned) > 20 and {r["key"] for r in got.collect()} == {k for k in range(1000, 1600) if k not in earlier and k % 200 not in banned}
-    same(got, ORACLES["j19_seen_in_earlier_split"], str(tmp_path))
+    same(got, ORACLES["j19_seen_prompts"], str(tmp_path))
 
 
 def test_overlaps_take_all_splits_and_whole_texts(spark, tmp_path):
