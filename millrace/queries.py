@@ -995,12 +995,21 @@ def f09(spark, sf):
     return first_failure(t(spark, sf, "documents"), checks).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+#: A prompt that says something about every constraint family.
+F05_PROMPT = (
+    'Write at least 3 sentences and no more than 200 words in exactly 2 paragraphs, in English, all capital letters or in Spanish. Start the second paragraph with the word "the". '
+    'Use 2 sections, exactly 3 bullet points, at least 1 placeholders, at least one highlighted sections and at most 4 words in all capital letters. Use keywords such as "the", "and". '
+    'Use the word "of" at least 2 times and the letter "e" at least five times. Choose one: "yes", "no". Repeat the question: Is it so? End with "done".'
+)
+
+
 @Q("f05_strict_verdicts")
 def f05(spark, sf):
-    from millrace.functions.verify import verify
+    """Every answer against every constraint family."""
+    from millrace.functions.verify import RULES, verify
 
     rows = t(spark, sf, "conversations").where("role = 'assistant'")
-    asked = rows.select("conv_id", "turn", "text", F.lit("Write at least 3 sentences and no more than 200 words.").alias("prompt"), F.array(F.lit("length constraints:number of sentences"), F.lit("punctuation:use no comma")).alias("c"))
+    asked = rows.select("conv_id", "turn", "text", F.lit(F05_PROMPT).alias("prompt"), F.array(*[F.lit(r) for r in sorted(RULES)]).alias("c"))
     return asked.select("conv_id", "turn", verify("prompt", "text", "c").alias("v")).select("conv_id", "turn", "v.passed", F.concat_ws(",", "v.failed").alias("failed"))
 
 

@@ -48,3 +48,14 @@ def test_overlaps_take_all_splits_and_whole_texts(spark, tmp_path):
     assert texts == {("en", "it"): (1, 1), ("de", "it"): (1, 1), ("de", "en"): (0, 1)}
     for name in ("d07_overlap_matrix", "d07_text_overlaps"):
         same(QUERIES[name](spark, str(tmp_path)), ORACLES[name], str(tmp_path))
+
+
+def test_strict_verdicts_try_every_family(spark, sf):
+    from millrace.functions import verify as V
+    from millrace.queries import F05_PROMPT
+
+    rows = {(r["conv_id"], r["turn"]): r["failed"] for r in QUERIES["f05_strict_verdicts"](spark, sf).collect()}
+    texts = {(r["conv_id"], r["turn"]): r["text"] for r in spark.read.parquet(f"{sf}/conversations.parquet").where("role = 'assistant'").collect()}
+    assert len(rows) == len(texts) and len(V.RULES) == 25
+    for key, failed in rows.items():
+        assert failed == ",".join(n for n in sorted(V.RULES) if not V.RULES[n](F05_PROMPT, texts[key] or ""))
