@@ -876,6 +876,15 @@ def o02(spark, sf):
     return mix(docs, {"en": 0.6, "de": 0.2, "fr": 0.2}, tenth, tenth // 10, 4).select("doc_id", "split", "source", "taken", "shard")
 
 
+@Q("o04_remix")
+def o04(spark, sf):
+    from millrace.plans.remix import remix
+
+    docs = t(spark, sf, "documents").withColumn("source", F.col("lang"))
+    tenth = (docs.agg(F.sum(F.length("text") + 1)).first()[0] or 0) // 10
+    return remix(docs, {"en": 0.6, "de": 0.2, "fr": 0.2}, tenth, t(spark, sf, "benchmark")).select("doc_id", "source", "targets", "piece", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 @Q("s_events_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def events_tumbling(spark, sf):
     from millrace.streaming.windows import tumbling
