@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import hashing as H
@@ -89,3 +90,51 @@ def accept(record: dict[str, Any], gates: DataFrame) -> dict[str, Any]:
     if failed := sorted(g for g, ok in rows.items() if not ok):
         raise ValueError(f"gates failed: {', '.join(failed)}")
     return manifest(record | {"gates": rows})
+
+
+def write_metrics(metrics: DataFrame, path: str, keys: list[str]) -> None:
+    """A small table of measures as one CSV file with a header, long: keys, metric, value."""
+    numbers = [c for c in metrics.columns if c not in keys]
+    rows = metrics.select(*keys, *[F.col(c).cast("double").alias(c) for c in numbers]).unpivot(keys, numbers, "metric", "value")
+    rows.coalesce(1).sortWithinPartitions(*keys, "metric").write.mode("errorifexists").csv(path, header=True)
+
+
+def reused(spark: SparkSession, path: str, fingerprint: dict[str, Any], build: Callable[[], DataFrame]) -> DataFrame:
+    """The table at path if it was built whole from the same fingerprint, else build()'s rows, written there.
+
+    The marker beside the table is written last and holds the fingerprint's digest and the number of rows.
+    """
+    want = manifest(fingerprint)["sha256"]
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    marker, table = fs_path(f"{path}/done"), f"{path}/rows"
+    store = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.exists(marker):
+        done = json.loads(spark.read.text(f"{path}/done").first()[0])
+        if done["fingerprint"] == want and spark.read.parquet(table).count() == done["rows"]:
+            return spark.read.parquet(table)
+    store.delete(fs_path(path), True)
+    build().write.parquet(table)
+    made = spark.read.parquet(table)
+    record = canonical_json({"fingerprint": want, "rows": made.count()})
+    spark.createDataFrame([(record,)], "value string").coalesce(1).write.text(f"{path}/done")
+    return made
+
+
+def materialize(sources: dict[str, DataFrame], rates: dict[str, float], length: int, seed: str = "pool") -> DataFrame:
+    """The candidate pool of all sources: source, doc_id, chunk, text, tokens, rank, digest.
+
+    Blank rows go; a source's rows are sampled by the hash of their id before their text is read, cut into chunks of
+    length - 2 characters, and ranked by hash.
+    """
+    from millrace.functions import text as T
+    from millrace.operators.reshape import code_point_chunks
+
+    out = None
+    for name, rows in sorted(sources.items()):
+        identity = H.sha256(F.concat(F.lit(f"{seed}:{name}:"), F.col("doc_id").cast("string")))
+        rows = rows.select("doc_id", "text").where(H.unit_less_than(identity, rates.get(name, 1.0))).where(~T.is_blank(F.col("text")))
+        pieces = code_point_chunks(rows, "text", length - 2)
+        rank = H.sha256(F.concat_ws(":", F.lit(seed), F.lit(name), F.col("doc_id").cast("string"), F.col("chunk").cast("string")))
+        pool = pieces.select(F.lit(name).alias("source"), "doc_id", "chunk", F.col("piece").alias("text"), F.length("piece").cast("long").alias("tokens"), rank.alias("rank"), H.sha256(F.col("piece")).alias("digest"))
+        out = pool if out is None else out.unionByName(pool)
+    return out

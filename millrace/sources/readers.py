@@ -105,3 +105,16 @@ def gated(df: DataFrame, expected_rows: int) -> DataFrame:
     if (n := df.count()) != expected_rows:
         raise ValueError(f"{n} rows, expected {expected_rows}")
     return df
+
+
+def expand(spark: SparkSession, patterns: list[str]) -> list[str]:
+    """The files that the patterns match, on any file system that Spark reads: sorted and each once. A pattern without files is an error."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found: set[str] = set()
+    for pattern in patterns:
+        path = jvm.org.apache.hadoop.fs.Path(pattern)
+        files = [x.getPath().toString() for x in (path.getFileSystem(conf).globStatus(path) or []) if x.isFile()]
+        if not files:
+            raise FileNotFoundError(f"no files match {pattern}")
+        found.update(files)
+    return sorted(found)
