@@ -1123,3 +1123,98 @@ def o08(spark, sf):
     quota = F.when(F.col("split") == "train", 40_000).otherwise(4_000)
     pool = plan.candidates(t(spark, sf, "conversations"), 4000)
     return plan.repair(pool, plan.select(pool, quota), _items(spark, sf), quota).select("conv_id", "split", "chars")
+
+
+# sources and records
+
+
+@Q("a13_pretrain_source_stats", """
+SELECT source, count(*) AS n_rows, count(*) FILTER (text IS NULL OR trim(text) = '') AS empty_rows, sum(coalesce(length(text), 0))::BIGINT AS raw_tokens, sum(least(coalesce(length(text), 0), 766))::BIGINT AS kept_tokens,
+  count(*) FILTER (length(text) > 766) AS truncated_rows, avg(CASE WHEN length(text) > 766 THEN 1 ELSE 0 END) AS truncation_rate FROM documents GROUP BY source""")
+def a13(spark, sf):
+    from millrace.operators.records import pretrain_source_stats
+
+    return pretrain_source_stats(t(spark, sf, "documents"), "source", "text", F.length("text"), LEN + 2)
+
+
+@Q("a14_conversation_source_stats", """
+SELECT CASE WHEN conv_id % 2 = 0 THEN 'even' ELSE 'odd' END AS source, count(*) AS n_rows, sum(n)::BIGINT AS input_tokens, sum(t)::BIGINT AS target_tokens, count(*) FILTER (t = 0) AS zero_target_rows, count(*) FILTER (n > 2000) AS truncated_rows
+FROM (SELECT conv_id, sum(length(text)) AS n, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS t FROM conversations GROUP BY conv_id) GROUP BY 1""")
+def a14(spark, sf):
+    from millrace.operators.records import conversation_source_stats
+
+    return conversation_source_stats(t(spark, sf, "conversations"), F.when(F.col("conv_id") % 2 == 0, "even").otherwise("odd"), 2000)
+
+
+@Q("a31_behaviour_summary", r"""
+WITH a AS (SELECT text, length(text) AS latency, CASE WHEN length(text) >= 4 THEN 1 - len(list_distinct(list_transform(range(1, length(text) - 2), lambda i: substr(text, CAST(i AS BIGINT), 4)))) / (length(text) - 3) ELSE 0 END AS rep FROM conversations WHERE role = 'assistant')
+SELECT count(*) AS n, avg((trim(text) = '')::INT) AS empty_rate, avg((regexp_matches(lower(trim(text)), '^(i cannot|i can''t|i''m sorry|i am sorry|as an ai|抱歉|无法)'))::INT) AS refusal_rate, avg((rep > 0.3)::INT) AS repetition_rate,
+  quantile_disc(latency, 0.5) AS p50, quantile_disc(latency, 0.95) AS p95 FROM a""")
+def a31(spark, sf):
+    from millrace.operators.records import behaviour_summary
+
+    return behaviour_summary(t(spark, sf, "conversations").where("role = 'assistant'").withColumn("latency", F.length("text").cast("long")), "text", "latency")
+
+
+@Q("j13_origin_claims", """
+WITH c AS (SELECT doc_id, source, md5(text) AS origin, lang AS variant FROM documents), k AS (SELECT origin, variant, min(source) AS owner FROM c GROUP BY ALL)
+SELECT doc_id, source FROM c JOIN k USING (origin, variant) WHERE source = owner""")
+def j13(spark, sf):
+    from millrace.operators.records import claimed
+
+    rows = t(spark, sf, "documents").select("doc_id", "source", F.md5(F.col("text").cast("binary")).alias("origin"), F.col("lang").alias("variant"))
+    return claimed(rows, rows.groupBy("origin", "variant").agg(F.min("source").alias("source"))).select("doc_id", "source")
+
+
+@Q("j16_refetched_rows", """
+SELECT item_id AS line, CASE WHEN item_id % 3 = 0 THEN 'changed' ELSE 'found' END AS status, CASE WHEN item_id % 3 != 0 THEN length(text) END AS chars FROM benchmark UNION ALL SELECT -1, 'missing', NULL""")
+def j16(spark, sf):
+    from millrace.operators.records import refetched
+
+    rows = t(spark, sf, "benchmark").select(F.col("item_id").cast("long").alias("line"), F.col("text").alias("record"))
+    said = rows.select("line", H.sha256(F.when(F.col("line") % 3 == 0, F.concat("record", F.lit("!"))).otherwise(F.col("record"))).alias("sha256"))
+    said = said.unionByName(spark.createDataFrame([(-1, "")], "line long, sha256 string"))
+    return refetched(said, rows).select("line", "status", F.length("record").cast("long").alias("chars"))
+
+
+@Q("w15_resumed_batches", "SELECT doc_id, (rank - 1) // 16 AS batch FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rank FROM documents) WHERE (rank - 1) // 16 >= 3")
+def w15(spark, sf):
+    from millrace.operators.records import resumed
+
+    ranked = W.running(t(spark, sf, "documents").select("doc_id"), ["doc_id"])
+    return resumed(ranked.select("doc_id", F.floor((F.col("global_rank") - 1) / 16).alias("batch")), 3)
+
+
+@Q("w08_reservoir", "SELECT doc_id FROM (SELECT doc_id FROM documents ORDER BY sha256('reservoir:' || doc_id) LIMIT 100)")
+def w08(spark, sf):
+    return W.reservoir(t(spark, sf, "documents").select("doc_id"), 100, F.col("doc_id"), "reservoir")
+
+
+@Q("x26_record_texts", f"""
+WITH {_CONV} SELECT 'conversation' AS kind, conv_id AS id, md5(array_to_string(list_transform(m, lambda x: x.content), chr(10))) AS digest FROM c
+UNION ALL SELECT 'qa', item_id, md5(item_id || chr(10) || text) FROM benchmark UNION ALL SELECT 'text', doc_id, md5(text) FROM documents""")
+def x26(spark, sf):
+    from millrace.operators.records import record_text
+
+    none = F.lit(None).cast("string")
+    empty = F.lit(None).cast("array<struct<role:string,content:string>>")
+    sides = [
+        V.nest(t(spark, sf, "conversations")).select(F.lit("conversation").alias("kind"), F.col("conv_id").alias("id"), none.alias("text"), none.alias("q"), none.alias("a"), "messages"),
+        t(spark, sf, "benchmark").select(F.lit("qa").alias("kind"), F.col("item_id").alias("id"), none.alias("text"), F.col("item_id").cast("string").alias("q"), F.col("text").alias("a"), empty.alias("messages")),
+        t(spark, sf, "documents").select(F.lit("text").alias("kind"), F.col("doc_id").alias("id"), "text", none.alias("q"), none.alias("a"), empty.alias("messages")),
+    ]
+    said = record_text(F.col("kind"), F.col("text"), F.col("q"), F.col("a"), F.col("messages"))
+    parts = [x.select("kind", "id", F.md5(said.cast("binary")).alias("digest")) for x in sides]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@Q("o01_candidate_pool", f"""
+WITH d AS (SELECT 'documents' AS source, doc_id, text FROM documents UNION ALL SELECT 'benchmark', item_id, text FROM benchmark),
+s AS (SELECT * FROM d WHERE text IS NOT NULL AND trim(text) != '' AND (source = 'benchmark' OR CAST(('0x' || substr(sha256('pool:documents:' || doc_id), 1, 16))::UBIGINT AS DOUBLE) / 18446744073709551616.0 < 0.5))
+SELECT source, doc_id, k AS chunk, length(substr(text, CAST(k * {LEN} + 1 AS BIGINT), {LEN})) AS tokens, sha256(substr(text, CAST(k * {LEN} + 1 AS BIGINT), {LEN})) AS digest
+FROM (SELECT source, doc_id, text, unnest(range(0, (length(text) - 1) // {LEN} + 1)) AS k FROM s)""")
+def o01(spark, sf):
+    from millrace.plans.corpus import materialize
+
+    sources = {"documents": t(spark, sf, "documents"), "benchmark": t(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")}
+    return materialize(sources, {"documents": 0.5}, LEN + 2).select("source", "doc_id", "chunk", "tokens", "digest")
