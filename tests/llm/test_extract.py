@@ -4,7 +4,9 @@ import html
 import itertools
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 
 from millrace.llm import extract
@@ -57,3 +59,42 @@ def test_rows(spark):
     got = extract.report(df).collect()
     assert len(got) == 4 and max(r["n_chars"] for r in got) == 5000 * 15 - 1
     assert extract.report(df.limit(0)).count() == 0
+
+
+def learned(n=60, seed=3):
+    """Weights fitted to generated pages whose structure labels their blocks."""
+    rng = random.Random(seed)
+    x, y = [], []
+    for _ in range(n):
+        body = "".join(f"<p>{LONG * rng.randint(1, 3)}</p>" for _ in range(rng.randint(2, 6)))
+        menu = "".join(f"<li class=entryitem><a href=/{k}>Item {k}</a></li>" for k in range(rng.randint(3, 9)))
+        blocks = extract.Blocks(f"<nav><ul>{menu}</ul></nav><article><h1>Some title</h1>{body}</article><footer>Made by us</footer>")
+        x.append(blocks.features())
+        y += blocks.labels()
+    return extract.fit(np.concatenate(x), np.array(y))
+
+
+def test_costs_are_learned_from_structure_and_hold_without_it():
+    weights = learned()
+    assert (weights != extract.DEFAULT).sum() > 5 and (extract.fit(np.zeros((2, len(weights))), np.array([1.0, 1.0])) == extract.DEFAULT).all()
+    page = (
+        "<div class=top><ul><li class=entryitem><a href=/a>Start</a></li><li class=entryitem><a href=/b>About</a></li></ul></div>"
+        f"<div><h1>A story</h1><p>{LONG}</p><p>{LONG}{LONG}</p></div><div><ul><li class=entryitem><a href=/c>Older</a></li></ul></div>"
+    )
+    assert extract.extract(page, weights) == f"A story {LONG}{LONG}{LONG}".strip()
+
+
+def test_names_that_content_may_carry_do_not_drop_it():
+    page = f"<div class='more related'><p>{LONG}{LONG}</p><p>{LONG}{LONG}</p></div><div class=related><a href=x>See this</a></div>"
+    assert extract.extract(page) == f"{LONG}{LONG}{LONG}{LONG}".strip()
+
+
+@pytest.mark.parametrize("page", ["<div>x", "<b>x", "<div>x</b>", "<p>word, word</p><nav>x</nav>", "<a \">"])
+def test_reading_takes_time_in_proportion(page):
+    def seconds(n):
+        began = time.process_time()
+        extract.extract(page * n)
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(40_000) < 40 * max(seconds(4_000), 0.02)
