@@ -102,7 +102,7 @@ class _Open:
         elif names & _GOOD_NAME and tag not in HEADING:
             self.score += 2.0
         elif names & _DOUBTFUL_NAME and tag not in ("body", "html", "article", "main"):
-            self.score -= 1.0
+            self.score -= 0.5
         if attributes and HIDDEN.search(attributes):
             self.score = min(self.score, 0.0) - 9.0
         self.names = above.names if above else 0
