@@ -974,11 +974,15 @@ def p19(spark, sf):
 
 
 @Q("p21_prompt_response", """
-SELECT conv_id, least(length(u) + length(a) + 1, 512) AS n, greatest(least(length(u) + length(a) + 1, 512) - length(u), 0) AS supervised
-FROM (SELECT conv_id, max(text) FILTER (turn = 0) AS u, max(text) FILTER (turn = 1) AS a FROM conversations GROUP BY conv_id HAVING count(*) = 2)""")
+WITH c AS (SELECT conv_id, list(text ORDER BY turn) AS x FROM conversations GROUP BY conv_id), k AS (SELECT conv_id, coalesce(array_to_string(x[1:len(x) - 1], chr(10)), '') AS u, x[len(x)] AS a FROM c)
+SELECT conv_id, least(length(u) + length(a) + 1, 512) AS n, greatest(least(length(u) + length(a) + 1, 512) - length(u), 0) AS supervised FROM k""")
 def p21(spark, sf):
-    rows = t(spark, sf, "conversations").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("u"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("a"), F.count("*").alias("k")).where("k = 2")
-    ids, labels = V.prompt_response_labels(V.code_points(F.col("u")), V.code_points(F.col("a")), 2, 512)
+    """Every conversation: all but its last message are the prompt."""
+    rows = V.nest(t(spark, sf, "conversations"))
+    before = F.array_join(F.transform(V.without_last(F.col("messages")), lambda m: m["content"]), "\n")
+    rows = rows.select("conv_id", before.alias("u"), F.element_at("messages", -1)["content"].alias("a"))
+    points = lambda c: F.when(F.col(c) == "", F.array().cast("array<int>")).otherwise(V.code_points(F.col(c)))
+    ids, labels = V.prompt_response_labels(points("u"), points("a"), 2, 512)
     return rows.select("conv_id", F.size(ids).cast("long").alias("n"), F.size(F.filter(labels, lambda x: x != -100)).cast("long").alias("supervised"))
 
 
@@ -1075,12 +1079,15 @@ def g04(spark, sf):
 
 
 @Q("p08_translation_pairs", """
-WITH d AS (SELECT lang, min(doc_id) AS l, max(doc_id) AS r FROM documents GROUP BY lang) SELECT lang, 'To B: ' || l AS user, CAST(r AS VARCHAR) AS assistant FROM d WHERE l != r UNION ALL SELECT lang, 'To A: ' || r, CAST(l AS VARCHAR) FROM d WHERE l != r""")
+WITH d AS (SELECT doc_id, text AS l, lang || ': ' || text AS r FROM documents WHERE text IS NOT NULL AND trim(text) != '')
+SELECT doc_id, md5('To B: ' || trim(l)) AS "user", md5(trim(r)) AS assistant FROM d UNION ALL SELECT doc_id, md5('To A: ' || trim(r)), md5(trim(l)) FROM d""")
 def p08b(spark, sf):
+    """Both directions of a pair of texts for every document."""
     from millrace.operators.reshape import translation_pairs
 
-    rows = t(spark, sf, "documents").groupBy("lang").agg(F.min("doc_id").cast("string").alias("l"), F.max("doc_id").cast("string").alias("r"))
-    return translation_pairs(rows, "l", "r", {"forth": "To B: ", "back": "To A: "}).select("lang", "user", "assistant")
+    rows = t(spark, sf, "documents").where(~T.is_blank(F.col("text"))).select("doc_id", F.trim("text").alias("l"), F.trim(F.concat("lang", F.lit(": "), "text")).alias("r"))
+    made = translation_pairs(rows, "l", "r", {"forth": "To B: ", "back": "To A: "})
+    return made.select("doc_id", *[F.md5(F.col(c).cast("binary")).alias(c) for c in ("user", "assistant")])
 
 
 @Q("p04_instruction_pairs", "SELECT item_id, 2 AS n, length('Read this.') + 1 + length(trim(text)) AS chars FROM benchmark")
