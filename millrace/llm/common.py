@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,18 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 
 
+def tidy(run: Callable) -> Callable:
+    """run over the batches of a task, then give free memory back: a worker lives on and serves later stages."""
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df less the columns that an operator is about to add, whatever their case."""
     taken = {n.lower() for n in names}
@@ -232,4 +246,4 @@ def mapped(df: DataFrame, columns: str, f, text: str = "text", size: int = CHUNK
                 out = with_columns(part, f(part))
                 yield out.select(schema.names)
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(tidy(run), schema)

@@ -185,7 +185,7 @@ def _pass(docs: DataFrame, block, text_col: str) -> DataFrame:
 
 def _again(docs: DataFrame, keep: list[str], run, text_col: str) -> DataFrame:
     """Like mapped, but run also reads the columns that it replaces."""
-    from millrace.llm.common import chunks, with_columns
+    from millrace.llm.common import chunks, tidy, with_columns
 
     schema = docs.select(*[f"`{c}`" for c in keep], "n_words", "n_hit", "hit_items", "hit_words").schema
 
@@ -194,7 +194,7 @@ def _again(docs: DataFrame, keep: list[str], run, text_col: str) -> DataFrame:
             for part in chunks(batch, text_col):
                 yield with_columns(part, run(part)).select(schema.names)
 
-    return docs.select(*[f"`{c}`" for c in schema.names]).mapInArrow(each, schema)
+    return docs.select(*[f"`{c}`" for c in schema.names]).mapInArrow(tidy(each), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "documents", text_col: str = "text", **how) -> DataFrame:

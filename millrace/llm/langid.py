@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import chunks, fold, hash_unit, mapped, mix, pieces
+from millrace.llm.common import chunks, fold, hash_unit, mapped, mix, pieces, tidy
 
 ORDER = 4
 MAX_CHARS = 2_000_000
@@ -185,7 +185,7 @@ class Model:
         """Minus the log probability of each text in each language."""
         grams, doc = chars.grams(), chars.doc
         total = np.zeros((len(chars.n), len(self.languages)))
-        step = max(1, (1 << 21) // max(len(self.languages), 1))
+        step = max(1, (1 << 19) // max(len(self.languages), 1))
         for lo in range(0, len(grams), step):
             seen, at = np.unique(grams[lo : lo + step], return_inverse=True)
             logp = self.log_probabilities(seen)[at]
@@ -281,7 +281,7 @@ def train(documents: DataFrame, max_chars: int = MAX_CHARS) -> Model:
                     yield from out()
         yield from out()
 
-    counted = docs.where("not calibrate").select("text", "lang").mapInArrow(count, "lang string, gram bigint, n bigint")
+    counted = docs.where("not calibrate").select("text", "lang").mapInArrow(tidy(count), "lang string, gram bigint, n bigint")
     rows = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy("lang", "gram").toArrow()
     if not rows.num_rows:
         return Model([], [], [], 0.0)
@@ -300,7 +300,7 @@ def calibrate(model: Model, sample: DataFrame) -> Model:
                 h, n, _ = shared.value.entropies(run.column(0))
                 yield pa.RecordBatch.from_pydict({"lang": run.column(1), "h": pa.array(list(h), pa.list_(pa.float64())), "n": pa.array(n, pa.int64())})
 
-    rows = sample.mapInArrow(measure, "lang string, h array<double>, n bigint").where(F.col("n") > 0).toPandas()
+    rows = sample.mapInArrow(tidy(measure), "lang string, h array<double>, n bigint").where(F.col("n") > 0).toPandas()
     rows = rows[rows["lang"].isin(model.languages)].sort_values(["lang", "n", "h"], key=lambda s: s if s.name != "h" else s.map(tuple))
     if len(rows) < 20:
         return model

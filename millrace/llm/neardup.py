@@ -52,7 +52,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from millrace.llm.common import Words, chunks, mix
+from millrace.llm.common import Words, chunks, mix, tidy
 from millrace.operators.components import components
 from millrace.session import written
 
@@ -72,7 +72,7 @@ LEAST_SHARE = 1e-3
 MAX_FREQUENT = 1 << 22
 #: Ranges of shingle hashes that are summed by a task each; shingles that a task holds before it puts out sums.
 RANGES = 256
-HELD = 1 << 22
+HELD = 1 << 20
 #: A bucket with more than this share of all rows is met by a broadcast: at most 1 / HOT_SHARE buckets.
 HOT_SHARE = 1e-4
 MARK_BITS = 24
@@ -140,7 +140,7 @@ def prints(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", row_hash(F.col("text")).alias("raw"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, raw bigint, print string, number bigint, copies bigint, n_shingles bigint")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, raw bigint, print string, number bigint, copies bigint, n_shingles bigint")
 
 
 @dataclass
@@ -241,8 +241,8 @@ def frequencies(docs: DataFrame, signed: DataFrame) -> Frequencies:
             yield pa.RecordBatch.from_pydict({"h": pa.array(h[keep].astype(np.int64)), "df": pa.array(w[keep].astype(np.float64))})
 
     kind = "k int, ones binary, others binary, weights binary"
-    tasks = min(RANGES, max(1, -(-shingles // HELD)))  # of small corpora one task takes several ranges
-    summed = docs.select("text").mapInArrow(part, kind).repartition(tasks, "k").mapInArrow(merge, "h bigint, df double")
+    tasks = min(RANGES, max(1, -(-shingles // (4 * HELD))))  # of small corpora one task takes several ranges
+    summed = docs.select("text").mapInArrow(tidy(part), kind).repartition(tasks, "k").mapInArrow(tidy(merge), "h bigint, df double")
     summed = written(summed)
     least = LEAST_SHARE
     while summed.where(F.col("df") > least * n).count() > MAX_FREQUENT:
@@ -323,7 +323,7 @@ def signatures(docs: DataFrame, shared) -> DataFrame:
                     if number is not None and number not in seen:
                         seen.add(number)
                         fresh[i] = True
-                if len(seen) > 1 << 20:
+                if len(seen) > 1 << 17:
                     seen.clear()
                 doc, h, tf = shingle_table(words)
                 keep = fresh[doc]
@@ -331,7 +331,7 @@ def signatures(docs: DataFrame, shared) -> DataFrame:
                 at, keys = sample_bands(doc, h, (1 + np.log(tf)) * shared.value.idf(h))
                 yield pa.RecordBatch.from_pydict({"number": pa.array([numbers[i] for i in at.tolist()], pa.int64()), "bands": pa.array(list(keys), pa.list_(pa.int64()))})
 
-    return docs.select("text").mapInArrow(run, "number bigint, bands array<bigint>")
+    return docs.select("text").mapInArrow(tidy(run), "number bigint, bands array<bigint>")
 
 
 def _marks(numbers: DataFrame) -> np.ndarray:
@@ -353,6 +353,8 @@ def vectors(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
+            if len(seen) > 1 << 17:
+                seen.clear()
             for part in chunks(batch, size=RUN_BYTES):
                 words = Words(part.column(0))
                 numbers = _numbers(fingerprints(words)).to_pylist()
@@ -373,7 +375,7 @@ def vectors(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     "counts": pa.array([tf[first[i] : first[i + 1]].astype("<u2" if tf[first[i] : first[i + 1]].max() < 65536 else "<u4").tobytes() if tf[first[i] : first[i + 1]].max() > 1 else b"" for i in keep], pa.binary()),
                 })
 
-    return docs.select("text").mapInArrow(run, "number bigint, hashes binary, counts binary").dropDuplicates(["number"])
+    return docs.select("text").mapInArrow(tidy(run), "number bigint, hashes binary, counts binary").dropDuplicates(["number"])
 
 
 def _weights(hashes: bytes, counts: bytes, weights: Frequencies) -> tuple[np.ndarray, np.ndarray]:
@@ -417,7 +419,7 @@ def _leaders_met(rows: DataFrame, found: DataFrame, shared, least: float) -> Dat
             taken = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_pydict({"a": number.take(taken), "b": leader.take(taken)})
 
-    return met.mapInArrow(run, "a bigint, b bigint")
+    return met.mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def _compared(rows: DataFrame, found: DataFrame, shared, least: float) -> DataFrame:
@@ -451,7 +453,7 @@ def _compared(rows: DataFrame, found: DataFrame, shared, least: float) -> DataFr
         if group is not None:
             yield group.links()
 
-    return met.mapInArrow(run, "a bigint, b bigint")
+    return met.mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 class _Group:
@@ -569,7 +571,7 @@ def _banded_again(rows: DataFrame, found: DataFrame, shared, level: int) -> Data
                 yield pa.RecordBatch.from_pydict({"number": batch.column(0).slice(i, 1), "bands": pa.array(list(keys), pa.list_(pa.int64()))})
 
     wanted = rows.select("number").distinct()
-    bands = written(found.join(wanted, "number", "left_semi").select("number", "hashes", "counts").mapInArrow(run, "number bigint, bands array<bigint>"))
+    bands = written(found.join(wanted, "number", "left_semi").select("number", "hashes", "counts").mapInArrow(tidy(run), "number bigint, bands array<bigint>"))
     again = rows.select("key", "number", "order").join(bands, "number").select("key", "number", "order", F.explode("bands").alias("band"))
     return again.select(F.xxhash64("key", "band").alias("key"), "number", "order")
 

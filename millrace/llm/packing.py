@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import CHUNK_BYTES, chunks
+from millrace.llm.common import CHUNK_BYTES, chunks, tidy
 
 LENGTH = 1024
 END = 0
@@ -143,7 +143,7 @@ def pack(documents: DataFrame, vocabulary: str | None = None, ranks: str | None
                     out["ids"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 yield pa.RecordBatch.from_pydict(out)
 
-    pieces = documents.select("doc_id", F.col(text_col).alias("text")).mapInArrow(run, schema)
+    pieces = documents.select("doc_id", F.col(text_col).alias("text")).mapInArrow(tidy(run), schema)
     return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
 
