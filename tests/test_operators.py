@@ -379,3 +379,22 @@ def test_no_set_of_grams_is_written_or_shuffled(spark):
     assert C.self_near_pairs(docs).count() == 40
     size = sum(f.stat().st_size for p in set(_WRITTEN[spark.sparkContext.applicationId]) - before for f in pathlib.Path(p.removeprefix("file://")).rglob("*.parquet"))
     assert size < sum(map(len, texts)) * 2
+
+
+def bytes_written(spark, run):
+    before = set(_WRITTEN.get(spark.sparkContext.applicationId, []))
+    out = run()
+    made = set(_WRITTEN.get(spark.sparkContext.applicationId, [])) - before
+    return out, sum(f.stat().st_size for p in made for f in pathlib.Path(p.removeprefix("file://")).rglob("*.parquet"))
+
+
+@pytest.mark.parametrize("match", [C.near_matches])
+def test_documents_are_not_written_to_meet_items(spark, match):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(2000)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(i, t[:-9]) for i, t in enumerate(texts[:4])], "item_id long, text string")
+    rows, size = bytes_written(spark, lambda: {(r["doc_id"], r["item_id"]) for r in match(docs, items).collect()})
+    assert rows == {(i, i) for i in range(4)} and size < sum(map(len, texts)) * 2
+    # an item a block
+    assert {(r["doc_id"], r["item_id"]) for r in match(docs, items, max_grams=100).collect()} == rows
