@@ -12,6 +12,7 @@ from millrace.operators import conversations as V
 from millrace.operators import dedup as D
 from millrace.operators import metrics as M
 from millrace.operators import ordered as W
+from millrace.session import written
 
 
 def candidates(messages: DataFrame, most: int, rate: float = 1.0, seed: str = "sft") -> DataFrame:
@@ -47,7 +48,8 @@ def repair(pool: DataFrame, chosen: DataFrame, items: DataFrame, quota: Column)
     Rows that stay keep their place: the refill is a selection over what is clean, in which they come first.
     """
     keyed = pool.select(F.col("conv_id").alias("key"), "prompt")
-    bad = C.guard(keyed, items).select(F.col("key").alias("conv_id"))
+    # written once: the selection reads its rows twice
+    bad = written(C.guard(keyed, items).select(F.col("key").alias("conv_id")))
     clean = pool.join(bad, "conv_id", "left_anti")
     kept = chosen.select("conv_id").withColumn("kept__", F.lit("0"))
     order = F.concat(F.coalesce("kept__", F.lit("1")), "rank")

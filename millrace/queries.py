@@ -18,6 +18,7 @@ from millrace.operators import dedup as D
 from millrace.operators import metrics as M
 from millrace.operators import ordered as W
 from millrace.operators import profile as P
+from millrace.session import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1128,7 +1129,7 @@ def o08(spark, sf):
     from millrace.plans import conversations as plan
 
     quota = F.when(F.col("split") == "train", 40_000).otherwise(4_000)
-    pool = plan.candidates(t(spark, sf, "conversations"), 4000)
+    pool = written(plan.candidates(t(spark, sf, "conversations"), 4000))
     return plan.repair(pool, plan.select(pool, quota), _items(spark, sf), quota).select("conv_id", "split", "chars")
 
 
