@@ -423,8 +423,9 @@ def d04(spark, sf):
 @Q("d05_greedy_accepted")
 def d05(spark, sf):
     docs = t(spark, sf, "documents")
-    edges = C.self_near_pairs(docs).select("a", "b")
-    return D.greedy_accept(docs.select(F.col("doc_id").alias("node"), H.sha256(F.col("doc_id").cast("string")).alias("rank")), edges)
+    copies, near = C.near_texts(docs)
+    nodes = docs.select(F.col("doc_id").alias("node"), H.sha256(F.col("doc_id").cast("string")).alias("rank"))
+    return D.greedy_accept(nodes, near.select("a", "b"), copies)
 
 
 @Q("d07_overlap_matrix", """

@@ -9,6 +9,7 @@ import os
 import pathlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -334,6 +335,51 @@ def test_self_near_pairs_equal_brute_force(spark):
     assert got.keys() == want.keys() and len(want) > 15 and all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
+def test_near_texts_need_no_shared_anchor(spark):
+    """The smallest digests of each of two near texts are all of grams that the other lacks."""
+    rng = random.Random(11)
+    low = lambda g: int.from_bytes(hashlib.md5(g.encode()).digest()[:8], "big") >> 1
+    least = sorted({"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(20_000)}, key=low)[:64]
+    body = "0123"
+    while len(body) < 3000:
+        body += next(c for c in rng.sample("0123456789", 10) if low(body[-4:] + c) > low(least[-1]))
+    texts = [body + "".join(least[::2]), body + "".join(least[1::2])]
+    sets = [{t[i : i + 5] for i in range(len(t) - 4)} for t in texts]
+    assert len(sets[0] & sets[1]) / len(sets[0] | sets[1]) >= 0.85
+    assert not set(sorted(map(low, sets[0]))[:32]) & set(sorted(map(low, sets[1]))[:32])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    copies, near = C.near_texts(docs)
+    assert copies.isEmpty() and [(r["a"], r["b"]) for r in near.collect()] == [(0, 1)]
+
+
+def test_bits_exclude_no_near_set():
+    """Pairs at the very threshold, by grams removed, added or both, anywhere or in one stretch of the hashes."""
+    rng, made, met = np.random.default_rng(5), C._Parities(0.85), 0
+    fresh = lambda n: rng.integers(0, 1 << 64, n, dtype=np.uint64)
+    for trial in range(2000):
+        a = np.unique(fresh(int(np.exp(rng.uniform(0, 7.5)))))
+        gone = int(rng.integers(0, int(0.15 * len(a)) + 1))
+        kept = a[gone:] if trial % 2 else rng.permutation(a)[gone:]
+        new = fresh(max(0, int(len(kept) / 0.85 + 1e-9) - len(a)))
+        b = np.unique(np.append(kept, new >> np.uint64(3) if trial % 3 else new))
+        both = len(np.intersect1d(a, b))
+        if both / (len(a) + len(b) - both) >= 0.85:
+            met += 1
+            small = made.classes(min(len(a), len(b)))[-1]
+            assert small in made.classes(len(a)) and small in made.classes(len(b))
+            apart = np.bitwise_count(made.bits(a, small) ^ made.bits(b, small)).sum()
+            assert apart <= made.most(np.array([len(a)]), np.array([len(b)]))[0]
+    assert met > 1500
+
+
+def test_greedy_scan_with_copies(spark):
+    """Of copies 1, 2, 3 the lowest-ranked stands for all, also against a neighbour of the least id."""
+    nodes = spark.createDataFrame([(1, 0.9), (2, 0.2), (3, 0.4), (4, 0.3), (5, 0.1)], "node long, rank double")
+    copies = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    edges = spark.createDataFrame([(1, 4)], "a long, b long")
+    assert {r["node"] for r in D.greedy_accept(nodes, edges, copies).collect()} == {2, 5}
+
+
 def test_running_in_groups(spark):
     rows = [(g, i, i % 5) for g in ("a", "b", None) for i in range(1, 200)]
     got = W.running_in_groups(spark.createDataFrame(rows, "g string, i long, v long"), ["g"], ["i"], F.col("v")).collect()

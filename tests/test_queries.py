@@ -108,6 +108,17 @@ def test_greedy_scan_equals_the_sequential_one(spark, sf):
     assert got == accepted and near
 
 
+def test_greedy_scan_leaves_no_near_pair(spark, sf):
+    """Against all pairs of documents: copies bar each other and whatever is near to one of them, without anchors."""
+    sets = {i: grams(alnum(t)) for i, t in read(spark, sf, "documents", "doc_id", "text")}
+    accepted = []
+    for i in sorted(sets, key=lambda i: hashlib.sha256(str(i).encode()).hexdigest()):
+        if not any(jaccard(sets[i], sets[j]) >= 0.85 for j in accepted):
+            accepted.append(i)
+    got = {r["node"] for r in QUERIES["d05_greedy_accepted"](spark, sf).collect()}
+    assert got == set(accepted) and len(got) < len(sets)
+
+
 def test_response_reward_equals_plain_python(spark, sf):
     def penalty(text):
         tokens = re.findall(r"\w+|[^\w\s]", text.lower())
